@@ -67,6 +67,10 @@ def _gamma_udf():
                 z = z ^ (z >> np.uint64(31))
             return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 
+        # drawn first: later draws are counted per round, and the rounds of a row do not depend on others
+        every = np.arange(len(a))
+        small = (a > 0) & (a < 1)
+        lift = np.where(small, unit(every) ** (1.0 / np.where(small, a, 1.0)), 1.0)
         boosted = np.where(a < 1, a + 1, a)
         d = boosted - 1.0 / 3.0
         c = 1.0 / np.sqrt(9.0 * d)
@@ -81,9 +85,6 @@ def _gamma_udf():
             good &= np.log(u) < 0.5 * x * x + d[rows] * (1 - safe + np.log(safe))
             out[rows[good]] = d[rows[good]] * v[good]
             rows = rows[~good]
-        every = np.arange(len(a))
-        small = (a > 0) & (a < 1)
-        lift = np.where(small, unit(every) ** (1.0 / np.where(small, a, 1.0)), 1.0)
         values = pd.Series(out * lift)
         return values.where(values.notna(), None)
 
