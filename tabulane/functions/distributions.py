@@ -19,16 +19,25 @@ from tabulane.functions.uniform import draw_bits, uniform
 
 
 class Draws:
-    """Uniforms of one column: the draw number keeps several draws of a row apart."""
+    """Uniforms of one column: the draw number keeps several draws of a row apart.
+
+    Each draw is a helper column that `with_random` adds below the value and drops afterwards, so it
+    is hashed once however often the value uses it.
+    """
 
     def __init__(self, seed: int, name: str, key: Column):
         self.seed, self.name, self.key = seed, name, key
+        self.helpers: dict[str, Column] = {}
 
-    def u(self, draw: int | Column = 0) -> Column:
-        return uniform(self.seed, self.name, draw, self.key)
+    def u(self, draw: int = 0) -> Column:
+        return self._helper(f"_u{draw}_{self.name}", uniform(self.seed, self.name, draw, self.key))
 
     def bits(self, draw: int = 0) -> Column:
-        return draw_bits(self.seed, self.name, draw, self.key)
+        return self._helper(f"_b{draw}_{self.name}", draw_bits(self.seed, self.name, draw, self.key))
+
+    def _helper(self, name: str, value: Column) -> Column:
+        self.helpers[name] = value
+        return F.col(f"`{name}`")
 
     def normal(self, draw: int = 0) -> Column:
         """Standard normal (Box-Muller) from two uniforms."""
@@ -200,8 +209,9 @@ def _poisson(d, p):
         upto += pmf
         table.append(upto)
         pmf *= lam / (k + 1)
-    # entries are nearly 1 at the end; the value is the number of table entries under u
-    return F.size(F.filter(F.lit(table), lambda c: c < d.u())).cast("long")
+    # the value is the number of table entries under u
+    u = d.u()
+    return F.size(F.filter(F.lit(table), lambda c: c < u)).cast("long")
 
 
 def _exponential(d, p):

@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 from typing import Any, Callable, Protocol
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulane.operators.profile import regression_metrics, residual_stats
-from tabulane.operators.projection import complete_cases, present, require_columns, split
+from tabulane.operators.projection import complete_cases, present, require_columns, split_flag
 from tabulane.session import shared_dir
 
 PREDICTION = "_prediction"
@@ -250,15 +251,29 @@ def fit(
     require_columns(df, [target])
     require_columns(df, features)
     spec = {"type": "random", "test_size": 0.2, "random_state": 42, **(split_spec or {})}
-    cols = list(dict.fromkeys([key, target, *features]))
-    rows = complete_cases(df.select(*[F.col(f"`{c}`") for c in cols]), [target, *features], check=True)
-    train, test = split(rows, key, spec["test_size"], spec["random_state"], spec["type"])
-    fitted = MODELS[model](train, target, features, params or {})
-    metrics = _values(regression_metrics(fitted.predict(train), target, PREDICTION))
-    scored = fitted.predict(test)
-    on_test = _values(regression_metrics(scored, target, PREDICTION, ["r2", "mae", "rmse"]))
-    metrics.update({f"test_{k}": v for k, v in on_test.items()})
-    diagnostics = {**_values(residual_stats(scored, target, PREDICTION)), **fitted.details()}
+    cols = list(dict.fromkeys([target, *features]))
+    whole = complete_cases(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *cols])]), cols)
+    flag = split_flag(F.col(key), spec["test_size"], spec["random_state"]) if spec["type"] == "random" else F.lit(None).cast("boolean")
+    # fits and scores pass over the rows several times: keep just the numbers they need, spilling to disk
+    rows = whole.select(*[F.col(f"`{c}`") for c in cols], flag.alias("_is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
+    try:
+        if rows.isEmpty():
+            raise ValueError(f"no rows left after dropping missing values in {cols}")
+        train = rows.filter(F.coalesce(~F.col("_is_test"), F.lit(True))).drop("_is_test")
+        test = rows.filter(F.coalesce("_is_test", F.lit(True))).drop("_is_test")
+        fitted = MODELS[model](train, target, features, params or {})
+        on_train, on_test = (
+            fitted.predict(part).select(F.col(f"`{target}`"), PREDICTION).persist(StorageLevel.MEMORY_AND_DISK) for part in (train, test)
+        )
+        kept += [on_train, on_test]
+        metrics = _values(regression_metrics(on_train, target, PREDICTION))
+        scores = _values(regression_metrics(on_test, target, PREDICTION, ["r2", "mae", "rmse"]))
+        metrics.update({f"test_{k}": v for k, v in scores.items()})
+        diagnostics = {**_values(residual_stats(on_test, target, PREDICTION)), **fitted.details()}
+    finally:
+        for part in kept:
+            part.unpersist()
     return Fit(model, target, list(features), fitted, metrics, diagnostics, params or {})
 
 

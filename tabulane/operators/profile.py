@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from tabulane.functions.scalars import missing_as_null
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.sources.tables import logical_type
 
-PAIRS_PER_JOB = 24  # pair aggregates computed in one scan
+SUMS_PER_JOB = 90  # sums computed in one scan, within what generated code can hold
 SAMPLE = 100  # fixed value: non-missing values looked at for the display type
 
 
@@ -127,44 +127,71 @@ def detect_types(df: DataFrame, order_by: str, sample: int = SAMPLE) -> DataFram
 # correlation --------------------------------------------------------------------------------
 
 
-def _pair_struct(x: str, y: str, tag: str) -> Column:
-    """r is 0 when there is no complete pair or one side does not vary."""
-    spread = F.sqrt(F.col(f"xx{tag}") * F.col(f"yy{tag}"))
-    r = F.when(spread > 0, F.col(f"xy{tag}") / spread).otherwise(0.0)
-    return F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), r.alias("r"), F.col(f"n{tag}").alias("n"))
-
+def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson r over rows having both values, as one row (col_x, col_y, r, n).
 
-def _pair_aggs(df: DataFrame, x: str, y: str, tag: str) -> list[Column]:
+    r is 0 when there is no complete pair or one side does not vary.
+    """
     a, b = _present(df, x).cast("double"), _present(df, y).cast("double")
-    return [
-        F.regr_sxy(b, a).alias(f"xy{tag}"),
-        F.regr_sxx(b, a).alias(f"xx{tag}"),
-        F.regr_syy(b, a).alias(f"yy{tag}"),
-        F.regr_count(b, a).alias(f"n{tag}"),
-    ]
-
-
-def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r over rows having both values, as one row (col_x, col_y, r, n)."""
-    return _rows(df.agg(*_pair_aggs(df, x, y, "")), [_pair_struct(x, y, "")])
+    one = df.agg(
+        F.regr_sxy(b, a).alias("xy"), F.regr_sxx(b, a).alias("xx"), F.regr_syy(b, a).alias("yy"), F.regr_count(b, a).alias("n")
+    )
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    r = F.when(spread > 0, F.col("xy") / spread).otherwise(0.0)
+    return one.select(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), r.alias("r"), "n")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col_x, col_y, r, n) for every ordered pair, pairwise complete, including the diagonal.
 
-    Unordered pairs are aggregated together (a scan per PAIRS_PER_JOB pairs); both directions come
-    from the same aggregate.
+    First pass: counts and means. Second: sums of the centred values (so nothing cancels). Columns
+    without missing values share their sums among all pairs; only the others need sums per pair.
+    What reaches the driver are a few numbers per pair of columns.
     """
     cols = cols or numeric_columns(df)
-    pairs = [(c, c) for c in cols] + list(combinations(cols, 2))
-    blocks = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = list(enumerate(pairs[start : start + PAIRS_PER_JOB]))
-        one = df.agg(*[a for i, (x, y) in block for a in _pair_aggs(df, x, y, str(i))])
-        parts = [_pair_struct(x, y, str(i)) for i, (x, y) in block]
-        parts += [_pair_struct(y, x, str(i)) for i, (x, y) in block if x != y]
-        blocks.append(_rows(one, parts))
-    return reduce(DataFrame.unionAll, blocks)
+    value = {c: _present(df, c).cast("double") for c in cols}
+    asks = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        asks += [F.count(value[c]).alias(f"n{i}"), F.avg(value[c]).alias(f"m{i}")]
+    first = df.agg(*asks).first()
+    whole = [first[f"n{i}"] == first["n"] for i in range(len(cols))]
+    x = [value[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)]
+
+    sums: dict[tuple, Column] = {}
+
+    def ask(what: str, i: int, j: int) -> tuple:
+        """Key of the sum (s), sum of squares (q), products (p) or count (n) of i over rows that have j."""
+        if what in "sq":
+            j = i if whole[j] else j
+            own = x[i] if j == i else F.when(x[j].isNotNull(), x[i])
+            sums[what, i, j] = F.sum(own if what == "s" else own * own)
+        elif what == "n":
+            i, j = (i, i) if whole[j] else (j, j) if whole[i] else (i, j)
+            sums[what, i, j] = F.count(x[i] if i == j else x[i] * x[j])
+        else:
+            sums[what, i, j] = F.sum(x[i] * x[j])
+        return what, i, j
+
+    pairs = {}
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            pairs[i, j] = [ask("n", i, j), ask("s", i, j), ask("s", j, i), ask("q", i, j), ask("q", j, i), ask("p", i, j)]
+    got: dict[tuple, float] = {}
+    keys = list(sums)
+    for start in range(0, len(keys), SUMS_PER_JOB):
+        block = keys[start : start + SUMS_PER_JOB]
+        row = df.agg(*[sums[k].alias(f"v{n}") for n, k in enumerate(block)]).first()
+        got.update({k: row[n] or 0.0 for n, k in enumerate(block)})
+
+    rows = []
+    for (i, j), asked in pairs.items():
+        n, si, sj, qi, qj, p = (got[k] for k in asked)
+        r = 0.0
+        if n:
+            spread = math.sqrt(max(0.0, qi - si * si / n) * max(0.0, qj - sj * sj / n))
+            r = (p - si * sj / n) / spread if spread > 0 else 0.0
+        rows += [(cols[i], cols[j], r, int(n))] + ([(cols[j], cols[i], r, int(n))] if i != j else [])
+    return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, r double, n long")
 
 
 # histograms ---------------------------------------------------------------------------------
@@ -179,20 +206,24 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
     category = F.coalesce(F.col(by).cast("string"), F.lit("Unknown")) if by else F.lit("All")
     data = df.select(_present(df, col).cast("double").alias("v"), category.alias("category")).filter(F.col("v").isNotNull())
     span = data.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
-    lo, hi = span.getField("lo"), span.getField("hi")
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
     width = (hi - lo) / F.lit(float(bins))
     place = F.when(lo == hi, 0).otherwise(F.least(F.floor(F.try_divide(F.col("v") - lo, width)), F.lit(bins - 1))).cast("int")
-    counts = data.groupBy("category", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = data.withColumn("_s", span).groupBy("category", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # per category at most `bins` entries; per bin one total
     per_category = counts.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
     totals = counts.groupBy("bin").agg(F.sum("n").alias("total"))
     last = F.when(lo == hi, 0).otherwise(bins - 1)
-    full = per_category.select("category", "_m", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
-    full = full.select("category", "bin", F.coalesce(F.col("_m")[F.col("bin")], F.lit(0)).cast("long").alias("n"))
+    full = per_category.withColumn("_s", span).select("category", "_m", "_s", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
     start = F.when(lo == hi, lo - 0.5).otherwise(lo + F.col("bin") * width)
     end = F.when(lo == hi, hi + 0.5).otherwise(lo + (F.col("bin") + 1) * width)
     return full.join(F.broadcast(totals), "bin", "left").select(
-        "bin", start.alias("start"), end.alias("end"), "category", "n", F.coalesce("total", F.lit(0)).cast("long").alias("total")
+        "bin",
+        start.alias("start"),
+        end.alias("end"),
+        "category",
+        F.coalesce(F.col("_m")[F.col("bin")], F.lit(0)).cast("long").alias("n"),
+        F.coalesce("total", F.lit(0)).cast("long").alias("total"),
     )
 
 
@@ -238,7 +269,10 @@ def scatter_summary(df: DataFrame, x: str, y: str, color: str | None = None) ->
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, names: list[str] | None = None) -> DataFrame:
-    """(metric, value) over rows having both; mape only when no true value is zero."""
+    """(metric, value) over rows having both; mape only when no true value is zero.
+
+    The exact median error takes several passes; persist `df` first if it is costly to compute.
+    """
     data = df.select(_present(df, y).cast("double").alias("y"), _present(df, yhat).cast("double").alias("p"))
     data = data.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
     e = F.col("y") - F.col("p")

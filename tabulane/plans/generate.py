@@ -96,10 +96,12 @@ def with_random(
     else:
         raise ValueError(f"unknown scope '{scope}'")
     literals = {k: number for k, (_, number) in resolved.items() if number is not None}
-    value = spec.build(Draws(seed, name, draw_key), {**cols, **lists, "_literals": literals})
+    draws = Draws(seed, name, draw_key)
+    value = spec.build(draws, {**cols, **lists, "_literals": literals})
     if spec.check is not None:
         value = _checked(value, spec.check, spec.rule, dist, literals, cols)
-    return base.withColumn(name, value).select(*[c for c in df.columns if c != name], name)
+    drawn = base.withColumns(draws.helpers) if draws.helpers else base
+    return drawn.select(*[F.col(f"`{c}`") for c in df.columns if c != name], value.alias(name))
 
 
 def _checked(value: Column, check, rule: str, dist: str, literals: dict, cols: dict) -> Column:

@@ -22,6 +22,8 @@ class Transform(NamedTuple):
     build: Callable[[DataFrame, dict], Column]
     inputs: Callable[[dict], list[str]]
     warn: Callable[[dict], Column] | None = None  # condition that counts as a warning
+    # a value of the whole table that the step needs; `build` finds its column name in params["_table"]
+    table: Callable[[DataFrame, dict], Column] | None = None
 
 
 def _number(params: dict) -> Column:
@@ -52,6 +54,12 @@ def _exp(df: DataFrame, params: dict) -> Column:
     return F.when(x.isNotNull(), F.exp(F.greatest(F.lit(-EXP_LIMIT), F.least(F.lit(EXP_LIMIT), x))))
 
 
+def _span(df: DataFrame, params: dict) -> Column:
+    """Least and greatest value of the column, as a scalar subquery."""
+    x = _number(params)
+    return df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
+
+
 def _bin(df: DataFrame, params: dict) -> Column:
     """0-based code of the right-closed equal-width interval, or its label.
 
@@ -64,8 +72,7 @@ def _bin(df: DataFrame, params: dict) -> Column:
     names = [t.strip() for t in params["labels"].split(",")] if params.get("labels") else None
     if names is not None and len(names) != bins:
         raise ValueError(f"{len(names)} labels for {bins} bins")
-    x = _number(params)
-    span = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
+    x, span = _number(params), F.col(params["_table"])
     lo, hi = span.getField("lo"), span.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     guess = F.greatest(F.lit(0.0), F.least(F.lit(bins - 1.0), F.ceil(F.try_divide(x - lo, width)) - 1.0))
@@ -84,7 +91,7 @@ TRANSFORMS: dict[str, Transform] = {
     "log": Transform(_log, _one_column, lambda p: _number(p) <= 0),
     "sqrt": Transform(_sqrt, _one_column, lambda p: _number(p) < 0),
     "exp": Transform(_exp, _one_column, lambda p: _number(p) > EXP_LIMIT),
-    "bin": Transform(_bin, _one_column),
+    "bin": Transform(_bin, _one_column, table=_span),
 }
 
 
@@ -134,6 +141,7 @@ def apply_recipe(df: DataFrame, steps: list[dict]) -> DataFrame:
 def _apply(df: DataFrame, steps: list[dict], flags: bool = False) -> tuple[DataFrame, list[tuple[str, dict]]]:
     pending: dict[str, Column] = {}
     marks: list[tuple[str, dict]] = []
+    helpers: list[str] = []
     for i, step in enumerate(ordered(steps)):
         transform, out, params = _transform(step), step["output_column"], step.get("params", {})
         needed = transform.inputs(params)
@@ -144,12 +152,19 @@ def _apply(df: DataFrame, steps: list[dict], flags: bool = False) -> tuple[DataF
             raise StepConflict(
                 f"step '{step.get('step_id', out)}' needs missing columns: {', '.join(missing)}", [step.get("step_id", out)], missing
             )
+        if transform.table is not None:
+            # its own projection below the step: one subquery, however often the step reads it
+            params = {**params, "_table": f"_table_{i}"}
+            helpers.append(params["_table"])
+            df = df.withColumn(params["_table"], transform.table(df, params))
         pending[out] = transform.build(df, params)
         if flags and transform.warn is not None:
             name = f"_warn_{i}"
             pending[name] = transform.warn(params)
             marks.append((name, step))
-    return (df.withColumns(pending) if pending else df), marks
+    if pending:
+        df = df.withColumns(pending)
+    return (df.drop(*helpers) if helpers else df), marks
 
 
 def add_step(df: DataFrame, steps: list[dict], step: dict, allow_overwrite: bool = False) -> list[dict]:
