@@ -12,33 +12,43 @@ from functools import reduce
 from typing import Any, Callable, NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulane.functions.uniform import draw_bits, uniform
+from tabulane.functions.uniform import bits_of, draw_hash, unit_of
 
 
 class Draws:
     """Uniforms of one column: the draw number keeps several draws of a row apart.
 
-    Each draw is a helper column that `with_random` adds below the value and drops afterwards, so it
-    is hashed once however often the value uses it.
+    Hashes and draws are helper columns, in two projections below the value, which `with_random` adds
+    and drops again: each is computed once however often the value uses it.
     """
 
     def __init__(self, seed: int, name: str, key: Column):
         self.seed, self.name, self.key = seed, name, key
-        self.helpers: dict[str, Column] = {}
+        self.hashes: dict[str, Column] = {}
+        self.draws: dict[str, Column] = {}
+
+    def _bits(self, draw: int) -> Column:
+        text = f"_h{draw // 2}_{self.name}"
+        self.hashes[text] = draw_hash(self.seed, self.name, draw, self.key)
+        return bits_of(F.col(f"`{text}`"), draw)
 
     def u(self, draw: int = 0) -> Column:
-        return self._helper(f"_u{draw}_{self.name}", uniform(self.seed, self.name, draw, self.key))
+        return self._draw(f"_u{draw}_{self.name}", unit_of(self._bits(draw)))
 
     def bits(self, draw: int = 0) -> Column:
-        return self._helper(f"_b{draw}_{self.name}", draw_bits(self.seed, self.name, draw, self.key))
+        return self._draw(f"_b{draw}_{self.name}", self._bits(draw))
 
-    def _helper(self, name: str, value: Column) -> Column:
-        self.helpers[name] = value
+    def _draw(self, name: str, value: Column) -> Column:
+        self.draws[name] = value
         return F.col(f"`{name}`")
 
+    def below(self, df: DataFrame) -> DataFrame:
+        """`df` with the helper columns the value reads."""
+        return df.withColumns(self.hashes).withColumns(self.draws) if self.draws else df
+
     def normal(self, draw: int = 0) -> Column:
         """Standard normal (Box-Muller) from two uniforms."""
         return F.sqrt(F.lit(-2.0) * F.ln(self.u(draw))) * F.cos(F.lit(2 * math.pi) * self.u(draw + 1))

@@ -1,6 +1,7 @@
 """Reproducible uniforms: a pure function of (seed, column, draw number, key).
 
-The value does not depend on partitioning, order or retries, unlike a generator with state.
+The value does not depend on partitioning, order or retries, unlike a generator with state. A key
+that is NULL gives NULL.
 """
 
 from __future__ import annotations
@@ -9,15 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEX_DIGITS = 13  # 13 hex digits = 52 bits
+STARTS = (1, 17)  # a hash serves two draws: even ones read its first half, odd ones its second
 
 
-def draw_bits(seed: int, name: str, draw: int | Column, key: Column) -> Column:
-    """52 hash bits as a long."""
-    draw = draw if isinstance(draw, Column) else F.lit(str(draw))
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(name), draw.cast("string"), key.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
+def draw_hash(seed: int, name: str, draw: int, key: Column) -> Column:
+    """The hash text behind draw number `draw` (and its neighbour)."""
+    return F.md5(F.concat(F.lit(f"{seed}|{name}|{draw // 2}|"), key.cast("string")))
 
 
-def uniform(seed: int, name: str, draw: int | Column, key: Column) -> Column:
+def bits_of(text: Column, draw: int) -> Column:
+    """52 bits of a hash text as a long."""
+    return F.conv(F.substring(text, STARTS[draw % 2], HEX_DIGITS), 16, 10).cast("long")
+
+
+def unit_of(bits: Column) -> Column:
+    """Bits to the open interval (0, 1)."""
+    return (bits + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def uniform(seed: int, name: str, draw: int, key: Column) -> Column:
     """Uniform in the open interval (0, 1)."""
-    return (draw_bits(seed, name, draw, key) + F.lit(0.5)) / F.lit(float(2**52))
+    return unit_of(bits_of(draw_hash(seed, name, draw, key), draw))

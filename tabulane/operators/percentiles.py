@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEW = 50_000  # candidates of one rank that may be sorted in a single row
-ACCURACY = 10_000  # of the pivot sketch; it affects the number of rounds, never the result
+FEW = 1_000_000  # candidates of one rank that may be sorted in a single row (8 MB)
+PER_JOB = 2 * FEW  # candidates looked at in one job
+MAX_ACCURACY = 10_000  # of the pivot sketch; it affects the number of rounds, never the result
 
 
 @dataclass
@@ -45,7 +46,7 @@ class _Search:
 
 
 def exact_percentiles(
-    df: DataFrame, exprs: dict[str, Column], probs: list[float], few: int = FEW, accuracy: int = ACCURACY
+    df: DataFrame, exprs: dict[str, Column], probs: list[float], few: int = FEW
 ) -> dict[str, list[float | None]]:
     """Percentiles with linear interpolation between ranks; None for an all-missing expression."""
     if not exprs:
@@ -66,7 +67,7 @@ def exact_percentiles(
         todo = [s for s in searches.values() if s.value is None]
         wide = [s for s in todo if s.inside > few]
         if wide:
-            _narrow(data, wide, accuracy)
+            _narrow(data, wide, few)
         else:
             _look_up(data, todo)
 
@@ -84,10 +85,11 @@ def exact_percentiles(
     return result
 
 
-def _narrow(data: DataFrame, wide: list[_Search], accuracy: int) -> None:
+def _narrow(data: DataFrame, wide: list[_Search], few: int) -> None:
     """One sketch pass for pivots, one counting pass that decides on which side each rank is."""
     asks = []
     for i, s in enumerate(wide):
+        accuracy = min(MAX_ACCURACY, max(100, 8 * s.inside // few))  # just fine enough to leave few
         at = (s.rank - s.below) / max(1, s.inside - 1)
         around = [min(1.0, max(0.0, at + d)) for d in (-2 / accuracy, 2 / accuracy)]
         asks.append(F.percentile_approx(s.candidate(), around, accuracy).alias(f"p{i}"))
@@ -114,16 +116,27 @@ def _narrow(data: DataFrame, wide: list[_Search], accuracy: int) -> None:
 
 
 def _look_up(data: DataFrame, todo: list[_Search]) -> None:
-    """At most FEW candidates each: sort them and read the wanted places."""
+    """At most `few` candidates each: sort them and read the wanted places."""
     spans: dict[tuple, list[_Search]] = {}
     for s in todo:
         spans.setdefault(s.span, []).append(s)
+    job, size = [], 0
+    for group in spans.values():
+        if job and size + group[0].inside > PER_JOB:
+            _read_places(data, job)
+            job, size = [], 0
+        job.append(group)
+        size += group[0].inside
+    _read_places(data, job)
+
+
+def _read_places(data: DataFrame, groups: list[list[_Search]]) -> None:
     asks = []
-    for i, group in enumerate(spans.values()):
+    for i, group in enumerate(groups):
         ordered = F.sort_array(F.collect_list(group[0].candidate()))
         places = [F.element_at(ordered, s.rank - s.below + 1) for s in group]
         asks.append(F.array(*places).alias(f"v{i}"))
     row = data.agg(*asks).first()
-    for i, group in enumerate(spans.values()):
+    for i, group in enumerate(groups):
         for s, value in zip(group, row[f"v{i}"]):
             s.value = value

@@ -100,8 +100,7 @@ def with_random(
     value = spec.build(draws, {**cols, **lists, "_literals": literals})
     if spec.check is not None:
         value = _checked(value, spec.check, spec.rule, dist, literals, cols)
-    drawn = base.withColumns(draws.helpers) if draws.helpers else base
-    return drawn.select(*[F.col(f"`{c}`") for c in df.columns if c != name], value.alias(name))
+    return draws.below(base).select(*[F.col(f"`{c}`") for c in df.columns if c != name], value.alias(name))
 
 
 def _checked(value: Column, check, rule: str, dist: str, literals: dict, cols: dict) -> Column:

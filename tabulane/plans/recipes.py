@@ -22,8 +22,9 @@ class Transform(NamedTuple):
     build: Callable[[DataFrame, dict], Column]
     inputs: Callable[[dict], list[str]]
     warn: Callable[[dict], Column] | None = None  # condition that counts as a warning
-    # a value of the whole table that the step needs; `build` finds its column name in params["_table"]
-    table: Callable[[DataFrame, dict], Column] | None = None
+    # columns the step reads several times, each computed in a projection of its own below the step;
+    # `build` and later helpers find their names in params
+    helpers: dict[str, Callable[[DataFrame, dict], Column]] = {}
 
 
 def _number(params: dict) -> Column:
@@ -60,26 +61,39 @@ def _span(df: DataFrame, params: dict) -> Column:
     return df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
 
 
+def _bins(params: dict) -> int:
+    return int(params.get("bins", 5))
+
+
+def _edge(params: dict, k: Column) -> Column:
+    """Edge number k of the equal-width intervals."""
+    lo, hi = F.col(params["_span"]).getField("lo"), F.col(params["_span"]).getField("hi")
+    return lo + k * ((hi - lo) / F.lit(float(_bins(params))))
+
+
+def _guess(df: DataFrame, params: dict) -> Column:
+    """The interval by division: right up to one place."""
+    lo, hi = F.col(params["_span"]).getField("lo"), F.col(params["_span"]).getField("hi")
+    place = F.ceil(F.try_divide(_number(params) - lo, (hi - lo) / F.lit(float(_bins(params))))) - 1
+    return F.greatest(F.lit(0), F.least(F.lit(_bins(params) - 1), place)).cast("int")
+
+
 def _bin(df: DataFrame, params: dict) -> Column:
     """0-based code of the right-closed equal-width interval, or its label.
 
-    Code = number of interior edges min + k*width below the value. A division gives it up to one
-    place; comparing with the edges next to it settles the rest.
+    Code = number of interior edges below the value; the guess is settled by comparing the value
+    with the edges next to it.
     """
-    bins = int(params.get("bins", 5))
+    bins = _bins(params)
     if bins < 1:
         raise ValueError("at least one bin is needed")
     names = [t.strip() for t in params["labels"].split(",")] if params.get("labels") else None
     if names is not None and len(names) != bins:
         raise ValueError(f"{len(names)} labels for {bins} bins")
-    x, span = _number(params), F.col(params["_table"])
-    lo, hi = span.getField("lo"), span.getField("hi")
-    width = (hi - lo) / F.lit(float(bins))
-    guess = F.greatest(F.lit(0.0), F.least(F.lit(bins - 1.0), F.ceil(F.try_divide(x - lo, width)) - 1.0))
-    down = (guess >= 1) & (x <= lo + guess * width)
-    up = (guess < bins - 1) & (x > lo + (guess + 1) * width)
-    code = F.when(down, guess - 1).when(up, guess + 1).otherwise(guess).cast("int")
-    code = F.when(lo == hi, F.lit((bins - 1) // 2)).otherwise(code)
+    x, guess, span = _number(params), F.col(params["_guess"]), F.col(params["_span"])
+    down = F.when((guess >= 1) & (x <= _edge(params, guess)), 1).otherwise(0)
+    up = F.when((guess < bins - 1) & (x > _edge(params, guess + 1)), 1).otherwise(0)
+    code = F.when(span.getField("lo") == span.getField("hi"), (bins - 1) // 2).otherwise(guess - down + up)
     code = F.when(x.isNotNull(), code)
     if names is None:
         return code
@@ -91,7 +105,7 @@ TRANSFORMS: dict[str, Transform] = {
     "log": Transform(_log, _one_column, lambda p: _number(p) <= 0),
     "sqrt": Transform(_sqrt, _one_column, lambda p: _number(p) < 0),
     "exp": Transform(_exp, _one_column, lambda p: _number(p) > EXP_LIMIT),
-    "bin": Transform(_bin, _one_column, table=_span),
+    "bin": Transform(_bin, _one_column, helpers={"_span": _span, "_guess": _guess}),
 }
 
 
@@ -152,11 +166,11 @@ def _apply(df: DataFrame, steps: list[dict], flags: bool = False) -> tuple[DataF
             raise StepConflict(
                 f"step '{step.get('step_id', out)}' needs missing columns: {', '.join(missing)}", [step.get("step_id", out)], missing
             )
-        if transform.table is not None:
-            # its own projection below the step: one subquery, however often the step reads it
-            params = {**params, "_table": f"_table_{i}"}
-            helpers.append(params["_table"])
-            df = df.withColumn(params["_table"], transform.table(df, params))
+        for name, helper in transform.helpers.items():
+            column = f"{name}_{i}"
+            df = df.withColumn(column, helper(df, params))
+            params = {**params, name: column}
+            helpers.append(column)
         pending[out] = transform.build(df, params)
         if flags and transform.warn is not None:
             name = f"_warn_{i}"

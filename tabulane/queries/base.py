@@ -26,10 +26,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def u_sql(seed: int, name: str, draw: int | str, key: str) -> str:
+def u_sql(seed: int, name: str, draw: int, key: str) -> str:
     """The uniform draw in SQL."""
-    text = f"'{seed}|{name}|{draw}|' || CAST({key} AS VARCHAR)"
-    return f"((CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+    text = f"'{seed}|{name}|{draw // 2}|' || CAST({key} AS VARCHAR)"
+    start = (1, 17)[draw % 2]
+    return f"((CAST(('0x' || substr(md5({text}), {start}, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def normal_sql(seed: int, name: str, key: str, draw: int = 0) -> str:

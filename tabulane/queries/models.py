@@ -58,14 +58,14 @@ UNION ALL SELECT '_intercept', round(my - w1 * mx - w2 * mz, 5) FROM w"""
 def fit_flow(spark, d):
     """All scores of a fit: train metrics, test metrics, residual statistics."""
     fitted = M.fit(_lines(spark, d), "key", "linear_regression", "l_extendedprice", ["l_quantity"])
-    return rounded(fitted.metrics_frame(spark).unionByName(fitted.diagnostics_frame(spark)), 5)
+    return rounded(fitted.metrics_frame(spark).unionByName(fitted.diagnostics_frame(spark)), 3)
 
 
 FIT_FLOW = f"""
 WITH t AS ({TRAIN}), s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM t),
 e AS (SELECT l_extendedprice AS y, l_extendedprice - (a + b * l_quantity) AS e FROM t, s),
 v AS (SELECT l_extendedprice AS y, l_extendedprice - (a + b * l_quantity) AS e FROM ({LINES}), s WHERE {u_sql(42, 'split', 0, 'key')} < 0.2)
-SELECT metric, round(value, 5) AS value FROM (
+SELECT metric, round(value, 3) AS value FROM (
 SELECT 'r2' AS metric, 1 - avg(e * e) / var_pop(y) AS value FROM e
 UNION ALL SELECT 'mae', avg(abs(e)) FROM e UNION ALL SELECT 'rmse', sqrt(avg(e * e)) FROM e UNION ALL SELECT 'mse', avg(e * e) FROM e
 UNION ALL SELECT 'explained_variance', 1 - var_pop(e) / var_pop(y) FROM e UNION ALL SELECT 'median_ae', median(abs(e)) FROM e
