@@ -50,7 +50,9 @@ AS_BOOLEAN = "count BOOLEAN, pointer_travel_px BOOLEAN, familiar_pattern BOOLEAN
 
 def event_facts(df: DataFrame) -> DataFrame:
     """Per event the few values the figures are made of."""
-    numbers, booleans = F.from_json("metadata", AS_NUMBER), F.from_json("metadata", AS_BOOLEAN)
+    # parsed in a projection of their own, so each row is parsed twice and not once per field
+    df = df.withColumns({"_numbers": F.from_json("metadata", AS_NUMBER), "_booleans": F.from_json("metadata", AS_BOOLEAN)})
+    numbers, booleans = F.col("_numbers"), F.col("_booleans")
 
     def number(field: str) -> Column:  # true and false count as 1 and 0
         return F.coalesce(numbers.getField(field), booleans.getField(field).cast("double"))
