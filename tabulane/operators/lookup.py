@@ -78,26 +78,31 @@ def map_values(df: DataFrame, key: str, mapping: dict, output: str, default: Any
 
 
 def join_chain(first: DataFrame, steps: list[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Inner equi-joins one after the other; each step is (table, key columns of the same name)."""
-    result = first
+    """Inner equi-joins one after the other; each step is (table, key columns of the same name).
+
+    Hot keys are looked for in the input table a key comes from, so no join runs twice.
+    """
+    result, inputs = first, [first]
     for table, keys in steps:
-        result = dimension_join(result, table, keys, "inner")
+        source = next((t for t in inputs if set(keys) <= set(t.columns)), result)
+        result = dimension_join(result, table, keys, "inner", hot_in=source)
+        inputs.append(table)
     return result
 
 
 def exists_match(df: DataFrame, other: DataFrame, keys: list[str], condition: Column | None = None) -> DataFrame:
-    """Rows of `df` that have a match in `other` (rows meeting `condition`)."""
+    """Rows of `df` that have a match in `other` (rows meeting `condition`).
+
+    `other` is reduced to distinct keys before its shuffle, so a key repeated there costs nothing.
+    """
     if condition is not None:
         other = other.filter(condition)
-    return dimension_join(df, other.select(*keys).distinct(), keys, "left_semi")
+    return salted_join(df, other.select(*keys).distinct(), keys, "left_semi")
 
 
 def group_value(df: DataFrame, by: str, value: Column, output: str) -> DataFrame:
     """One aggregate value per category, on every row of the category."""
-    groups = df.groupBy(by).agg(value.alias(output), F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = groups.filter(F.col("_rows") > total * F.lit(0.001)).select(by)
-    return salted_join(df, groups.drop("_rows"), [by], "left", hot=hot)
+    return salted_join(df, df.groupBy(by).agg(value.alias(output)), [by], "left")
 
 
 def first_per_group(df: DataFrame, by: str, order: str, cols: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulane.operators.skew import HOT_SHARE, salted_join
+from tabulane.operators.skew import salted_join
 
 # Comparison operators of a constraint.
 COMPARE = {
@@ -59,9 +59,7 @@ def _unique_flag(df: DataFrame, target: str, key: list[str], flag: str) -> DataF
         F.min(F.struct(*key)).alias("_first"), F.count(F.lit(1)).alias("_times")
     )
     repeated = first.filter(F.col("_times") > 1)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = repeated.filter(F.col("_times") > total * F.lit(HOT_SHARE)).select(target)
-    joined = salted_join(df, repeated.select(target, "_first"), [target], "left", hot=hot)
+    joined = salted_join(df, repeated.select(target, "_first"), [target], "left")
     ok = F.col("_first").isNull() | (F.struct(*key) == F.col("_first"))
     return joined.withColumn(flag, ok).drop("_first").select(*df.columns, flag)
 

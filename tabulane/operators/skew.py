@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001  # a key above this share of the rows is hot; so there are at most 1000 of them
+TRACKED = 16_384  # counters of the sketch; enough to find every key above HOT_SHARE
 SALTS = 64
 SMALL_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than `share` of the rows: at most 1/share rows, whatever the table size."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(*keys)
+def _key_hash(keys: list[str], types: dict[str, str]) -> Column:
+    """Hash of the key columns, in the types of the left side."""
+    return F.xxhash64(*[F.expr(f"try_cast(`{k}` AS {types[k]})") for k in keys])
+
+
+def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than HOT_SHARE of the rows.
+
+    One scan of the key columns with a frequent-items sketch: nothing is shuffled but the sketches,
+    and at most 1/HOT_SHARE numbers come back. The answer only steers where rows go in a join.
+    """
+    found = df.select(_key_hash(keys, dict(df.dtypes)).alias("h")).agg(
+        F.expr(f"approx_top_k(h, {int(1 / HOT_SHARE)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    return [t["item"] for t in found["top"] if t["count"] > HOT_SHARE * found["n"]]
 
 
 def salted_join(
@@ -24,25 +33,25 @@ def salted_join(
     right: DataFrame,
     keys: list[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: list[int] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """`left.join(right, keys, how)` for a left side with hot keys.
+    """`left.join(right, keys, how)` (inner, left, left_semi, left_anti) for a left side with hot keys.
 
     Rows of a hot key are spread over `salts` sub-keys by a hash of the row; only the right rows of
-    hot keys are repeated, so the extra data is bounded by the few hot keys. `hot` may be handed in
-    where the caller knows it; it must be bounded (see `hot_keys`), which is why it may be broadcast.
+    hot keys are repeated. Without hot keys this is the plain join. `hot` may be handed in where the
+    hot keys are known from another table.
     """
     if hot is None:
-        hot = hot_keys(left, keys)
-    mark = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
-    # a missing key matches nothing, so its rows may go anywhere: spread them too
-    spread_out = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.coalesce("_hot", F.lit(False)))
-    spread = F.when(spread_out, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)
-    marked = left.join(mark, keys, "left").withColumn("_salt", spread).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return marked.join(repeated, [*keys, "_salt"], how).drop("_salt")
+        hot = hot_hashes(left, keys)
+    if not hot:
+        return left.join(right, keys, how)
+    types = dict(left.dtypes)
+    is_hot = _key_hash(keys, types).isin(hot)
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("_salt", F.explode(copies))
+    return left.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
@@ -50,8 +59,13 @@ def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     return df.count() <= max_rows
 
 
-def dimension_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Broadcast `right` when its counted size allows it, else the salted shuffle join."""
+def dimension_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_in: DataFrame | None = None
+) -> DataFrame:
+    """Broadcast `right` when its counted size allows it, else the salted shuffle join.
+
+    `hot_in` is a table whose hot keys stand for those of `left`, when `left` is costly to compute.
+    """
     if is_small(right):
         return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how)
+    return salted_join(left, right, keys, how, hot_hashes(hot_in if hot_in is not None else left, keys))

@@ -86,35 +86,22 @@ def with_random(
             raise ValueError(f"group-by column '{group_by}' not found")
         draw_key, cols = F.col(group_by), {k: c for k, (c, _) in resolved.items()}
         if varying:
-            groups = df.groupBy(group_by).agg(
-                F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias("_params"), F.count(F.lit(1)).alias("_rows")
-            )
-            total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-            hot = groups.filter(F.col("_rows") > total * F.lit(0.001)).select(group_by)
-            base = salted_join(df, groups.drop("_rows"), [group_by], "left", hot=hot).select(*df.columns, "_params")
+            first = F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias("_params")
+            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left").select(*df.columns, "_params")
             cols.update({k: F.col("_params").getField(k) for k in varying})
     else:
         raise ValueError(f"unknown scope '{scope}'")
     literals = {k: number for k, (_, number) in resolved.items() if number is not None}
+    if spec.check is not None and set(literals) == set(cols) and not spec.check(literals):
+        raise ValueError(f"{dist}: {spec.rule}")
     draws = Draws(seed, name, draw_key)
     value = spec.build(draws, {**cols, **lists, "_literals": literals})
-    if spec.check is not None:
-        value = _checked(value, spec.check, spec.rule, dist, literals, cols)
+    if spec.check is not None and set(literals) != set(cols):
+        ok = spec.check(cols)
+        value = F.when(ok, value).when(~ok, F.raise_error(F.lit(f"{dist}: {spec.rule}")))
     return draws.below(base).select(*[F.col(f"`{c}`") for c in df.columns if c != name], value.alias(name))
 
 
-def _checked(value: Column, check, rule: str, dist: str, literals: dict, cols: dict) -> Column:
-    """Parameters are tested: numbers at once, columns row by row."""
-    if set(literals) == set(cols):
-        if not check(literals):
-            raise ValueError(f"{dist}: {rule}")
-        return value
-    ok = check(cols)
-    return F.when(ok, value).when(~ok, F.raise_error(F.lit(f"{dist}: {rule}")))
-
-
-
-
 def post_settings(spec: dict) -> dict:
     """Post-processing of a column specification."""
     return {k: v for k, v in (spec.get("post") or {}).items() if v is not None}
