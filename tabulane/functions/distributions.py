@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulane.functions.uniform import bits_of, draw_hash, unit_of
+from tabulane.functions.uniform import bits_of, draw_hash, hash_group, unit_of
 
 
 class Draws:
@@ -25,15 +25,15 @@ class Draws:
     and drops again: each is computed once however often the value uses it.
     """
 
-    def __init__(self, seed: int, name: str, key: Column):
-        self.seed, self.name, self.key = seed, name, key
+    def __init__(self, seed: int, name: str, key: Column, hashing: str = "md5"):
+        self.seed, self.name, self.key, self.hashing = seed, name, key, hashing
         self.hashes: dict[str, Column] = {}
         self.draws: dict[str, Column] = {}
 
     def _bits(self, draw: int) -> Column:
-        text = f"_h{draw // 2}_{self.name}"
-        self.hashes[text] = draw_hash(self.seed, self.name, draw, self.key)
-        return bits_of(F.col(f"`{text}`"), draw)
+        helper = f"_h{hash_group(draw, self.hashing)}_{self.name}"
+        self.hashes[helper] = draw_hash(self.seed, self.name, draw, self.key, self.hashing)
+        return bits_of(F.col(f"`{helper}`"), draw, self.hashing)
 
     def u(self, draw: int = 0) -> Column:
         return self._draw(f"_u{draw}_{self.name}", unit_of(self._bits(draw)))
@@ -66,7 +66,13 @@ class Distribution(NamedTuple):
 # Arrow-batched draws. The bodies use only what they define, so executors need nothing but numpy.
 
 
+# The published SplitMix64 generator; the second one spaces the draws of a row.
+GOLDEN, SPACING, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
 def _gamma_udf():
+    golden, spacing, mix1, mix2 = GOLDEN, SPACING, MIX1, MIX2
+
     @F.pandas_udf("double")
     def gamma(bits: pd.Series, shape: pd.Series) -> pd.Series:
         """Standard gamma by the Marsaglia-Tsang rejection method, all pending rows at a time."""
@@ -80,9 +86,9 @@ def _gamma_udf():
             nonlocal counter
             counter = counter + np.uint64(1)
             with np.errstate(over="ignore"):
-                z = state[rows] * np.uint64(0x9E3779B97F4A7C15) + counter * np.uint64(0xD1B54A32D192ED03)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                z = state[rows] * np.uint64(golden) + counter * np.uint64(spacing)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(mix1)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(mix2)
                 z = z ^ (z >> np.uint64(31))
             return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
 

@@ -166,7 +166,7 @@ class MLModel:
 
 # Parameter names of the model catalogue and what MLlib calls them.
 TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_bins": "maxBins", "random_state": "seed"}
-FOREST = {**TREE, "n_estimators": "numTrees", "max_samples": "subsamplingRate"}
+FOREST = {**TREE, "n_estimators": "numTrees", "max_samples": "subsamplingRate", "bootstrap": "bootstrap"}
 BOOST = {**TREE, "n_estimators": "maxIter", "max_iter": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate"}
 HUBER = {"epsilon": "epsilon", "max_iter": "maxIter", "alpha": "regParam", "tol": "tol"}
 

@@ -46,15 +46,21 @@ class _Search:
 
 
 def exact_percentiles(
-    df: DataFrame, exprs: dict[str, Column], probs: list[float], few: int = FEW
+    df: DataFrame, exprs: dict[str, Column], probs: list[float], few: int = FEW, sizes: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
-    """Percentiles with linear interpolation between ranks; None for an all-missing expression."""
+    """Percentiles with linear interpolation between ranks; None for an all-missing expression.
+
+    `sizes` are the numbers of non-missing values, where the caller has counted them already.
+    """
     if not exprs:
         return {}
     names = {name: f"_c{i}" for i, name in enumerate(exprs)}
     data = df.select(*[e.cast("double").alias(names[n]) for n, e in exprs.items()])
     data = data.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in data.columns])
-    sizes = data.agg(*[F.count(c).alias(c) for c in data.columns]).first()
+    if sizes is None:
+        sizes = data.agg(*[F.count(c).alias(c) for c in data.columns]).first().asDict()
+    else:
+        sizes = {names[n]: sizes[n] for n in exprs}
     searches: dict[tuple[str, int], _Search] = {}
     for c in data.columns:
         for p in probs:

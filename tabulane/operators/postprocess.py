@@ -35,6 +35,7 @@ def post_process(
     dtype: str | None = None,
     seed: int = 0,
     key: str = "row_id",
+    hashing: str = "md5",
 ) -> DataFrame:
     if clip_min is not None and clip_max is not None and clip_min > clip_max:
         raise ValueError("clip_min must not exceed clip_max")
@@ -51,7 +52,7 @@ def post_process(
         if round_decimals is not None:
             value = S.round_half_even(value.cast("double"), round_decimals)
     if missing_rate:
-        gone = uniform(seed, f"{col}:missing", 0, F.col(key)) < F.lit(float(missing_rate))
+        gone = uniform(seed, f"{col}:missing", 0, F.col(key), hashing) < F.lit(float(missing_rate))
         value = F.when(~gone, value)
     if dtype:
         value = cast_column(value, kind, dtype)

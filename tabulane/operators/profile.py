@@ -35,7 +35,7 @@ def _rows(one_row: DataFrame, parts: list[Column]) -> DataFrame:
 
 
 def profile_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, rows, null_count, null_rate); rate 0 on an empty table."""
+    """(column, rows, null_count, null_rate); rate 0 on an empty table. Lazy, one aggregate."""
     cols = cols or df.columns
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(_present(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
@@ -49,32 +49,38 @@ def profile_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _rows(one, parts)
 
 
-def profile_numeric(df: DataFrame, cols: list[str] | None = None, with_median: bool = True) -> DataFrame:
-    """(column, mean, std, min, max, median): one aggregate over all columns; std is the sample one.
+STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
-    The exact median comes from counting rounds that hold no column in memory (see percentiles).
+
+def _column_stats(df: DataFrame, cols: list[str], numeric: list[str]) -> dict[str, dict]:
+    """Counts of all columns, statistics and exact medians of the numeric ones.
+
+    One aggregate serves everything but the medians; those take counting rounds that hold no column
+    in memory (see percentiles). Only the statistics come to the driver.
     """
-    cols = cols or numeric_columns(df)
-    value = {c: _present(df, c).cast("double") for c in cols}
-    aggs = []
+    value = {c: _present(df, c).cast("double") for c in numeric}
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
-        v = value[c]
-        aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
-    one = df.agg(*aggs)
-    medians = exact_percentiles(df, value, [0.5]) if with_median else {}
-    parts = []
-    for i, c in enumerate(cols):
-        fields = [
-            F.lit(c).alias("column"),
-            F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"),
-            F.col(f"l{i}").alias("min"),
-            F.col(f"h{i}").alias("max"),
-        ]
-        if with_median:
-            fields.append(F.lit(medians[c][0]).cast("double").alias("median"))
-        parts.append(F.struct(*fields))
-    return _rows(one, parts)
+        aggs.append(F.count(_present(df, c)).alias(f"n{i}"))
+        if c in value:
+            aggs += [fn(value[c]).alias(f"{name}{i}") for name, fn in STATS.items()]
+    row = df.agg(*aggs).first()
+    stats = {
+        c: {"rows": row["rows"], "present": row[f"n{i}"], **({s: row[f"{s}{i}"] for s in STATS} if c in value else {})}
+        for i, c in enumerate(cols)
+    }
+    medians = exact_percentiles(df, value, [0.5], sizes={c: stats[c]["present"] for c in numeric})
+    for c in numeric:
+        stats[c]["median"] = medians[c][0]
+    return stats
+
+
+def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column, mean, std, min, max, median); std is the sample one; all NULL without values."""
+    cols = cols or numeric_columns(df)
+    stats = _column_stats(df, cols, cols)
+    rows = [(c, *[stats[c][s] for s in (*STATS, "median")]) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, mean double, std double, min double, max double, median double")
 
 
 def profile_categories(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -92,14 +98,15 @@ def profile_categories(df: DataFrame, cols: list[str] | None = None) -> DataFram
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: logical type, missing values, numeric statistics."""
-    types = [(f.name, logical_type(f.dataType)) for f in df.schema.fields]
-    dtypes = df.sparkSession.createDataFrame(types, "column string, dtype string")
-    # all three sides have one row per column of the table
-    return (
-        F.broadcast(dtypes)
-        .join(F.broadcast(profile_nulls(df)), "column")
-        .join(F.broadcast(profile_numeric(df)), "column", "left")
-    )
+    stats = _column_stats(df, df.columns, numeric_columns(df))
+    rows = []
+    for f in df.schema.fields:
+        s = stats[f.name]
+        nulls = s["rows"] - s["present"]
+        rate = nulls / s["rows"] if s["rows"] else 0.0
+        rows.append((f.name, logical_type(f.dataType), s["rows"], nulls, rate, *[s.get(k) for k in (*STATS, "median")]))
+    schema = "column string, dtype string, rows long, null_count long, null_rate double, mean double, std double, min double, max double, median double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def detect_types(df: DataFrame, order_by: str, sample: int = SAMPLE) -> DataFrame:

@@ -13,6 +13,8 @@ from tabulane.functions.formula import kind_of, referenced_names, typed_formula
 from tabulane.functions.scalars import as_key
 from tabulane.operators.lookup import map_column
 from tabulane.operators.postprocess import post_process
+from tabulane.operators.profile import profile
+from tabulane.operators.projection import preview
 from tabulane.operators.skew import salted_join
 from tabulane.sources.tables import rows
 
@@ -56,8 +58,9 @@ def with_random(
     scope: str = "row",
     group_by: str | None = None,
     context: dict | None = None,
+    hashing: str = "md5",
 ) -> DataFrame:
-    """Add a random column that depends only on (seed, name, key).
+    """Add a random column that depends only on (seed, name, key) and the hash chosen by `hashing`.
 
     scope "row": a value per row; "global": one value, parameters from the first row; "group": one
     value per category of `group_by`, parameters from the first row of the category.
@@ -94,7 +97,7 @@ def with_random(
     literals = {k: number for k, (_, number) in resolved.items() if number is not None}
     if spec.check is not None and set(literals) == set(cols) and not spec.check(literals):
         raise ValueError(f"{dist}: {spec.rule}")
-    draws = Draws(seed, name, draw_key)
+    draws = Draws(seed, name, draw_key, hashing)
     value = spec.build(draws, {**cols, **lists, "_literals": literals})
     if spec.check is not None and set(literals) != set(cols):
         ok = spec.check(cols)
@@ -135,7 +138,7 @@ def in_order(specs: list[dict], context: dict | None = None) -> list[dict]:
 
 
 def add_columns(
-    df: DataFrame, specs: list[dict], context: dict | None = None, seed: int = 0, key: str = "row_id"
+    df: DataFrame, specs: list[dict], context: dict | None = None, seed: int = 0, key: str = "row_id", hashing: str = "md5"
 ) -> DataFrame:
     """Add the specified columns to `df`, whose column `key` identifies a row.
 
@@ -159,16 +162,29 @@ def add_columns(
                 scope=spec.get("scope", "row"),
                 group_by=spec.get("group_by"),
                 context=context,
+                hashing=hashing,
             )
         settings = post_settings(spec)
         if settings or spec.get("dtype"):
-            df = post_process(df, spec["name"], dtype=spec.get("dtype"), seed=seed, key=key, **settings)
+            df = post_process(df, spec["name"], dtype=spec.get("dtype"), seed=seed, key=key, hashing=hashing, **settings)
     return df
 
 
+def preview_with_profile(df: DataFrame, n: int = 200, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """The first n rows of a generated table and the statistics of the whole of it."""
+    shown = [c for c in df.columns if c != key]
+    return preview(df, n, [key]).select(*shown), profile(df.select(*shown))
+
+
 def generate(
-    spark: SparkSession, n: int, specs: list[dict], context: dict | None = None, seed: int = 0, keep_id: bool = False
+    spark: SparkSession,
+    n: int,
+    specs: list[dict],
+    context: dict | None = None,
+    seed: int = 0,
+    keep_id: bool = False,
+    hashing: str = "md5",
 ) -> DataFrame:
     """A table of n rows with the specified columns, in dependency order."""
-    table = add_columns(rows(spark, n), specs, context, seed)
+    table = add_columns(rows(spark, n), specs, context, seed, hashing=hashing)
     return table if keep_id else table.drop("row_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulane.functions.distributions import register_distribution
-from tabulane.plans.generate import add_columns, with_random
+from tabulane.functions.distributions import GOLDEN, MIX1, MIX2, SPACING, register_distribution
+from tabulane.plans.generate import add_columns, preview_with_profile, with_random
+from tabulane.sources.tables import load_source
 from tabulane.queries.base import even_sql, normal_sql, rounded, table, u_sql
 
 SEED = 42
@@ -140,6 +141,72 @@ def custom_distribution(spark, d):
     return with_random(_orders(spark, d), "x", "two_sided", {"size": 4}, SEED, KEY)
 
 
+# Gamma draws in SQL: SplitMix64 on 128-bit integers gives every uniform a row may need; the first
+# accepted attempt of the rejection method counts.
+
+ATTEMPTS = 24
+M64 = "CAST('18446744073709551616' AS UHUGEINT)"
+
+
+def _mix(z: str, shift: int, factor: int | None) -> str:
+    mixed = f"xor({z}, {z} >> {shift})"
+    return f"({mixed} * CAST('{factor}' AS UHUGEINT)) % {M64}" if factor else mixed
+
+
+def _gamma_ctes(tag: str, draw: int, shape: str) -> str:
+    """CTE `g_<tag>`(key, g): the standard gamma of every order, from the draw's hash bits."""
+    a = f"CAST({shape} AS DOUBLE)"
+    start = (1, 17)[draw % 2]
+    bits = f"CAST(('0x' || substr(md5('{SEED}|x|{draw // 2}|' || CAST({KEY} AS VARCHAR)), {start}, 13)) AS BIGINT)"
+    return f"""
+b0_{tag} AS (SELECT {KEY} AS key, CAST({bits} AS UHUGEINT) AS s, k FROM orders, (SELECT range AS k FROM range(1, {2 + 3 * ATTEMPTS}))),
+b1_{tag} AS (SELECT key, k, (((s * CAST('{GOLDEN}' AS UHUGEINT)) % {M64}) + ((CAST(k AS UHUGEINT) * CAST('{SPACING}' AS UHUGEINT)) % {M64})) % {M64} AS z FROM b0_{tag}),
+b2_{tag} AS (SELECT key, k, {_mix('z', 30, MIX1)} AS z FROM b1_{tag}),
+b3_{tag} AS (SELECT key, k, {_mix('z', 27, MIX2)} AS z FROM b2_{tag}),
+b4_{tag} AS (SELECT key, k, {_mix('z', 31, None)} AS z FROM b3_{tag}),
+u_{tag} AS (SELECT key, k, (CAST(z >> 11 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(9007199254740992 AS DOUBLE) AS u FROM b4_{tag}),
+t_{tag} AS (SELECT key, (k - 2) // 3 AS t, max(u) FILTER ((k - 2) % 3 = 0) AS u1, max(u) FILTER ((k - 2) % 3 = 1) AS u2, max(u) FILTER ((k - 2) % 3 = 2) AS u3
+  FROM u_{tag} WHERE k >= 2 GROUP BY 1, 2),
+x_{tag} AS (SELECT key, t, u3, d, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS x, 1 / sqrt(9 * d) AS c
+  FROM t_{tag}, (SELECT CASE WHEN {a} < 1 THEN {a} + 1 ELSE {a} END - 1 / CAST(3 AS DOUBLE) AS d)),
+v_{tag} AS (SELECT key, t, u3, d, x, pow(1 + c * x, 3) AS v FROM x_{tag}),
+w_{tag} AS (SELECT key, arg_min(d * v, t) AS g FROM v_{tag} WHERE v > 0 AND ln(u3) < 0.5 * x * x + d * (1 - CASE WHEN v > 0 THEN v ELSE 1 END + ln(CASE WHEN v > 0 THEN v ELSE 1 END)) GROUP BY 1),
+g_{tag} AS (SELECT w_{tag}.key AS key, g * CASE WHEN {a} < 1 THEN pow(u, 1 / {a}) ELSE 1 END AS g FROM w_{tag} JOIN u_{tag} ON w_{tag}.key = u_{tag}.key AND k = 1)"""
+
+
+GAMMA = f"WITH {_gamma_ctes('a', 0, '2.5')} SELECT key AS {KEY}, round(g * 2, 6) AS x FROM g_a"
+GAMMA_SMALL = f"WITH {_gamma_ctes('a', 0, '0.5')} SELECT key AS {KEY}, round(g * 3, 6) AS x FROM g_a"
+BETA = f"WITH {_gamma_ctes('a', 0, '2')}, {_gamma_ctes('b', 1, '5')} SELECT g_a.key AS {KEY}, round(g_a.g / (g_a.g + g_b.g), 6) AS x FROM g_a JOIN g_b ON g_a.key = g_b.key"
+CHISQUARE = f"WITH {_gamma_ctes('a', 0, '2')} SELECT key AS {KEY}, round(g * 2, 6) AS x FROM g_a"
+STUDENT_T = f"WITH {_gamma_ctes('a', 2, '3')} SELECT key AS {KEY}, round(1 + 2 * {normal_sql(SEED, 'x', 'key')} / sqrt(g * 2 / 6), 6) AS x FROM g_a"
+
+# inverse tables: running sums of the probabilities, and how many of them lie under u
+LARGE_COUNTS = f"""
+WITH o AS (SELECT {KEY}, o_totalprice / 10000 AS lam, {u_sql(SEED, 'rows_lam', 0, KEY)} AS u1, {u_sql(SEED, 'big_lam', 0, KEY)} AS u2, {u_sql(SEED, 'big_n', 0, KEY)} AS u3 FROM orders),
+k AS (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 200)),
+r AS (SELECT {KEY}, u1, sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) OVER (PARTITION BY {KEY} ORDER BY k) AS upto FROM o, k),
+a AS (SELECT {KEY}, count(*) FILTER (upto < u1) AS rows_lam FROM r GROUP BY 1),
+p AS (SELECT list(upto) AS t FROM (SELECT sum(exp(-400 + k * ln(CAST(400 AS DOUBLE)) - lgamma(k + 1))) OVER (ORDER BY k) AS upto FROM (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 800)))),
+n AS (SELECT list(upto) AS t FROM (SELECT sum(exp(lgamma(CAST(501 AS DOUBLE)) - lgamma(k + 1) - lgamma(501 - k) + k * ln(CAST(0.3 AS DOUBLE)) + (500 - k) * ln(CAST(0.7 AS DOUBLE)))) OVER (ORDER BY k) AS upto
+  FROM (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 501))))
+SELECT o.{KEY} AS {KEY}, rows_lam, CAST(len(list_filter(p.t, lambda c: c < u2)) AS BIGINT) AS big_lam, CAST(len(list_filter(n.t, lambda c: c < u3)) AS BIGINT) AS big_n
+FROM o JOIN a ON o.{KEY} = a.{KEY}, p, n"""
+
+
+def generate_rows(spark, d):
+    """A generated source with as many rows as there are orders."""
+    n = table(spark, d, "orders").count()
+    spec = {"rows": n, "seed": SEED, "columns": [{"name": "y", "formula": "x * 2 + K"}, {"name": "x", "dist": "uniform", "params": {"low": 0, "high": 10}}], "context": {"K": 1}}
+    return rounded(load_source(spark, spec))
+
+
+def generated_profile(spark, d):
+    """Statistics of a generated column, and the size of its preview."""
+    od = add_columns(_orders(spark, d), [{"name": "x", "dist": "normal", "params": {"mu": 50, "sigma": 20}, "post": {"missing_rate": 0.2}}], seed=SEED, key=KEY)
+    shown, stats = preview_with_profile(od, 200, KEY)
+    return rounded(stats.withColumn("previewed", F.lit(shown.count()).cast("long")), 5)
+
+
 # The income model (categories, parameters, formulas and lookup tables).
 INCOME_CONTEXT = {
     "region_education_mu": {"North": 14, "Center": 13, "South": 11},
@@ -211,11 +278,22 @@ CHECKS = {
         _sql(" + ".join(f"CAST({u_sql(SEED, 'x', i, KEY)} < CAST(0.4 AS DOUBLE) AS BIGINT)" for i in range(1, 6)), None),
     ),
     "random_poisson": (_draw("poisson", lam=3), POISSON),
-    "random_gamma": (_draw("gamma", shape=2.5, scale=2), None),
-    "random_beta": (_draw("beta", a=2, b=5), None),
-    "random_chisquare": (_draw("chisquare", df=4), None),
-    "random_student_t": (_draw("student_t", df=6, loc=1, scale=2), None),
-    "random_large_counts": (random_large_counts, None),
+    "random_gamma": (_draw("gamma", shape=2.5, scale=2), GAMMA),
+    "random_gamma_small_shape": (_draw("gamma", shape=0.5, scale=3), GAMMA_SMALL),
+    "random_beta": (_draw("beta", a=2, b=5), BETA),
+    "random_chisquare": (_draw("chisquare", df=4), CHISQUARE),
+    "random_student_t": (_draw("student_t", df=6, loc=1, scale=2), STUDENT_T),
+    "random_large_counts": (random_large_counts, LARGE_COUNTS),
+    "generate_rows": (
+        generate_rows,
+        f"SELECT round(10 * u, 6) AS x, round(20 * u + 1, 6) AS y FROM (SELECT {u_sql(SEED, 'x', 0, 'range')} AS u FROM range((SELECT count(*) FROM orders)))",
+    ),
+    "generated_profile": (
+        generated_profile,
+        f"""WITH t AS (SELECT CASE WHEN NOT {u_sql(SEED, 'x:missing', 0, KEY)} < 0.2 THEN 50 + 20 * {Z} END AS x FROM orders)
+        SELECT 'x' AS "column", 'float' AS dtype, count(*) AS rows, count(*) - count(x) AS null_count, round((count(*) - count(x)) / CAST(count(*) AS DOUBLE), 5) AS null_rate,
+        round(avg(x), 5) AS mean, round(stddev_samp(x), 5) AS std, round(min(x), 5) AS min, round(max(x), 5) AS max, round(median(x), 5) AS median, CAST(200 AS BIGINT) AS previewed FROM t""",
+    ),
     "random_families": (random_families, _families_sql()),
     "random_scopes": (random_scopes, RANDOM_SCOPES),
     "random_lookup_params": (random_lookup_params, RANDOM_LOOKUP),

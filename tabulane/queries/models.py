@@ -130,6 +130,26 @@ def _ml(model, **params):
     return run
 
 
+def _stump(model, **params):
+    """A single split on the tax rate: few distinct values, so every split is a candidate."""
+
+    def run(spark, d):
+        lines = _lines(spark, d).select("key", "l_tax", (F.col("l_extendedprice") * F.col("l_tax") * F.col("l_tax")).alias("y"))
+        fitted = M.fit(lines, "key", model, "y", ["l_tax"], {"max_depth": 1, **params}, ALL)
+        scored = M.predict(fitted, lines).groupBy("l_tax").agg(F.count(F.lit(1)).alias("n"), F.max("_prediction").alias("prediction"))
+        return rounded(scored, 5)
+
+    return run
+
+
+# the split with the least squared error left
+STUMP = f"""
+WITH t AS (SELECT l_tax, l_extendedprice * l_tax * l_tax AS y FROM ({LINES})), c AS (SELECT DISTINCT l_tax AS cut FROM t),
+s AS (SELECT cut, sum(y) FILTER (l_tax <= cut) AS sl, count(*) FILTER (l_tax <= cut) AS nl, sum(y) FILTER (l_tax > cut) AS sr, count(*) FILTER (l_tax > cut) AS nr FROM t, c GROUP BY cut),
+b AS (SELECT * FROM s WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC LIMIT 1)
+SELECT l_tax, count(*) AS n, round(CASE WHEN l_tax <= max(cut) THEN max(sl / nl) ELSE max(sr / nr) END, 5) AS prediction FROM t, b GROUP BY l_tax"""
+
+
 def fits_page(spark, d):
     """A listing of many fits (price on quantity for every supplier), newest first, one page."""
     fits = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
@@ -194,6 +214,9 @@ CHECKS = {
     "forest": (_ml("random_forest_regressor", n_estimators=10, max_depth=4), None),
     "gbt": (_ml("gradient_boosting_regressor", n_estimators=5, max_depth=3), None),
     "huber": (_ml("huber_regressor", max_iter=50), None),
+    "tree_stump": (_stump("decision_tree_regressor"), STUMP),
+    "forest_single": (_stump("random_forest_regressor", n_estimators=1, bootstrap=False), STUMP),
+    "gbt_single": (_stump("gradient_boosting_regressor", n_estimators=1), STUMP),
     "fits_page": (fits_page, FITS_PAGE),
     "custom_model": (
         custom_model,

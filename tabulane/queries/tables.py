@@ -46,8 +46,8 @@ SELECT event_id, value FROM t WHERE rn % k = 0"""
 
 
 def latest_order_per_customer(spark, d):
-    od = table(spark, d, "orders")
-    return P.latest_per_key(od, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    od = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return P.latest_per_key(od, "o_custkey", ["o_orderdate", "o_orderkey"])
 
 
 LATEST_ORDER = """

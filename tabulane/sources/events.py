@@ -21,4 +21,5 @@ def append_events(df: DataFrame, path: str, max_batch: int | None = None) -> Non
     """Append events to the table, partitioned by day. `max_batch` refuses larger batches."""
     if max_batch is not None and len(df.select("event_type").take(max_batch + 1)) > max_batch:
         raise ValueError(f"a batch holds at most {max_batch} events")
-    normalize_events(df).write.mode("append").partitionBy("date").parquet(path)
+    # rebalanced by day: small pieces are put together, a large day is split over several files
+    normalize_events(df).hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)

@@ -108,6 +108,32 @@ def test_same_table_on_any_partitioning_and_order(spark):
     assert table != table_checksum(G.generate(spark, 3000, SPECS, seed=6)).first()
 
 
+def test_cheaper_hash(spark, drawn):
+    fast = G.generate(spark, 3000, SPECS, seed=5, hashing="xxhash64")
+    assert table_checksum(fast).first() == table_checksum(G.generate(spark, 3000, SPECS[::-1], seed=5, hashing="xxhash64")).first()
+    assert table_checksum(fast).first() != table_checksum(G.generate(spark, 3000, SPECS, seed=5)).first()
+    df = spark.range(N).withColumnRenamed("id", "row_id")
+    for name in ("normal", "gamma", "poisson", "binomial", "student_t"):
+        df = G.with_random(df, name, name, MOMENTS[name][0], seed=3, hashing="xxhash64")
+    pdf = df.toPandas()
+    for name in ("normal", "gamma", "poisson", "binomial", "student_t"):
+        _, mean, std = MOMENTS[name]
+        assert abs(pdf[name].mean() - mean) < 5 * std / math.sqrt(N) and pdf[name].std() == pytest.approx(std, rel=0.08)
+    assert abs(pdf.normal.corr(pdf.student_t)) < 0.04
+    with pytest.raises(ValueError, match="unknown hash"):
+        G.generate(spark, 5, SPECS, hashing="crc")
+
+
+def test_draws_of_a_row_are_independent(spark):
+    df = spark.range(N).withColumnRenamed("id", "row_id")
+    df = G.with_random(df, "a", "uniform", {"low": 0, "high": 1}, seed=1)
+    df = G.with_random(df, "b", "uniform", {"low": 0, "high": 1}, seed=1)
+    df = G.with_random(df, "c", "beta", {"a": 2, "b": 2}, seed=1)
+    pdf = df.toPandas()
+    assert abs(np.corrcoef(pdf[["a", "b", "c"]].T) - np.eye(3)).max() < 0.04
+    assert np.histogram(pdf.a, 20, (0, 1))[0].std() < 3 * math.sqrt(N / 20)
+
+
 def test_scopes(spark):
     pdf = G.generate(spark, 500, SPECS, seed=5, keep_id=True).toPandas()
     assert pdf.groupby("d").e.nunique().tolist() == [1, 1] and pdf.g.nunique() == 1
