@@ -12,7 +12,7 @@ from functools import reduce
 from typing import Any, Callable, NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulane.functions.uniform import bits_of, draw_hash, hash_group, unit_of
@@ -21,8 +21,8 @@ from tabulane.functions.uniform import bits_of, draw_hash, hash_group, unit_of
 class Draws:
     """Uniforms of one column: the draw number keeps several draws of a row apart.
 
-    Hashes and draws are helper columns, in two projections below the value, which `with_random` adds
-    and drops again: each is computed once however often the value uses it.
+    Hashes and draws are helper columns in two projections below the value, added and dropped again by
+    whoever adds the value: each is computed once however often the value uses it.
     """
 
     def __init__(self, seed: int, name: str, key: Column, hashing: str = "md5"):
@@ -45,10 +45,6 @@ class Draws:
         self.draws[name] = value
         return F.col(f"`{name}`")
 
-    def below(self, df: DataFrame) -> DataFrame:
-        """`df` with the helper columns the value reads."""
-        return df.withColumns(self.hashes).withColumns(self.draws) if self.draws else df
-
     def normal(self, draw: int = 0) -> Column:
         """Standard normal (Box-Muller) from two uniforms."""
         return F.sqrt(F.lit(-2.0) * F.ln(self.u(draw))) * F.cos(F.lit(2 * math.pi) * self.u(draw + 1))

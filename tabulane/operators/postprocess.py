@@ -25,7 +25,7 @@ def cast_column(col: Column, kind: str, dtype: str) -> Column:
     return col.cast("string")
 
 
-def post_process(
+def post_column(
     df: DataFrame,
     col: str,
     clip_min: float | None = None,
@@ -36,7 +36,8 @@ def post_process(
     seed: int = 0,
     key: str = "row_id",
     hashing: str = "md5",
-) -> DataFrame:
+) -> Column:
+    """The post-processed value of a column of `df`."""
     if clip_min is not None and clip_max is not None and clip_min > clip_max:
         raise ValueError("clip_min must not exceed clip_max")
     if round_decimals is not None and not 0 <= round_decimals <= 10:
@@ -54,6 +55,9 @@ def post_process(
     if missing_rate:
         gone = uniform(seed, f"{col}:missing", 0, F.col(key), hashing) < F.lit(float(missing_rate))
         value = F.when(~gone, value)
-    if dtype:
-        value = cast_column(value, kind, dtype)
-    return df.withColumn(col, value)
+    return cast_column(value, kind, dtype) if dtype else value
+
+
+def post_process(df: DataFrame, col: str, **settings) -> DataFrame:
+    """Replace a column by its post-processed value (settings as in `post_column`)."""
+    return df.withColumn(col, post_column(df, col, **settings))

@@ -12,7 +12,7 @@ from tabulane.functions.distributions import DISTRIBUTIONS, Draws
 from tabulane.functions.formula import kind_of, referenced_names, typed_formula
 from tabulane.functions.scalars import as_key
 from tabulane.operators.lookup import map_column
-from tabulane.operators.postprocess import post_process
+from tabulane.operators.postprocess import post_column
 from tabulane.operators.profile import profile
 from tabulane.operators.projection import preview
 from tabulane.operators.skew import salted_join
@@ -65,9 +65,27 @@ def with_random(
     scope "row": a value per row; "global": one value, parameters from the first row; "group": one
     value per category of `group_by`, parameters from the first row of the category.
     """
+    base, draws, value = _draw(df, name, dist, params, seed, key, scope, group_by, context or {}, hashing)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return base.withColumns(draws.hashes).withColumns(draws.draws).select(*kept, value.alias(name))
+
+
+def _draw(
+    df: DataFrame,
+    name: str,
+    dist: str,
+    params: dict[str, Any],
+    seed: int,
+    key: str,
+    scope: str,
+    group_by: str | None,
+    context: dict,
+    hashing: str,
+) -> tuple[DataFrame, Draws, Column]:
+    """(table the value is built on, helper columns it reads, value)."""
     if dist not in DISTRIBUTIONS:
         raise ValueError(f"unknown distribution '{dist}'")
-    spec, context = DISTRIBUTIONS[dist], context or {}
+    spec = DISTRIBUTIONS[dist]
     given = {**spec.defaults, **params}
     missing = [p for p in spec.required if p not in given]
     if missing:
@@ -89,9 +107,10 @@ def with_random(
             raise ValueError(f"group-by column '{group_by}' not found")
         draw_key, cols = F.col(group_by), {k: c for k, (c, _) in resolved.items()}
         if varying:
-            first = F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias("_params")
-            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left").select(*df.columns, "_params")
-            cols.update({k: F.col("_params").getField(k) for k in varying})
+            helper = f"_params_{name}"
+            first = F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias(helper)
+            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left")
+            cols.update({k: F.col(f"`{helper}`").getField(k) for k in varying})
     else:
         raise ValueError(f"unknown scope '{scope}'")
     literals = {k: number for k, (_, number) in resolved.items() if number is not None}
@@ -102,7 +121,7 @@ def with_random(
     if spec.check is not None and set(literals) != set(cols):
         ok = spec.check(cols)
         value = F.when(ok, value).when(~ok, F.raise_error(F.lit(f"{dist}: {spec.rule}")))
-    return draws.below(base).select(*[F.col(f"`{c}`") for c in df.columns if c != name], value.alias(name))
+    return base, draws, value
 
 
 def post_settings(spec: dict) -> dict:
@@ -146,28 +165,45 @@ def add_columns(
     {"name", "formula", "post"?, "dtype"?}. The result is one lazy plan.
     """
     context = context or {}
-    for spec in in_order(specs, context):
+    for layer in _layers(in_order(specs, context), context):
+        df = _add_layer(df, layer, context, seed, key, hashing)
+    return df
+
+
+def _layers(specs: list[dict], context: dict) -> list[list[dict]]:
+    """Runs of specifications that do not read each other: each run shares its projections."""
+    names = {s["name"] for s in specs}
+    layers: list[list[dict]] = []
+    for spec in specs:
+        if not layers or _needs(spec, names, context) & {s["name"] for s in layers[-1]}:
+            layers.append([])
+        layers[-1].append(spec)
+    return layers
+
+
+def _add_layer(df: DataFrame, layer: list[dict], context: dict, seed: int, key: str, hashing: str) -> DataFrame:
+    base, values = df, {}
+    hashes: dict[str, Column] = {}
+    draws: dict[str, Column] = {}
+    for spec in layer:
+        name = spec["name"]
         if "formula" in spec:
             typed = typed_formula(spec["formula"], df, context, spec.get("aliases"))
-            col = typed.col.cast("double") if typed.kind == "int" else typed.col
-            df = df.withColumn(spec["name"], col)
-        else:
-            df = with_random(
-                df,
-                spec["name"],
-                spec["dist"],
-                spec.get("params", {}),
-                seed=seed,
-                key=key,
-                scope=spec.get("scope", "row"),
-                group_by=spec.get("group_by"),
-                context=context,
-                hashing=hashing,
-            )
+            values[name] = typed.col.cast("double") if typed.kind == "int" else typed.col
+            continue
+        settings = (seed, key, spec.get("scope", "row"), spec.get("group_by"), context, hashing)
+        base, drawn, values[name] = _draw(base, name, spec["dist"], spec.get("params", {}), *settings)
+        hashes.update(drawn.hashes)
+        draws.update(drawn.draws)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in values]
+    df = base.withColumns(hashes).withColumns(draws) if draws else base
+    df = df.select(*kept, *[v.alias(n) for n, v in values.items()])
+    finished = {}
+    for spec in layer:
         settings = post_settings(spec)
         if settings or spec.get("dtype"):
-            df = post_process(df, spec["name"], dtype=spec.get("dtype"), seed=seed, key=key, hashing=hashing, **settings)
-    return df
+            finished[spec["name"]] = post_column(df, spec["name"], dtype=spec.get("dtype"), seed=seed, key=key, hashing=hashing, **settings)
+    return df.withColumns(finished) if finished else df
 
 
 def preview_with_profile(df: DataFrame, n: int = 200, key: str = "row_id") -> tuple[DataFrame, DataFrame]:

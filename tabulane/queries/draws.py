@@ -105,14 +105,14 @@ FAMILY_SQL = {
 
 def random_families(spark, d):
     """One column per family with loc 1 and scale 2, drawn from the column's own uniforms."""
-    od = _orders(spark, d)
-    for name, (params, _) in FAMILY_SQL.items():
-        od = with_random(od, name, f"scipy.{name}", {**params, "loc": 1, "scale": 2}, SEED, KEY)
-    od = with_random(od, "norm", "scipy.norm", {"loc": 1, "scale": 2}, SEED, KEY)
-    od = with_random(od, "halfnorm", "scipy.halfnorm", {}, SEED, KEY)
-    od = with_random(od, "geom", "scipy.geom", {"p": 0.3}, SEED, KEY)
-    od = with_random(od, "randint", "scipy.randint", {"low": 3, "high": 9, "loc": 1}, SEED, KEY)
-    return rounded(od, 4)
+    specs = [{"name": n, "dist": f"scipy.{n}", "params": {**params, "loc": 1, "scale": 2}} for n, (params, _) in FAMILY_SQL.items()]
+    specs += [
+        {"name": "norm", "dist": "scipy.norm", "params": {"loc": 1, "scale": 2}},
+        {"name": "halfnorm", "dist": "scipy.halfnorm", "params": {}},
+        {"name": "geom", "dist": "scipy.geom", "params": {"p": 0.3}},
+        {"name": "randint", "dist": "scipy.randint", "params": {"low": 3, "high": 9, "loc": 1}},
+    ]
+    return rounded(add_columns(_orders(spark, d), specs, seed=SEED, key=KEY), 4)
 
 
 def _families_sql() -> str:
