@@ -175,25 +175,23 @@ def _uniform(d, p):
     return p["low"] + (p["high"] - p["low"]) * d.u()
 
 
+def _listed(value: Any) -> list:
+    """A list as it is, text as its comma-separated items."""
+    if isinstance(value, str):
+        return [item for item in map(str.strip, value.split(",")) if item]
+    return list(value or [])
+
+
 def parse_categories(params: dict) -> tuple[list[str], list[float]]:
-    """Categories and probabilities, each a list or comma-separated text, checked."""
-    cats, probs = params.get("categories"), params.get("probs")
-    if isinstance(cats, str):
-        cats = [c.strip() for c in cats.split(",") if c.strip()]
-    if isinstance(probs, str):
-        probs = [float(p) for p in probs.split(",") if p.strip()]
-    if not isinstance(cats, (list, tuple)) or not isinstance(probs, (list, tuple)) or not cats:
-        raise ValueError("categories and probs must be non-empty lists")
-    if len(cats) != len(probs):
-        raise ValueError("categories and probs differ in length")
-    if any(not isinstance(c, str) for c in cats):
+    """Categories and their probabilities, checked."""
+    cats, probs = _listed(params.get("categories")), [float(p) for p in _listed(params.get("probs"))]
+    if not cats or len(cats) != len(probs):
+        raise ValueError("categorical needs as many probs as categories, and at least one")
+    if not all(isinstance(c, str) for c in cats):
         raise ValueError("categories must be text")
-    probs = [float(p) for p in probs]
-    if any(p < 0 for p in probs):
-        raise ValueError("probabilities must not be negative")
-    if not math.isclose(sum(probs), 1.0, rel_tol=1e-5, abs_tol=1e-8):
-        raise ValueError("probabilities must add up to 1")
-    return list(cats), probs
+    if min(probs) < 0 or not math.isclose(math.fsum(probs), 1.0, rel_tol=1e-5, abs_tol=1e-8):
+        raise ValueError("probs must not be negative and must add up to 1")
+    return cats, probs
 
 
 def _categorical(d, p):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from dataclasses import dataclass
+from difflib import get_close_matches
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -150,9 +151,9 @@ class _Builder:
             return self.literal(CONSTANTS[name])
         if name in self.context:
             return self.literal(self.context[name])
-        near = [c for c in self.fields if name.lower() in c.lower()]
-        hint = f" Did you mean: {', '.join(near)}?" if near else ""
-        raise FormulaError(f"unknown name '{name}'.{hint} Available: {', '.join(self.fields)}")
+        close = get_close_matches(name, list(self.fields) + list(self.context), n=3)
+        advice = f"; closest: {', '.join(close)}" if close else ""
+        raise FormulaError(f"the formula uses '{name}', which is no column, constant or context entry{advice}")
 
     def on_Name(self, node):
         return self.name(node.id)

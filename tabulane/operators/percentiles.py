@@ -50,7 +50,8 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Percentiles with linear interpolation between ranks; None for an all-missing expression.
 
-    `sizes` are the numbers of non-missing values, where the caller has counted them already.
+    The rounds read `df` several times: a scan is pruned to the columns asked for, but persist a table
+    that is costly to compute. `sizes` are the numbers of non-missing values, where the caller has counted them already.
     """
     if not exprs:
         return {}

@@ -48,7 +48,8 @@ def salted_join(
         return left.join(right, keys, how)
     types = dict(left.dtypes)
     is_hot = _key_hash(keys, types).isin(hot)
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)
+    hashed = [F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))
     return left.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -11,6 +11,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",  # split a skewed join even if that costs a shuffle
     # the JVM only interprets methods above 8000 bytes; past that limit Spark then splits a wide
     # projection into small methods instead of fusing it with its neighbours
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -19,9 +20,24 @@ RUNTIME_CONF = {
 }
 
 
-def build_session(master: str | None = None, app: str = "tabulane", **conf: str) -> SparkSession:
-    """A session with the runtime settings; `master` and `conf` are for tests and benches."""
+SHUFFLE_BYTES = 128 << 20  # shuffled data one task should get
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions for an input of this size; adaptive execution merges what turns out small."""
+    return max(200, -(-input_bytes // SHUFFLE_BYTES))
+
+
+def build_session(
+    master: str | None = None, app: str = "tabulane", input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the runtime settings, shuffles sized for `input_bytes`.
+
+    `master` and `conf` are for tests and benches.
+    """
     builder = SparkSession.builder.appName(app)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():

@@ -110,12 +110,12 @@ def test_trailing_window_limits(spark):
 
 
 def test_lookups(spark):
-    df = spark.sql("SELECT * FROM VALUES ('junior', true), ('senior', false), ('x', NULL), (NULL, true) AS t(nivel, flag)")
-    table = {"junior": 3000, "senior": 6000}
-    assert [r["v"] for r in L.lookup(df, "nivel", table, "v", default=999).collect()] == [3000, 6000, 999, 999]
+    df = spark.sql("SELECT * FROM VALUES ('first', true), ('second', false), ('x', NULL), (NULL, true) AS t(level, flag)")
+    table = {"first": 3000, "second": 6000}
+    assert [r["v"] for r in L.lookup(df, "level", table, "v", default=999).collect()] == [3000, 6000, 999, 999]
     assert [r["v"] for r in L.lookup(df, "flag", {"True": "yes", "False": "no"}, "v", default="?").collect()] == ["yes", "no", "?", "yes"]
     with pytest.raises(Exception, match="pay.*key x"):
-        L.lookup(df, "nivel", table, "v", on_missing="error", name="pay").collect()
+        L.lookup(df, "level", table, "v", on_missing="error", name="pay").collect()
     large = {str(i): i for i in range(1000)}
     numbers = spark.range(1500)
     assert [r["v"] for r in L.lookup(numbers, "id", large, "v", default=-1).orderBy("id").collect()] == [i if i < 1000 else -1 for i in range(1500)]
@@ -240,7 +240,7 @@ def events(spark, rows):
 
 
 def test_kpi_batch(spark):
-    df = events(spark, [("click", "HP-1", None, None), ("click", "HP-1", None, "{}"), ("flow_started", "HP-1", None, None), ("flow_completed", "HP-1", None, None),
+    df = events(spark, [("click", "p1", None, None), ("click", "p1", None, "{}"), ("flow_started", "p1", None, None), ("flow_completed", "p1", None, None),
                         ("feedback_latency", None, 200, None), ("visible_actions_snapshot", None, None, '{"count": 5}')])
     k = {r["kpi"]: r["value"] for r in K.kpi_snapshot(df, "2024-01-02T00:00:00").collect()}
     assert (k["avg_clicks_happy_path"], k["completion_rate_pct"], k["p95_feedback_latency_ms"], k["visible_primary_actions"]) == (2.0, 100.0, 200.0, 5.0)
