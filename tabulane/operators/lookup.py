@@ -100,9 +100,9 @@ def exists_match(df: DataFrame, other: DataFrame, keys: list[str], condition: Co
     return salted_join(df, other.select(*keys).distinct(), keys, "left_semi")
 
 
-def group_value(df: DataFrame, by: str, value: Column, output: str) -> DataFrame:
+def group_value(df: DataFrame, by: str, value: Column, output: str, row_key: list[str] | None = None) -> DataFrame:
     """One aggregate value per category, on every row of the category."""
-    return salted_join(df, df.groupBy(by).agg(value.alias(output)), [by], "left")
+    return salted_join(df, df.groupBy(by).agg(value.alias(output)), [by], "left", salt_by=row_key)
 
 
 def first_per_group(df: DataFrame, by: str, order: str, cols: list[str]) -> DataFrame:

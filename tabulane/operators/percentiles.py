@@ -92,43 +92,53 @@ def exact_percentiles(
     return result
 
 
+def _by_span(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches over the same candidates, together; a span is sketched or sorted once."""
+    spans: dict[tuple, list[_Search]] = {}
+    for s in sorted(searches, key=lambda s: s.rank):
+        spans.setdefault(s.span, []).append(s)
+    return list(spans.values())
+
+
 def _narrow(data: DataFrame, wide: list[_Search], few: int) -> None:
     """One sketch pass for pivots, one counting pass that decides on which side each rank is."""
+    groups = _by_span(wide)
     asks = []
-    for i, s in enumerate(wide):
-        accuracy = min(MAX_ACCURACY, max(100, 8 * s.inside // few))  # just fine enough to leave few
-        at = (s.rank - s.below) / max(1, s.inside - 1)
-        around = [min(1.0, max(0.0, at + d)) for d in (-2 / accuracy, 2 / accuracy)]
-        asks.append(F.percentile_approx(s.candidate(), around, accuracy).alias(f"p{i}"))
-    pivots = data.agg(*asks).first()
+    for i, group in enumerate(groups):
+        inside, below = group[0].inside, group[0].below
+        accuracy = min(MAX_ACCURACY, max(100, 8 * inside // few))  # just fine enough to leave few
+        around = set()
+        for s in group:
+            at = (s.rank - below) / max(1, inside - 1)
+            around |= {min(1.0, max(0.0, round(at + d, 9))) for d in (-2 / accuracy, 2 / accuracy)}
+        asks.append(F.percentile_approx(group[0].candidate(), sorted(around), accuracy).alias(f"p{i}"))
+    found = data.agg(*asks).first()
+    pivots = [sorted(set(found[f"p{i}"])) for i in range(len(groups))]
     counts = []
-    for i, s in enumerate(wide):
-        for j, pivot in enumerate(pivots[f"p{i}"]):
-            c = F.col(s.col)
-            counts.append(F.count_if(c < F.lit(pivot)).alias(f"lt{i}_{j}"))
-            counts.append(F.count_if(c <= F.lit(pivot)).alias(f"le{i}_{j}"))
+    for i, group in enumerate(groups):
+        c = F.col(group[0].col)
+        for j, pivot in enumerate(pivots[i]):
+            counts += [F.count_if(c < F.lit(pivot)).alias(f"lt{i}_{j}"), F.count_if(c <= F.lit(pivot)).alias(f"le{i}_{j}")]
     seen = data.agg(*counts).first()
-    for i, s in enumerate(wide):
-        upper = s.below + s.inside
-        for j, pivot in enumerate(pivots[f"p{i}"]):
-            under, upto = seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]
-            if s.rank < under:
-                s.high, upper = pivot, under
-                break
-            if s.rank < upto:
-                s.value = pivot
-                break
-            s.low, s.below = pivot, upto
-        s.inside = upper - s.below
+    for i, group in enumerate(groups):
+        for s in group:
+            upper = s.below + s.inside
+            for j, pivot in enumerate(pivots[i]):
+                under, upto = seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]
+                if s.rank < under:
+                    s.high, upper = pivot, under
+                    break
+                if s.rank < upto:
+                    s.value = pivot
+                    break
+                s.low, s.below = pivot, upto
+            s.inside = upper - s.below
 
 
 def _look_up(data: DataFrame, todo: list[_Search]) -> None:
     """At most `few` candidates each: sort them and read the wanted places."""
-    spans: dict[tuple, list[_Search]] = {}
-    for s in todo:
-        spans.setdefault(s.span, []).append(s)
     job, size = [], 0
-    for group in spans.values():
+    for group in _by_span(todo):
         if job and size + group[0].inside > PER_JOB:
             _read_places(data, job)
             job, size = [], 0

@@ -59,7 +59,7 @@ def _unique_flag(df: DataFrame, target: str, key: list[str], flag: str) -> DataF
         F.min(F.struct(*key)).alias("_first"), F.count(F.lit(1)).alias("_times")
     )
     repeated = first.filter(F.col("_times") > 1)
-    joined = salted_join(df, repeated.select(target, "_first"), [target], "left")
+    joined = salted_join(df, repeated.select(target, "_first"), [target], "left", salt_by=key)
     ok = F.col("_first").isNull() | (F.struct(*key) == F.col("_first"))
     return joined.withColumn(flag, ok).drop("_first").select(*df.columns, flag)
 

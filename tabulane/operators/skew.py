@@ -35,12 +35,14 @@ def salted_join(
     how: str = "inner",
     hot: list[int] | None = None,
     salts: int = SALTS,
+    salt_by: list[str] | None = None,
 ) -> DataFrame:
     """`left.join(right, keys, how)` (inner, left, left_semi, left_anti) for a left side with hot keys.
 
-    Rows of a hot key are spread over `salts` sub-keys by a hash of the row; only the right rows of
-    hot keys are repeated. Without hot keys this is the plain join. `hot` may be handed in where the
-    hot keys are known from another table.
+    Rows of a hot key are spread over `salts` sub-keys by a hash of the row, or of `salt_by` (a row key:
+    then the other columns can still be pruned); only the right rows of hot keys are repeated. Without
+    hot keys this is the plain join. `hot` may be handed in where the hot keys are known from another
+    table. A hash and not a random number: a task that runs again must send each row the same way.
     """
     if hot is None:
         hot = hot_hashes(left, keys)
@@ -48,7 +50,7 @@ def salted_join(
         return left.join(right, keys, how)
     types = dict(left.dtypes)
     is_hot = _key_hash(keys, types).isin(hot)
-    hashed = [F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]
+    hashed = [F.col(f"`{c}`") for c, t in left.dtypes if (c in salt_by if salt_by else "map<" not in t)]
     spread = F.when(is_hot, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))

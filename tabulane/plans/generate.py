@@ -109,7 +109,7 @@ def _draw(
         if varying:
             helper = f"_params_{name}"
             first = F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias(helper)
-            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left")
+            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left", salt_by=[key])
             cols.update({k: F.col(f"`{helper}`").getField(k) for k in varying})
     else:
         raise ValueError(f"unknown scope '{scope}'")
