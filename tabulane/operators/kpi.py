@@ -130,6 +130,5 @@ def kpi_gate(kpis: DataFrame, targets: DataFrame | None = None, phase: str | Non
         .when(F.col("op") == ">=", value >= F.col("target"))
         .otherwise(F.raise_error(F.concat(F.lit("unsupported operator "), F.col("op"))).cast("boolean"))
     )
-    # a snapshot has one row per figure, eight in all
-    joined = targets.join(F.broadcast(kpis.select("kpi", "value")), "kpi", "left")
+    joined = targets.join(kpis.select("kpi", "value"), "kpi", "left")
     return joined.select("phase", "kpi", "op", "target", value.alias("value"), passed.alias("passed"))

@@ -165,34 +165,67 @@ class MLModel:
 
 
 # Parameter names of the model catalogue and what MLlib calls them.
-TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_bins": "maxBins", "random_state": "seed"}
-FOREST = {**TREE, "n_estimators": "numTrees", "max_samples": "subsamplingRate", "bootstrap": "bootstrap"}
+TREE = {
+    "max_depth": "maxDepth",
+    "min_samples_leaf": "minInstancesPerNode",
+    "min_impurity_decrease": "minInfoGain",
+    "max_bins": "maxBins",
+    "random_state": "seed",
+}
+FOREST = {
+    **TREE,
+    "n_estimators": "numTrees",
+    "max_samples": "subsamplingRate",
+    "bootstrap": "bootstrap",
+    "max_features": "featureSubsetStrategy",
+}
 BOOST = {**TREE, "n_estimators": "maxIter", "max_iter": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate"}
-HUBER = {"epsilon": "epsilon", "max_iter": "maxIter", "alpha": "regParam", "tol": "tol"}
 
 
 def _mllib(estimator, names: dict[str, str], **defaults) -> Callable[[DataFrame, str, list[str], dict], MLModel]:
     def fit(df: DataFrame, target: str, features: list[str], params: dict) -> MLModel:
         shared_dir(df.sparkSession)
         given = {names[k]: v for k, v in params.items() if k in names and v is not None}
-        assembler = VectorAssembler(inputCols=features, outputCol="_features")
-        rows = assembler.transform(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in dict.fromkeys([*features, target])]))
-        model = estimator(featuresCol="_features", labelCol=target, predictionCol="_raw", **{**defaults, **given}).fit(rows)
-        return MLModel(list(features), model)
+        if "featureSubsetStrategy" in given:
+            given["featureSubsetStrategy"] = str(given["featureSubsetStrategy"])
+        settings = dict(featuresCol="_features", labelCol=target, predictionCol="_raw")
+        return MLModel(list(features), estimator(**settings, **{**defaults, **given}).fit(_vectors(df, target, features)))
 
     return fit
 
 
+def _vectors(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in dict.fromkeys([*features, target])])
+    return VectorAssembler(inputCols=features, outputCol="_features").transform(numbers)
+
+
+def _huber(df: DataFrame, target: str, features: list[str], params: dict) -> MLModel:
+    """Huber loss with a fitted scale; `alpha` weighs the squared weights against the summed loss, MLlib's
+    penalty is against the mean."""
+    estimator = LinearRegression(
+        featuresCol="_features",
+        labelCol=target,
+        predictionCol="_raw",
+        loss="huber",
+        epsilon=float(params.get("epsilon", 1.35)),
+        regParam=float(params.get("alpha", 0.0001)) / df.count(),
+        maxIter=int(params.get("max_iter", 100)),
+        tol=float(params.get("tol", 1e-6)),
+        standardization=False,
+    )
+    return MLModel(list(features), estimator.fit(_vectors(df, target, features)))
+
+
 MODELS: dict[str, Callable[[DataFrame, str, list[str], dict], Regressor]] = {
     "linear_regression": _linear("ols"),
     "ridge": _linear("ridge"),
     "lasso": _linear("lasso"),
     "elastic_net": _linear("elastic_net"),
     "decision_tree_regressor": _mllib(DecisionTreeRegressor, TREE, maxDepth=5, seed=42),
-    "random_forest_regressor": _mllib(RandomForestRegressor, FOREST, numTrees=100, maxDepth=5, seed=42),
+    "random_forest_regressor": _mllib(RandomForestRegressor, FOREST, numTrees=100, maxDepth=5, featureSubsetStrategy="all", seed=42),
     "gradient_boosting_regressor": _mllib(GBTRegressor, BOOST, maxIter=100, maxDepth=3, stepSize=0.1, seed=42),
     "hist_gradient_boosting_regressor": _mllib(GBTRegressor, BOOST, maxIter=100, maxDepth=5, maxBins=255, stepSize=0.1, seed=42),
-    "huber_regressor": _mllib(LinearRegression, HUBER, loss="huber", epsilon=1.35, standardization=False),
+    "huber_regressor": _huber,
 }
 
 

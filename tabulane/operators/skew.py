@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001  # a key above this share of the rows is hot; so there are at most 1000 of them
 TRACKED = 16_384  # counters of the sketch; enough to find every key above HOT_SHARE
 SALTS = 64
-SMALL_ROWS = 100_000
+SMALL_ROWS = 100_000  # a side within both limits is broadcast
+SMALL_BYTES = 32 << 20
 
 
 def _key_hash(keys: list[str], types: dict[str, str]) -> Column:
@@ -57,15 +60,29 @@ def salted_join(
     return left.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Counts the table: the check that has to pass before it is broadcast."""
-    return df.count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """The check a table has to pass before it is broadcast: its rows are counted, then its bytes."""
+    rows = df.count()
+    if rows > max_rows:
+        return False
+    fixed, varying = 0, []
+    for name, dtype in df.dtypes:
+        if dtype in ("string", "binary"):
+            varying.append(F.octet_length(F.col(f"`{name}`")))
+        elif "<" in dtype:  # arrays, maps and structs
+            varying.append(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))))
+        else:
+            fixed += 16
+    if not varying:
+        return rows * fixed <= max_bytes
+    long = df.agg(F.sum(reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in varying])).alias("n")).first()["n"]
+    return rows * fixed + (long or 0) <= max_bytes
 
 
 def dimension_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_in: DataFrame | None = None
 ) -> DataFrame:
-    """Broadcast `right` when its counted size allows it, else the salted shuffle join.
+    """Broadcast `right` when its measured size allows it, else the salted shuffle join.
 
     `hot_in` is a table whose hot keys stand for those of `left`, when `left` is costly to compute.
     """

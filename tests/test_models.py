@@ -78,6 +78,26 @@ def test_mllib_models(spark, df, model, params):
     assert scored.count() == N and scored.filter("_prediction IS NULL").count() == N // 2 and "_features" not in scored.columns
 
 
+def test_huber_minimises_its_loss(spark):
+    """The fitted weights beat every nearby point on sum(scale + huber(z) * scale) + alpha * w'w."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=N), rng.normal(size=N)
+    y = 2 * a - b + 4 + rng.normal(0, 0.3, N) + np.where(rng.uniform(size=N) < 0.1, 15.0, 0.0)
+    data = spark.createDataFrame(pd.DataFrame({"id": range(N), "a": a, "b": b, "y": y}))
+    fit = M.fit(data, "id", "huber_regressor", "y", ["a", "b"], {"tol": 1e-10, "max_iter": 500, "alpha": 5.0}, ALL)
+    got = fit.model.coefficients()
+    at = np.array([got["a"], got["b"], got["_intercept"], fit.model.model.scale])
+
+    def loss(p):
+        z = np.abs(y - p[0] * a - p[1] * b - p[2]) / p[3]
+        return np.sum(p[3] + np.where(z < 1.35, z**2, 2 * 1.35 * z - 1.35**2) * p[3]) + 5.0 * (p[0] ** 2 + p[1] ** 2)
+
+    for i in range(4):
+        for step in (-0.01, 0.01, -0.001, 0.001):
+            assert loss(at) <= loss(at + step * np.eye(4)[i])
+    assert got["_intercept"] == pytest.approx(4, abs=0.2)
+
+
 def test_flow_checks_and_split(df):
     with pytest.raises(ValueError, match="unknown model"):
         M.fit(df, "id", "nope", "y", FEATURES)

@@ -12,7 +12,7 @@ from tabulane.operators import projection as P
 from tabulane.operators import quality as Q
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.operators.ranking import with_rank
-from tabulane.operators.skew import dimension_join, hot_hashes, salted_join
+from tabulane.operators.skew import dimension_join, hot_hashes, is_small, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,12 @@ def test_large_dimension_is_not_broadcast(spark, skewed, monkeypatch):
     assert plain(small) == plain(large)
 
 
+def test_small_means_few_rows_and_few_bytes(spark):
+    texts = spark.range(50).select("id", F.expr("repeat('x', 1000)").alias("t"), F.array(F.lit("yy")).alias("a"))
+    assert is_small(texts) and not is_small(texts, max_bytes=40_000) and not is_small(texts, max_rows=49)
+    assert is_small(spark.range(10)) and not is_small(spark.range(10), max_bytes=100)
+
+
 def test_join_chain_with_a_hot_key(spark, skewed, monkeypatch):
     monkeypatch.setattr("tabulane.operators.skew.is_small", lambda df: False)
     one = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 9).alias("g"))
