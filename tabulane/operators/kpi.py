@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulane.operators.longform import to_rows
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.operators.projection import trailing_window
 
@@ -95,12 +96,13 @@ def figures(p95: Column) -> dict[str, Column]:
     }
 
 
-def kpi_snapshot(df: DataFrame, as_of, hours: int = 168, **equal) -> DataFrame:
-    """(kpi, value) over the last `hours` before `as_of`.
+def kpi_snapshot(df: DataFrame, as_of, hours: int = 168, day_column: str | None = None, **equal) -> DataFrame:
+    """(kpi, value) over the last `hours` before `as_of`; `equal` filters columns, as user_id="u".
 
-    One aggregate for all counts; the exact 95th percentile comes from counting rounds.
+    One aggregate for all counts; the exact 95th percentile comes from counting rounds. Naming the day
+    partition of the event table in `day_column` keeps older days from being read.
     """
-    facts = event_facts(trailing_window(df, "created_at", hours, as_of, **equal))
+    facts = event_facts(trailing_window(df, "created_at", hours, as_of, day_column, **equal))
     p95 = exact_percentiles(facts, {"latency": F.col("latency")}, [0.95])["latency"][0]
     one = facts.agg(
         F.max("visible").alias("visible"),
@@ -115,7 +117,7 @@ def kpi_snapshot(df: DataFrame, as_of, hours: int = 168, **equal) -> DataFrame:
     )
     value = figures(F.lit(p95))
     rows = [F.struct(F.lit(k).alias("kpi"), value[k].alias("value")) for k in KPIS]
-    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    return to_rows(one, rows)
 
 
 def kpi_gate(kpis: DataFrame, targets: DataFrame | None = None, phase: str | None = None) -> DataFrame:

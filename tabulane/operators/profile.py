@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabulane.functions.formula import kind_of
 from tabulane.functions.scalars import missing_as_null
+from tabulane.operators.longform import to_rows
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.sources.tables import logical_type
 
@@ -29,11 +30,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if kind_of(f.dataType) in ("int", "num")]
 
 
-def _rows(one_row: DataFrame, parts: list[Column]) -> DataFrame:
-    """One-row table to one row per struct."""
-    return one_row.select(F.explode(F.array(*parts)).alias("_r")).select("_r.*")
-
-
 def profile_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, rows, null_count, null_rate); rate 0 on an empty table. Lazy, one aggregate."""
     cols = cols or df.columns
@@ -46,7 +42,7 @@ def profile_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         parts.append(
             F.struct(F.lit(c).alias("column"), F.col("_n").alias("rows"), nulls.alias("null_count"), rate.alias("null_rate"))
         )
-    return _rows(one, parts)
+    return to_rows(one, parts)
 
 
 STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
@@ -89,7 +85,7 @@ def profile_categories(df: DataFrame, cols: list[str] | None = None) -> DataFram
     long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "category")
     counts = long.filter(F.col("category").isNotNull()).groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"))
     one = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)])
-    totals = _rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("_total")) for i, c in enumerate(cols)])
+    totals = to_rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("_total")) for i, c in enumerate(cols)])
     # one row per column of the table: bounded by the schema
     return counts.join(F.broadcast(totals), "column").select(
         "column", "category", "n", (F.col("n") / F.col("_total")).alias("rate")
@@ -263,7 +259,7 @@ def scatter_summary(df: DataFrame, x: str, y: str, color: str | None = None) ->
         for tag, _ in ranged
         for end in ("min", "max")
     ]
-    ranges = _rows(points.agg(*aggs), parts)
+    ranges = to_rows(points.agg(*aggs), parts)
     if color is None or numeric:
         return ranges
     categories = points.filter(F.col(color).isNotNull()).select(F.col(color).cast("string").alias("category")).distinct()
@@ -309,7 +305,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, names: list[str] | None
     }
     if "median_ae" in wanted:
         value["median_ae"] = F.lit(exact_percentiles(data, {"e": F.abs(e)}, [0.5])["e"][0]).cast("double")
-    rows = _rows(one, [F.struct(F.lit(m).alias("metric"), value[m].alias("value")) for m in wanted])
+    rows = to_rows(one, [F.struct(F.lit(m).alias("metric"), value[m].alias("value")) for m in wanted])
     return rows.filter((F.col("metric") != "mape") | F.col("value").isNotNull())
 
 
@@ -317,7 +313,7 @@ def residual_stats(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """(metric, value): mean, population std, min and max of y - yhat."""
     e = _present(df, y).cast("double") - _present(df, yhat).cast("double")
     one = df.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"))
-    return _rows(
+    return to_rows(
         one, [F.struct(F.lit(f"residuals_{m}").alias("metric"), F.col(m).alias("value")) for m in ("mean", "std", "min", "max")]
     )
 

@@ -87,14 +87,21 @@ def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.count_if(ok).alias("complete"), F.count_if(~ok).alias("incomplete"))
 
 
-def trailing_window(df: DataFrame, ts: str, hours: int, as_of: dt.datetime | str, **equal) -> DataFrame:
-    """Rows from the last `hours` before `as_of`, with equality filters on other columns."""
+def trailing_window(
+    df: DataFrame, ts: str, hours: int, as_of: dt.datetime | str, day_column: str | None = None, **equal
+) -> DataFrame:
+    """Rows from the last `hours` before `as_of`, with equality filters on other columns.
+
+    `day_column` names a partition column holding the day of `ts`; older partitions are then skipped.
+    """
     if not 1 <= hours <= MAX_HOURS:
         raise ValueError(f"hours must be between 1 and {MAX_HOURS}")
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
     since = F.lit(as_of - dt.timedelta(hours=hours)).cast(df.schema[ts].dataType)
     rows = df.filter(F.col(ts) >= since)
+    if day_column is not None:
+        rows = rows.filter(F.col(day_column) >= F.to_date(since))
     for name, value in equal.items():
         rows = rows.filter(F.col(name) == value)
     return rows

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulane.operators.longform import to_rows
 from tabulane.operators.skew import salted_join
 
 # Comparison operators of a constraint.
@@ -105,8 +106,7 @@ def constraint_report(df: DataFrame, constraints: list[dict], key: str | list[st
         rows.append(
             F.struct(F.lit(c["type"]).alias("type"), F.lit(c["target"]).alias("target"), n.alias("failures"), own.alias("pass_rate"))
         )
-    long = one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-    return long.filter((F.col("type") == "all") | (F.col("failures") > 0))
+    return to_rows(one, rows).filter((F.col("type") == "all") | (F.col("failures") > 0))
 
 
 def with_reasons(df: DataFrame, constraints: list[dict], key: str | list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulane.functions.formula import formula, referenced_names, typed_formula
 from tabulane.functions.scalars import missing_as_null
+from tabulane.operators.longform import to_rows
 from tabulane.operators.projection import preview, require_columns, select_columns
 
 EXP_LIMIT = 700.0  # fixed value: exponents are held to this range
@@ -208,7 +209,7 @@ def recipe_warnings(df: DataFrame, steps: list[dict]) -> DataFrame:
         )
         for n, s in marks
     ]
-    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    return to_rows(one, rows)
 
 
 def recipe_schema(df: DataFrame, steps: list[dict]):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tabulane.operators.kpi import KPIS, kpi_snapshot
+from tabulane.operators.projection import trailing_window
 from tabulane.sources import events as E
 from tabulane.sources import tables as S
 from tabulane.streaming.events import ingest_stream, kpi_stream, read_event_stream
@@ -81,6 +82,17 @@ def test_append_events(spark, tmp_path):
         E.append_events(df, path, 1)
 
 
+def test_day_partitions_are_pruned(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 10)
+    path = str(tmp_path / "events")
+    E.append_events(batch(spark, [("click", "p", None, None, None, None, at + dt.timedelta(days=i)) for i in range(5)]), path)
+    table = spark.read.parquet(path)
+    recent = trailing_window(table, "created_at", 24, "2024-01-05T12:00:00", "date")
+    assert "(date" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:40] and recent.count() == 1
+    plain = kpi_snapshot(table, "2024-01-05T12:00:00", 48).collect()
+    assert plain == kpi_snapshot(table, "2024-01-05T12:00:00", 48, day_column="date", user_id="u").collect()
+
+
 def event_line(minute, kind, path=None, latency=None, meta=None, day=1):
     at = dt.datetime(2024, 1, day) + dt.timedelta(minutes=minute)
     return json.dumps({"user_id": "u", "event_type": kind, "path_id": path, "latency_ms": latency, "metadata": json.dumps(meta or {}), "created_at": at.isoformat()})
@@ -123,6 +135,20 @@ def test_kpi_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert rows[dt.datetime(2024, 1, 1, 5)]["avg_clicks_happy_path"] == 1.0 and len(rows) == 2
 
 
+def test_sliding_windows(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "1.json").write_text("\n".join([event_line(90, "click", "p"), event_line(100, "click", "p"), event_line(150, "click", "p"), event_line(900, "click", "p")]))
+    figures = kpi_stream(read_event_stream(spark, str(src)), "2 hours", "1 hour", "1 minute")
+    query = (
+        figures.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {r["window_start"].hour: r["avg_clicks_happy_path"] for r in spark.read.parquet(out).collect()}
+    assert got == {0: 2.0, 1: 3.0, 2: 1.0}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["bin", "start", "end", "category", "n", "total"] and df.count() == 30
