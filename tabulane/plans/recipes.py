@@ -10,7 +10,7 @@ from typing import Callable, NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulane.functions.formula import formula, referenced_names, typed_formula
+from tabulane.functions.formula import referenced_names, typed_formula
 from tabulane.functions.scalars import missing_as_null
 from tabulane.operators.longform import to_rows
 from tabulane.operators.projection import preview, require_columns, select_columns
