@@ -87,7 +87,7 @@ def exact_percentiles(
                 continue
             at = p * (sizes[c] - 1)
             a, b = searches[(c, math.floor(at))].value, searches[(c, math.ceil(at))].value
-            values.append(a + (b - a) * (at - math.floor(at)))
+            values.append(a if a == b else a + (b - a) * (at - math.floor(at)))
         result[name] = values
     return result
 

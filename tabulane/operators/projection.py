@@ -114,7 +114,7 @@ def page(df: DataFrame, order_by: list[Column], offset: int, limit: int) -> tupl
         return df.orderBy(*order_by).offset(offset).limit(limit), total
     ranked = with_rank(df, order_by)
     rows = ranked.filter((F.col("_rank") >= offset) & (F.col("_rank") < offset + limit))
-    return rows.drop("_rank"), total
+    return rows.orderBy("_rank").drop("_rank"), total
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -129,7 +129,7 @@ def thin(df: DataFrame, order_by: list[Column], max_points: int = 1000) -> DataF
     if n <= max_points:
         return df
     step = -(-n // max_points)
-    return with_rank(df, order_by).filter(F.col("_rank") % step == 0).drop("_rank")
+    return with_rank(df, order_by).filter(F.col("_rank") % step == 0).orderBy("_rank").drop("_rank")
 
 
 def split_flag(key: Column, test_size: float = 0.2, seed: int = 42) -> Column:

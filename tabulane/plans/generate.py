@@ -162,7 +162,8 @@ def add_columns(
     """Add the specified columns to `df`, whose column `key` identifies a row.
 
     A specification is {"name", "dist", "params", "scope"?, "group_by"?, "post"?, "dtype"?} or
-    {"name", "formula", "post"?, "dtype"?}. The result is one lazy plan.
+    {"name", "formula", "strict"?, "post"?, "dtype"?}; a strict formula fails on a division by zero and the
+    like. The result is one lazy plan.
     """
     context = context or {}
     for layer in _layers(in_order(specs, context), context):
@@ -188,7 +189,7 @@ def _add_layer(df: DataFrame, layer: list[dict], context: dict, seed: int, key:
     for spec in layer:
         name = spec["name"]
         if "formula" in spec:
-            typed = typed_formula(spec["formula"], df, context, spec.get("aliases"))
+            typed = typed_formula(spec["formula"], df, context, spec.get("aliases"), spec.get("strict", False))
             values[name] = typed.col.cast("double") if typed.kind == "int" else typed.col
             continue
         settings = (seed, key, spec.get("scope", "row"), spec.get("group_by"), context, hashing)

@@ -190,6 +190,14 @@ def test_order_of_columns_and_cycles(spark):
         G.generate(spark, 0, [])
 
 
+def test_strict_formula(spark):
+    specs = [{"name": "x", "formula": "1 / (row_id - 2)", "strict": True}]
+    df = spark.range(5).withColumnRenamed("id", "row_id")
+    with pytest.raises(Exception, match="division by zero"):
+        G.add_columns(df, specs).collect()
+    assert [r["x"] for r in G.add_columns(df, [{**specs[0], "strict": False}]).orderBy("row_id").collect()][2] is None
+
+
 def test_register(spark):
     register_distribution("coin", lambda d, p: F.when(d.u() < 0.5, "head").otherwise("tail"))
     got = G.with_random(spark.range(200).withColumnRenamed("id", "row_id"), "x", "coin", {}).groupBy("x").count().collect()
