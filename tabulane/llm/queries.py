@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulane.llm import byte_bpe, chat, fingerprint, language, mixing, quality, token_counts
+from tabulane.llm import byte_bpe, chat, fingerprint, jaccard_join, language, mixing, quality, token_counts
 from tabulane.llm.common import held_out, load
 from tabulane.session import cut_lineage
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load(spark, folder, "documents"))
+
+
 def op8_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(load(spark, folder, "documents"))
 
@@ -99,11 +103,33 @@ cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source_key, pass ORDER BY ord
 SELECT doc_id, source, CAST(pass AS BIGINT) AS pass, n_tokens, order_key FROM cum WHERE pass < whole OR upto <= rest
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+sig AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS sig FROM sh GROUP BY 1),
+rep AS (SELECT sig, min(doc_id) AS rep FROM sig GROUP BY 1),
+own AS (SELECT * FROM sh WHERE doc_id IN (SELECT rep FROM rep)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_ >= 75 * (na.n + nb.n - both_)
+  UNION SELECT rep, doc_id FROM sig JOIN rep USING (sig)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(start_, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT start_, b FROM reach JOIN edges ON a = node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT start_ AS doc_id, min(node) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""
+
 CHECKS = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_quality": (op6_quality, None),
+    "op7_jaccard": (op7_jaccard, OP7_SQL),
     "op8_fingerprint": (op8_fingerprint, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_chat": (op10_chat, OP10_SQL),
