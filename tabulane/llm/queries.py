@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulane.llm import byte_bpe, chat, fingerprint, jaccard_join, language, mixing, quality, token_counts
+from tabulane.llm import byte_bpe, chat, fingerprint, jaccard_join, kmeans_tree, language, mixing, quality, suffix_dedup, token_counts
 from tabulane.llm.common import held_out, load
 from tabulane.session import cut_lineage
 
@@ -24,6 +24,14 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(load(spark, folder, "documents")).drop("tag")
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.nearest_neighbours(load(spark, folder, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(load(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, folder, "documents"), VOCABULARY)
 
@@ -103,6 +111,26 @@ cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source_key, pass ORDER BY ord
 SELECT doc_id, source, CAST(pass AS BIGINT) AS pass, n_tokens, order_key FROM cum WHERE pass < whole OR upto <= rest
 """
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS p FROM d)),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, p) AS r FROM w),
+again AS (SELECT doc_id, p FROM k WHERE r > 1),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+      SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM again))
+  GROUP BY doc_id, run
+), gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before_ FROM runs),
+cut AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, CAST(2 * before_ + 1 AS BIGINT), CAST(2 * (a - before_) AS BIGINT)), '' ORDER BY a) AS kept, max(b) AS ends
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(ends, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
@@ -127,6 +155,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT start_ AS doc_id,
 CHECKS = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
+    "op3_neighbours": (op3_neighbours, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, OP4_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_quality": (op6_quality, None),
     "op7_jaccard": (op7_jaccard, OP7_SQL),
