@@ -1,7 +1,7 @@
 """Chat formatting: typed content parts flattened into one marked-up text with a loss mask and its attachments.
 
-A turn is written `<|im_start|>role NEWLINE body <|im_end|> NEWLINE`. Inside roles and texts a backslash goes before every
-backslash and `<` (and, in roles, before a line break), so no text can hold a control string and every turn can be read back.
+A turn is written `<|im_start|>role NEWLINE body <|im_end|> NEWLINE`. Inside roles and texts a backslash goes after every
+backslash and every `<` (a line break in a role becomes `<n`), so no text can hold `<|` and every turn can be read back.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ OTHER = "attachment"  # placeholder of a kind not listed; each unit counts as on
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\<"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("<\\"))
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
+    return F.replace(escape(role), F.lit("\n"), F.lit("<n"))
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"([<\\])\\", "$1")
 
 
 def text_part(text: Column) -> Column:
@@ -118,12 +118,12 @@ def format_chats(
 def read_back(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(conv, turns array<struct<role,text>>, loss_texts array<string>, formatted_chars): all read from the formatted text and its mask."""
     pieces = F.filter(F.split(F.col("formatted"), r"<\|im_end\|>\n"), lambda x: x != "")
-    role = r"^<\|im_start\|>((?:[^\\\n]++|\\[\s\S])*+)\n"
+    role = r"^<\|im_start\|>([^\n]*)\n"
 
     def turn(piece: Column) -> Column:
         raw = F.regexp_extract(piece, role, 1)
         text = F.substring(piece, F.char_length(raw) + len(OPEN) + 2, F.char_length(piece))
-        return F.struct(unescape(raw).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape(F.replace(raw, F.lit("<n"), F.lit("\n"))).alias("role"), unescape(text).alias("text"))
 
     cut = chats.select(F.col(conv), F.col("loss_mask"), pieces.alias("pieces"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     under = F.zip_with("pieces", "loss_mask", lambda p, m: F.when(m["length"] > 0, unescape(F.substring(p, m["start"] + 1, m["length"]))))
