@@ -251,18 +251,9 @@ def _lognormal(d, p):
     return F.exp(p["mean"] + p["sigma"] * d.normal())
 
 
-MAX_TRIALS = 64  # up to here a binomial is the sum of its trials
-
-
 def _binomial(d, p):
-    n = p.get("_literals", {}).get("n")
-    if n is None or n > MAX_TRIALS:
-        return _count_udf("binomial")(d.u(), p["n"], p["p"])
-    hits = [(d.u(i) < p["p"]).cast("long") for i in range(1, int(n) + 1)]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    """One uniform draw inverted, whether the number of trials is a literal or a column."""
+    return _count_udf("binomial")(d.u(), p["n"], p["p"])
 
 
 def _triangular(d, p):

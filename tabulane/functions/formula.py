@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass
 from difflib import get_close_matches
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -257,18 +258,23 @@ class _Builder:
         return a.number().cast("double"), b.number().cast("double"), "num"
 
     def on_BoolOp(self, node):
-        """Like the language's `and`/`or`: the operand that decides is the value."""
-        result = self.build(node.values[0])
-        for part in node.values[1:]:
-            nxt = self.build(part)
-            both, either = isinstance(node.op, ast.And), isinstance(node.op, ast.Or)
-            if result.kind == nxt.kind == "bool":
-                result = Typed(result.col & nxt.col if both else result.col | nxt.col, "bool")
-                continue
-            x, y, kind = self.unify(result, nxt)
-            truth = result.truth()
-            result = Typed(F.when(truth, x if either else y).otherwise(y if either else x), kind)
-        return result
+        """Like the language's `and`/`or`: the operand that decides is the value. One CASE with a branch per operand, so long chains stay
+        as long as they are written."""
+        parts, either = [self.build(v) for v in node.values], isinstance(node.op, ast.Or)
+        if all(p.kind == "bool" for p in parts):
+            join = (lambda a, b: a | b) if either else (lambda a, b: a & b)
+            return Typed(reduce(join, [p.col for p in parts]), "bool")
+        common = parts[0]
+        for part in parts[1:]:
+            _, y, kind = self.unify(common, part)
+            common = Typed(y, kind)
+        values = [self.unify(p, common)[0] for p in parts]
+        case = None
+        for part, value in zip(parts[:-1], values[:-1]):
+            truth = F.coalesce(part.truth(), F.lit(False))
+            stop = truth if either else ~truth
+            case = F.when(stop, value) if case is None else case.when(stop, value)
+        return Typed(case.otherwise(values[-1]), common.kind)
 
     def on_IfExp(self, node):
         return self.choice(self.build(node.test), self.build(node.body), self.build(node.orelse))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,13 @@ def missing_as_null(col: Column) -> Column:
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
+def present_column(df: DataFrame, col: str) -> Column:
+    """A column of `df` with NaN turned into NULL."""
+    if df.schema[col].dataType.typeName() in ("double", "float"):
+        return missing_as_null(F.col(f"`{col}`")).cast(df.schema[col].dataType)
+    return F.col(f"`{col}`")
+
+
 def _domain(ok: Column, value: Column, strict: bool, what: str) -> Column:
     if strict:
         return F.when(ok, value).when(~ok, F.raise_error(F.lit(what)))

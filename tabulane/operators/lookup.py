@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulane.functions.formula import kind_of
-from tabulane.functions.scalars import as_key
+from tabulane.functions.scalars import as_key, present_column
 from tabulane.operators.skew import dimension_join, salted_join
 
 MAX_LITERAL = 200  # entries of a lookup table kept as a literal of the plan; larger ones are joined
 
 
-def _value(value: Any) -> Column:
-    return F.lit(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else F.lit(value)
+def _typed(table: dict, default: Any) -> tuple[str, dict, Any]:
+    """(type, entries, default) of a literal table: text if any entry is text, else numbers; the same however the table is used."""
+    text = any(isinstance(v, str) for v in table.values()) or (not table and isinstance(default, str))
+
+    def one(v: Any) -> Any:
+        return None if v is None else str(v) if text else float(v)
+
+    return ("string" if text else "double"), {str(k): one(v) for k, v in table.items()}, one(default)
 
 
 def map_column(key: Column, table: dict, default: Any = 0, on_missing: str = "default", name: str = "table") -> Column:
     """Value of `key` (already text) in a small literal table."""
-    text = any(isinstance(v, str) for v in table.values())
-    dtype = "string" if text else "double"
+    dtype, entries, default = _typed(table, default)
     if on_missing == "error":
         other = F.raise_error(F.concat(F.lit(f"no entry in '{name}' for key "), F.coalesce(key, F.lit("NULL")))).cast(dtype)
     else:
-        other = _value(default).cast(dtype)
+        other = F.lit(default).cast(dtype)
     if not table:
         return other
-    pairs = [part for k, v in table.items() for part in (F.lit(str(k)), _value(v).cast(dtype))]
+    pairs = [part for k, v in entries.items() for part in (F.lit(k), F.lit(v).cast(dtype))]
     return F.coalesce(F.create_map(*pairs)[key], other)
 
 
@@ -55,9 +60,8 @@ def lookup(
     if isinstance(table, dict) and len(table) <= MAX_LITERAL:
         return df.withColumn(output, map_column(_key(df, key), table, default, on_missing, name))
     if isinstance(table, dict):
-        text = any(isinstance(v, str) for v in table.values())
-        rows = [(str(k), v if text else float(v)) for k, v in table.items()]
-        table = df.sparkSession.createDataFrame(rows, f"key string, value {'string' if text else 'double'}")
+        dtype, entries, default = _typed(table, default)
+        table = df.sparkSession.createDataFrame(list(entries.items()), f"key string, value {dtype}")
         table_key, table_value = "key", "value"
     side = table.select(
         F.col(table_key).cast("string").alias("_lookup_key"), F.col(table_value).alias("_lookup_value"), F.lit(True).alias("_lookup_hit")
@@ -101,8 +105,9 @@ def exists_match(df: DataFrame, other: DataFrame, keys: list[str], condition: Co
 
 
 def group_value(df: DataFrame, by: str, value: Column, output: str, row_key: list[str] | None = None) -> DataFrame:
-    """One aggregate value per category, on every row of the category."""
-    return salted_join(df, df.groupBy(by).agg(value.alias(output)), [by], "left", salt_by=row_key)
+    """One aggregate value per category, on every row of the category; NaN is missing."""
+    known = df.select(*[present_column(df, c).alias(c) for c in df.columns])
+    return salted_join(df, known.groupBy(by).agg(value.alias(output)), [by], "left", salt_by=row_key)
 
 
 def first_per_group(df: DataFrame, by: str, order: str, cols: list[str]) -> DataFrame:

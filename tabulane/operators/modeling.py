@@ -104,10 +104,24 @@ def _descend(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, rounds: int,
     return w, done
 
 
+# Parameters that change how a fit runs, but not its result.
+NO_EFFECT = {"n_jobs", "copy_X", "verbose", "warm_start", "random_state", "precompute", "solver", "selection"}
+
+
+def _known_only(params: dict, known: set[str]) -> None:
+    """Refuse a parameter that would be passed over."""
+    unknown = sorted(k for k, v in params.items() if v is not None and k not in known | NO_EFFECT)
+    if unknown:
+        raise ValueError(f"parameters not supported by this model: {unknown}; known are {sorted(known)}")
+
+
 def _linear(kind: str) -> Callable[[DataFrame, str, list[str], dict], LinearModel]:
     def fit(df: DataFrame, target: str, features: list[str], params: dict) -> LinearModel:
+        _known_only(params, {"alpha", "l1_ratio", "max_iter", "tol", "fit_intercept"})
         m = moments(df, [*features, target])
-        xx, xy = m.cross[:-1, :-1], m.cross[:-1, -1]
+        centred = params.get("fit_intercept") is not False
+        cross = m.cross if centred else m.cross + m.n * np.outer(m.mean, m.mean)
+        xx, xy = cross[:-1, :-1], cross[:-1, -1]
         alpha, ratio, iterations = float(params.get("alpha", 1.0)), float(params.get("l1_ratio", 0.5)), None
         if kind == "ols":
             # unit diagonal first: columns of very different size stay well conditioned
@@ -118,10 +132,10 @@ def _linear(kind: str) -> Callable[[DataFrame, str, list[str], dict], LinearMode
         else:
             l1 = alpha if kind == "lasso" else alpha * ratio
             l2 = 0.0 if kind == "lasso" else alpha * (1 - ratio)
-            scale = np.sqrt(m.cross[-1, -1] / m.n)
+            scale = np.sqrt(cross[-1, -1] / m.n)
             tol = 1e-10 * (scale if scale > 0 else 1.0)
             w, iterations = _descend(xx / m.n, xy / m.n, l1, l2, int(params.get("max_iter", 100_000)), tol)
-        return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w), iterations)
+        return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w) if centred else 0.0, iterations)
 
     return fit
 
@@ -184,6 +198,7 @@ BOOST = {**TREE, "n_estimators": "maxIter", "max_iter": "maxIter", "learning_rat
 
 def _mllib(estimator, names: dict[str, str], **defaults) -> Callable[[DataFrame, str, list[str], dict], MLModel]:
     def fit(df: DataFrame, target: str, features: list[str], params: dict) -> MLModel:
+        _known_only(params, set(names))
         shared_dir(df.sparkSession)
         given = {names[k]: v for k, v in params.items() if k in names and v is not None}
         if "featureSubsetStrategy" in given:
@@ -202,7 +217,9 @@ def _vectors(df: DataFrame, target: str, features: list[str]) -> DataFrame:
 def _huber(df: DataFrame, target: str, features: list[str], params: dict) -> MLModel:
     """Huber loss with a fitted scale; `alpha` weighs the squared weights against the summed loss, MLlib's
     penalty is against the mean."""
+    _known_only(params, {"epsilon", "alpha", "max_iter", "tol", "fit_intercept"})
     estimator = LinearRegression(
+        fitIntercept=params.get("fit_intercept") is not False,
         featuresCol="_features",
         labelCol=target,
         predictionCol="_raw",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulane.functions.formula import kind_of
-from tabulane.functions.scalars import missing_as_null
+from tabulane.functions.scalars import present_column
 from tabulane.operators.longform import to_rows
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.sources.tables import logical_type
@@ -19,13 +19,6 @@ SUMS_PER_JOB = 90  # sums computed in one scan, within what generated code can h
 SAMPLE = 100  # fixed value: non-missing values looked at for the display type
 
 
-def _present(df: DataFrame, col: str) -> Column:
-    """Column with NaN turned into NULL."""
-    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
-        return missing_as_null(F.col(f"`{col}`"))
-    return F.col(f"`{col}`")
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if kind_of(f.dataType) in ("int", "num")]
 
@@ -33,7 +26,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def profile_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, rows, null_count, null_rate); rate 0 on an empty table. Lazy, one aggregate."""
     cols = cols or df.columns
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(_present(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(present_column(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     parts = []
     for i, c in enumerate(cols):
@@ -54,10 +47,10 @@ def _column_stats(df: DataFrame, cols: list[str], numeric: list[str]) -> dict[st
     One aggregate serves everything but the medians; those take counting rounds that hold no column
     in memory (see percentiles). Only the statistics come to the driver.
     """
-    value = {c: _present(df, c).cast("double") for c in numeric}
+    value = {c: present_column(df, c).cast("double") for c in numeric}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
-        aggs.append(F.count(_present(df, c)).alias(f"n{i}"))
+        aggs.append(F.count(present_column(df, c)).alias(f"n{i}"))
         if c in value:
             aggs += [fn(value[c]).alias(f"{name}{i}") for name, fn in STATS.items()]
     row = df.agg(*aggs).first()
@@ -112,7 +105,7 @@ def detect_types(df: DataFrame, order_by: str, sample: int = SAMPLE) -> DataFram
     """
     found = []
     for f in df.schema.fields:
-        v, kind = _present(df, f.name), kind_of(f.dataType)
+        v, kind = present_column(df, f.name), kind_of(f.dataType)
         first = df.select(F.col(order_by).alias("_o"), v.alias("v")).filter(F.col("v").isNotNull()).orderBy("_o").limit(sample)
         n = F.count(F.lit(1))
         if kind == "bool":
@@ -135,7 +128,7 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
     r is 0 when there is no complete pair or one side does not vary.
     """
-    a, b = _present(df, x).cast("double"), _present(df, y).cast("double")
+    a, b = present_column(df, x).cast("double"), present_column(df, y).cast("double")
     one = df.agg(
         F.regr_sxy(b, a).alias("xy"), F.regr_sxx(b, a).alias("xx"), F.regr_syy(b, a).alias("yy"), F.regr_count(b, a).alias("n")
     )
@@ -152,7 +145,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     What reaches the driver are a few numbers per pair of columns.
     """
     cols = cols or numeric_columns(df)
-    value = {c: _present(df, c).cast("double") for c in cols}
+    value = {c: present_column(df, c).cast("double") for c in cols}
     asks = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         asks += [F.count(value[c]).alias(f"n{i}"), F.avg(value[c]).alias(f"m{i}")]
@@ -207,7 +200,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
     categories count as 'Unknown'; without `by` the category is 'All'.
     """
     category = F.coalesce(F.col(by).cast("string"), F.lit("Unknown")) if by else F.lit("All")
-    data = df.select(_present(df, col).cast("double").alias("v"), category.alias("category")).filter(F.col("v").isNotNull())
+    data = df.select(present_column(df, col).cast("double").alias("v"), category.alias("category")).filter(F.col("v").isNotNull())
     span = data.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
     lo, hi = F.col("_s.lo"), F.col("_s.hi")
     width = (hi - lo) / F.lit(float(bins))
@@ -233,7 +226,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
 def group_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """(category, n, mean, std) with the population standard deviation."""
     category = F.coalesce(F.col(by).cast("string"), F.lit("Unknown")) if by else F.lit("All")
-    data = df.select(_present(df, col).cast("double").alias("v"), category.alias("category")).filter(F.col("v").isNotNull())
+    data = df.select(present_column(df, col).cast("double").alias("v"), category.alias("category")).filter(F.col("v").isNotNull())
     return data.groupBy("category").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
     )
@@ -245,7 +238,7 @@ def scatter_summary(df: DataFrame, x: str, y: str, color: str | None = None) ->
     A numeric colour adds its range; any other colour adds one row per distinct category.
     """
     cols = list(dict.fromkeys([x, y] + ([color] if color else [])))
-    points = df.select(*[_present(df, c).alias(c) for c in cols]).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    points = df.select(*[present_column(df, c).alias(c) for c in cols]).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     numeric = color is not None and kind_of(df.schema[color].dataType) in ("int", "num")
     ranged = [("x", x), ("y", y)] + ([("color", color)] if numeric else [])
     aggs = [fn(F.col(c).cast("double")).alias(f"{tag}_{fn.__name__}") for tag, c in ranged for fn in (F.min, F.max)]
@@ -276,7 +269,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, names: list[str] | None
 
     The exact median error takes several passes; persist `df` first if it is costly to compute.
     """
-    data = df.select(_present(df, y).cast("double").alias("y"), _present(df, yhat).cast("double").alias("p"))
+    data = df.select(present_column(df, y).cast("double").alias("y"), present_column(df, yhat).cast("double").alias("p"))
     data = data.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
     e = F.col("y") - F.col("p")
     wanted = names or ["r2", "mae", "rmse", "mse", "explained_variance", "median_ae", "max_error", "mape"]
@@ -311,7 +304,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, names: list[str] | None
 
 def residual_stats(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """(metric, value): mean, population std, min and max of y - yhat."""
-    e = _present(df, y).cast("double") - _present(df, yhat).cast("double")
+    e = present_column(df, y).cast("double") - present_column(df, yhat).cast("double")
     one = df.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"))
     return to_rows(
         one, [F.struct(F.lit(f"residuals_{m}").alias("metric"), F.col(m).alias("value")) for m in ("mean", "std", "min", "max")]
@@ -320,5 +313,5 @@ def residual_stats(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 def residuals(df: DataFrame, y: str, yhat: str = "_prediction") -> DataFrame:
     """Rows having both numbers, with `_residual` and `_abs_error`."""
-    e = _present(df, y) - _present(df, yhat)
+    e = present_column(df, y) - present_column(df, yhat)
     return df.withColumn("_residual", e).withColumn("_abs_error", F.abs(e)).filter(F.col("_residual").isNotNull())

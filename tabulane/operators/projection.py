@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulane.functions.formula import formula, referenced_names
+from tabulane.functions.scalars import present_column
 from tabulane.functions.uniform import uniform
 from tabulane.operators.ranking import with_rank
 
@@ -56,9 +57,15 @@ def sort_key(col: str, ascending: bool = True) -> Column:
     return F.col(col).asc_nulls_last() if ascending else F.col(col).desc_nulls_last()
 
 
+def sort_keys(df: DataFrame, col: str, ascending: bool = True, tie_break: str | None = None) -> list[Column]:
+    """Order by `col`, missing values (NULL and NaN) last in both directions."""
+    value = present_column(df, col)
+    keys = [value.asc_nulls_last() if ascending else value.desc_nulls_last()]
+    return keys + ([F.col(tie_break).asc_nulls_last()] if tie_break else [])
+
+
 def sort_table(df: DataFrame, col: str, ascending: bool = True, tie_break: str | None = None) -> DataFrame:
-    keys = [sort_key(col, ascending)] + ([F.col(tie_break).asc_nulls_last()] if tie_break else [])
-    return df.orderBy(*keys)
+    return df.orderBy(*sort_keys(df, col, ascending, tie_break))
 
 
 def valid_flag(df: DataFrame, cols: list[str], name: str = "_valid") -> DataFrame:

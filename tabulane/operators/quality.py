@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulane.functions.scalars import present_column
 from tabulane.operators.longform import to_rows
 from tabulane.operators.skew import salted_join
 
@@ -31,9 +32,9 @@ def label(c: dict) -> str:
     return f"{c['type']}({c['target']})"
 
 
-def _condition(c: dict) -> Column:
-    """Condition a row must meet; NULL counts as met."""
-    target = F.col(c["target"])
+def _condition(df: DataFrame, c: dict) -> Column:
+    """Condition a row must meet; NULL and NaN count as met, but for not_null."""
+    target = present_column(df, c["target"])
     if c["type"] == "range":
         ok = F.lit(True)
         if c.get("min") is not None:
@@ -46,7 +47,7 @@ def _condition(c: dict) -> Column:
     if c["type"] == "comparison":
         if c.get("operator") not in COMPARE or not c.get("other"):
             raise ValueError("a comparison needs 'other' and one of < <= > >=")
-        return F.coalesce(COMPARE[c["operator"]](target, F.col(c["other"])), F.lit(True))
+        return F.coalesce(COMPARE[c["operator"]](target, present_column(df, c["other"])), F.lit(True))
     raise ValueError(f"unknown constraint type '{c['type']}'")
 
 
@@ -56,7 +57,7 @@ def _unique_flag(df: DataFrame, target: str, key: list[str], flag: str) -> DataF
     The first row per value comes from a partial aggregate. Only repeated values are joined back,
     with the often repeated ones spread out, so one value on a third of all rows is not one task.
     """
-    first = df.filter(F.col(target).isNotNull()).groupBy(target).agg(
+    first = df.filter(present_column(df, target).isNotNull()).groupBy(target).agg(
         F.min(F.struct(*key)).alias("_first"), F.count(F.lit(1)).alias("_times")
     )
     repeated = first.filter(F.col("_times") > 1)
@@ -73,7 +74,7 @@ def check(df: DataFrame, constraints: list[dict], key: str | list[str] | None =
             if name not in columns:
                 raise ValueError(f"constraint on unknown column '{name}'")
     keys = [key] if isinstance(key, str) else key
-    plain = {f"{prefix}{i}": _condition(c) for i, c in enumerate(constraints) if c["type"] != "unique"}
+    plain = {f"{prefix}{i}": _condition(df, c) for i, c in enumerate(constraints) if c["type"] != "unique"}
     result = df.withColumns(plain) if plain else df
     for i, c in enumerate(constraints):
         if c["type"] == "unique":

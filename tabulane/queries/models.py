@@ -38,6 +38,12 @@ def _coefficients(model, features=("l_quantity",), digits=5, **params):
     return run
 
 
+def _through_origin(penalty: int) -> str:
+    return f"""
+WITH t AS ({TRAIN}), s AS (SELECT sum(l_extendedprice * l_quantity) / (sum(l_quantity * l_quantity) + {penalty}) AS w FROM t)
+SELECT 'l_quantity' AS term, round(w, 5) AS value FROM s UNION ALL SELECT '_intercept', CAST(0 AS DOUBLE)"""
+
+
 def _one_feature(slope: str) -> str:
     return f"""
 WITH t AS ({TRAIN}), s AS (SELECT {slope} AS b, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM t)
@@ -188,6 +194,8 @@ def custom_model(spark, d):
 
 CHECKS = {
     "ols_coefficients": (_coefficients("linear_regression", ("l_quantity", "l_tax")), _two_features()),
+    "ols_no_intercept": (_coefficients("linear_regression", fit_intercept=False), _through_origin(0)),
+    "ridge_no_intercept": (_coefficients("ridge", alpha=50.0, fit_intercept=False), _through_origin(50)),
     "ridge": (_coefficients("ridge", alpha=50.0), _one_feature(f"{SXY} / ({SXX} + 50)")),
     "lasso": (
         _coefficients("lasso", alpha=100.0),

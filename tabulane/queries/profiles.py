@@ -176,6 +176,29 @@ SELECT o_orderkey, o_custkey, o_totalprice, NULLIF(o_orderpriority, '5-LOW') AS
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS c, o_custkey <= o_orderkey AS e FROM orders"""
 
 
+def constraint_nan(spark, d):
+    """NaN is missing: only not_null fails on it."""
+    value = F.when(F.col("value") >= 60, F.lit(float("nan"))).when(F.col("value") >= 20, F.col("value"))
+    ev = table(spark, d, "events").select("event_id", value.alias("value"), F.lit(30.0).alias("limit"))
+    rules = [
+        {"type": "not_null", "target": "value"},
+        {"type": "range", "target": "value", "max": 50},
+        {"type": "comparison", "target": "value", "operator": "<=", "other": "limit"},
+    ]
+    return rounded(Q.constraint_report(ev, rules))
+
+
+CONSTRAINT_NAN = """
+WITH f AS (SELECT CASE WHEN value >= 20 AND value < 60 THEN value END AS value FROM events),
+r AS (SELECT count(*) AS n, count(*) FILTER (value <= 30) AS good, count(*) FILTER (value IS NULL) AS a,
+  count(*) FILTER (value > 50) AS b, count(*) FILTER (value > 30) AS c FROM f)
+SELECT * FROM (SELECT 'all' AS type, '' AS target, n - good AS failures, round(good / CAST(n AS DOUBLE), 6) AS pass_rate FROM r
+UNION ALL SELECT 'not_null', 'value', a, round((n - a) / CAST(n AS DOUBLE), 6) FROM r
+UNION ALL SELECT 'range', 'value', b, round((n - b) / CAST(n AS DOUBLE), 6) FROM r
+UNION ALL SELECT 'comparison', 'value', c, round((n - c) / CAST(n AS DOUBLE), 6) FROM r)
+WHERE type = 'all' OR failures > 0"""
+
+
 def constraint_report(spark, d):
     return rounded(Q.constraint_report(_orders(spark, d), RULES, "o_orderkey"))
 
@@ -303,6 +326,7 @@ CHECKS = {
         "SELECT l_returnflag AS category, count(*) AS n, round(avg(l_extendedprice), 5) AS mean, round(stddev_pop(l_extendedprice), 5) AS std FROM lineitem GROUP BY 1",
     ),
     "scatter_summary": (scatter_summary, SCATTER),
+    "constraint_nan": (constraint_nan, CONSTRAINT_NAN),
     "constraint_report": (constraint_report, CONSTRAINT_REPORT),
     "quarantine": (quarantine, QUARANTINE),
     "constraint_unique": (constraint_unique, f"SELECT o_orderkey, c AS first FROM ({FLAGS})"),

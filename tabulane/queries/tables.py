@@ -6,23 +6,47 @@ from pyspark.sql import functions as F
 
 from tabulane.operators import lookup as L
 from tabulane.operators import projection as P
+from tabulane.operators.ranking import with_rank
 from tabulane.queries.base import table, u_sql
 
 AS_OF = "2024-01-31T00:00:00"
 
 
 def sort_nulls_last(spark, d):
-    """Top of the listing in both directions; missing values come last."""
-    ev = table(spark, d, "events").select("event_id", F.when(F.col("value") >= 20, F.col("value")).alias("value"))
-    up = P.sort_table(ev, "value", True, "event_id").limit(100).withColumn("direction", F.lit("up"))
-    down = P.sort_table(ev, "value", False, "event_id").limit(100).withColumn("direction", F.lit("down"))
-    return up.unionByName(down)
+    """Every row with its position in both directions; missing values, NULL and NaN, come last."""
+    value = F.when(F.col("value") >= 60, F.lit(float("nan"))).when(F.col("value") >= 20, F.col("value"))
+    ev = table(spark, d, "events").select("event_id", value.alias("value"))
+    both = [
+        with_rank(ev, P.sort_keys(ev, "value", up, "event_id"), "position").select("event_id", "position", F.lit(name).alias("direction"))
+        for up, name in ((True, "up"), (False, "down"))
+    ]
+    return both[0].unionByName(both[1])
 
 
 SORT_NULLS_LAST = """
-WITH t AS (SELECT event_id, CASE WHEN value >= 20 THEN value END AS value FROM events)
-SELECT * FROM (SELECT event_id, value, 'up' AS direction FROM t ORDER BY value ASC NULLS LAST, event_id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT event_id, value, 'down' AS direction FROM t ORDER BY value DESC NULLS LAST, event_id LIMIT 100)"""
+WITH t AS (SELECT event_id, CASE WHEN value >= 20 AND value < 60 THEN value END AS value FROM events)
+SELECT event_id, row_number() OVER (ORDER BY value ASC NULLS LAST, event_id) - 1 AS position, 'up' AS direction FROM t
+UNION ALL SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) - 1, 'down' FROM t"""
+
+
+def lookup_large(spark, d):
+    """A table of 300 entries, text and numbers mixed, with a default."""
+    entries = {str(k): f"part {k}" if k % 3 else k for k in range(1, 301)}
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return L.lookup(li, "l_partkey", entries, "found", default=0)
+
+
+LOOKUP_LARGE = """SELECT l_orderkey, l_linenumber, l_partkey,
+  CASE WHEN l_partkey > 300 THEN '0' WHEN l_partkey % 3 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE 'part ' || l_partkey END AS found FROM lineitem"""
+
+
+def group_value_nan(spark, d):
+    """Largest value per event type where some values are NaN."""
+    ev = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("value") >= 60, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return L.group_value(ev, "event_type", F.max("value"), "top", row_key=["event_id"]).select("event_id", "top")
+
+
+GROUP_VALUE_NAN = "SELECT event_id, max(value) FILTER (value < 60) OVER (PARTITION BY event_type) AS top FROM events"
 
 
 def preview_orders(spark, d):
@@ -170,6 +194,8 @@ SELECT o_orderkey, top, first_key, first_price FROM orders JOIN g ON o_orderprio
 
 CHECKS = {
     "sort_nulls_last": (sort_nulls_last, SORT_NULLS_LAST),
+    "lookup_large": (lookup_large, LOOKUP_LARGE),
+    "group_value_nan": (group_value_nan, GROUP_VALUE_NAN),
     "preview_orders": (preview_orders, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 200"),
     "page_orders": (
         page_orders,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tabulane.functions.distributions import DISTRIBUTIONS, register_distribution
 from tabulane.plans import generate as G
-from tabulane.queries.draws import INCOME_CONTEXT, INCOME_MODEL
 from tabulane.sources.tables import table_checksum
 
 N = 20_000
@@ -144,27 +143,6 @@ def test_scope_needs_no_shuffle_for_fixed_parameters(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_income_model(spark):
-    pdf = G.generate(spark, 2000, INCOME_MODEL, INCOME_CONTEXT, seed=42).toPandas()
-    assert pdf.region.value_counts(normalize=True)["Center"] == pytest.approx(0.4, abs=0.05)
-    assert pdf.age.between(18, 65).all() and set(pdf.occupation) <= {"LowSkill", "MidSkill", "HighSkill"}
-    means = pdf.groupby("region").education_years.mean()
-    assert means["North"] > means["Center"] > means["South"]
-    assert (pdf.individual_income[pdf.raw_income > 150000] >= 150000).all()
-
-
-@pytest.mark.parametrize(
-    "dist, params",
-    [("normal", {"mu": 0, "sigma": -1}), ("uniform", {"low": 2, "high": 1}), ("bernoulli", {"p": 1.5}), ("exponential", {"scale": 0}), ("normal", {"mu": 0}),
-     ("categorical", {"categories": ["a"], "probs": [0.5]}), ("categorical", {"categories": [], "probs": []}), ("categorical", {"categories": [1], "probs": [1]}),
-     ("categorical", {"categories": "a,b", "probs": "1.5,-0.5"}), ("triangular", {"left": 3, "mode": 2, "right": 5}), ("nope", {}), ("scipy.pareto", {}),
-     ("binomial", {"n": 0, "p": 0.5}), ("beta", {"a": 0, "b": 1}), ("gamma", {"shape": 1, "scale": [1]})],
-)
-def test_bad_parameters(spark, dist, params):
-    with pytest.raises(ValueError):
-        G.with_random(spark.range(5).withColumnRenamed("id", "row_id"), "x", dist, params)
-
-
 def test_bad_row_parameters_fail_the_query(spark):
     df = spark.range(5).withColumnRenamed("id", "row_id")
     with pytest.raises(Exception, match="sigma >= 0"):
