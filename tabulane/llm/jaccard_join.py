@@ -248,6 +248,118 @@ def _labelled(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.withColumn("label", F.coalesce("label", "cls"))
 
 
+_PAIR = np.dtype([("a", "u8"), ("b", "u8"), ("n", "u4"), ("left", "u4"), ("sizes", "u4")])
+
+
+def _combined(pairs: np.ndarray) -> np.ndarray:
+    """One row per pair: its meetings counted, what is left after the last of them."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    start = np.flatnonzero(np.concatenate([[True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])]))
+    out = pairs[start].copy()
+    out["n"], out["left"] = np.add.reduceat(pairs["n"], start), np.minimum.reduceat(pairs["left"], start)
+    return out
+
+
+def _home(cls: np.ndarray, parts: int) -> np.ndarray:
+    return (cls >> np.uint64(24)) % np.uint64(parts)
+
+
+def _meetings(percent: int, parts: int):
+    """Pairs of different components that meet in a shingle and pass length and positional filter, packed by their first class."""
+
+    def of_one(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+        out = []
+        order = np.lexsort((g["cls"], g["label"], g["members"]))  # the largest component last
+        g = {k: v[order] for k, v in g.items()}
+        rest = g["shared"] - g["at"]
+        for i in np.flatnonzero(g["label"] != g["label"][-1]):
+            size = g["size"][i + 1 :]
+            fits = 100 * np.minimum(size, g["size"][i]) >= percent * np.maximum(size, g["size"][i])
+            left = np.minimum(rest[i + 1 :], rest[i])
+            fits &= (100 + percent) * left >= percent * (size + g["size"][i])
+            near = np.flatnonzero(fits & (g["label"][i + 1 :] != g["label"][i]))
+            if len(near):
+                pairs = np.empty(len(near), dtype=_PAIR)
+                pairs["a"], pairs["b"] = g["cls"][i : i + 1].view(np.uint64)[0], g["cls"][i + 1 :][near].view(np.uint64)
+                pairs["n"], pairs["left"], pairs["sizes"] = 1, left[near], size[near] + g["size"][i]
+                out.append(pairs)
+        return out
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        g = {c: rows[c].to_numpy(np.int64) for c in ("h", "cls", "label", "members", "size", "shared", "at")}
+        order = np.argsort(g["h"], kind="stable")
+        g = {k: v[order] for k, v in g.items()}
+        cuts = _groups(g.pop("h"))
+        found, waiting, held = np.zeros(0, dtype=_PAIR), [], 0
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            new = of_one({k: v[start:end] for k, v in g.items()})
+            waiting += new
+            held += sum(map(len, new))
+            if held > 1_000_000:
+                found, waiting, held = _combined(np.concatenate([found, *waiting])), [], 0
+        found = _combined(np.concatenate([found, *waiting]))
+        home = _home(found["a"], parts)
+        out = [(int(p), found[home == p].tobytes()) for p in np.unique(home)]
+        return pd.DataFrame(out, columns=["part", "pairs"])
+
+    return work
+
+
+def _first_sides(percent: int, parts: int):
+    """Pairs with the shingles of their first class, sent to the part of the second; a class is sent once to a part, not once per pair."""
+
+    def work(blobs: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        pairs = _combined(np.frombuffer(b"".join(blobs["pairs"]), dtype=_PAIR))
+        # with all common prefix shingles counted, what follows the last of them has to bring the rest
+        pairs = pairs[(100 + percent) * (pairs["n"].astype(np.int64) + pairs["left"] - 1) >= percent * pairs["sizes"].astype(np.int64)]
+        known = {int(c) & (2**64 - 1): (n, e) for c, n, e in zip(kept["cls"], kept["size"], kept["elements"])}
+        home, out = _home(pairs["b"], parts), []
+        for part in np.unique(home):
+            own = pairs[home == part]
+            for a in np.unique(own["a"]):
+                size, elements = known[int(a)]
+                out.append((int(part), _signed(int(a)), size, elements, own["b"][own["a"] == a].tobytes()))
+        return pd.DataFrame(out, columns=["part", "a", "size", "elements", "partners"])
+
+    return work
+
+
+def _second_sides(percent: int):
+    def work(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        known = {int(c) & (2**64 - 1): (n, e) for c, n, e in zip(kept["cls"], kept["size"], kept["elements"])}
+        sets, out = {}, []
+        for a, size, elements, partners in zip(asked["a"], asked["size"], asked["elements"], asked["partners"]):
+            x = np.sort(np.frombuffer(elements, "u8"))
+            for b in np.frombuffer(partners, "u8").tolist():
+                if b not in sets:
+                    sets[b] = np.sort(np.frombuffer(known[b][1], "u8"))
+                if linked(x, sets[b], size, known[b][0], percent):
+                    out.append((a, _signed(b)))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return work
+
+
+def _remaining(prefixes: DataFrame, labels: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """The links between components that are not connected yet: every possible pair verified once, pairs and sets packed."""
+    parts = partitions(kept.sparkSession)
+    members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "label")
+    rows = _labelled(prefixes, labels)
+    several = rows.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("h")
+    rows = rows.join(several, "h", "left_semi").join(members, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    rows = cut_lineage(rows.select("h", "cls", "label", "members", "size", "shared", "at"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+    pairs = dealt.groupBy("part").applyInPandas(_meetings(percent, parts), "part int, pairs binary")
+    home = F.pmod(F.shiftrightunsigned("cls", 24), F.lit(parts)).cast("int").alias("part")
+    open_ = kept.join(rows.select("cls").distinct(), "cls", "left_semi").select(home, "cls", "size", "elements")
+    first = pairs.groupBy("part").cogroup(open_.groupBy("part")).applyInPandas(
+        _first_sides(percent, parts), "part int, a long, size int, elements binary, partners binary"
+    )
+    return first.groupBy("part").cogroup(open_.groupBy("part")).applyInPandas(_second_sides(percent), "a long, b long")
+
+
 def linked_classes(kept: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect all that similar pairs connect.
 
@@ -261,22 +373,7 @@ def linked_classes(kept: DataFrame, percent: int) -> DataFrame:
         star = cut_lineage(_verify(_stars(prefixes, labels, largest, percent), kept, percent))
         links = star if links is None else links.unionByName(star)
         labels = connected_components(links)
-    rows = _labelled(prefixes, labels)
-    several = rows.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("h")
-    rows = rows.join(several, "h", "left_semi")
-    met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.h = y.h AND x.cls < y.cls AND x.label != y.label AND {_possible(percent)}"))
-    # with all common prefix shingles counted, what follows the last of them has to bring the rest
-    pairs = (
-        met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.least(F.col("x.shared") - F.col("x.at"), F.col("y.shared") - F.col("y.at"))).alias("left"),
-            F.max(F.col("x.size") + F.col("y.size")).alias("sizes"),
-        )
-        .filter(F.expr(f"{100 + percent} * (n + left - 1) >= {percent} * sizes"))
-        .select("a", "b")
-    )
-    return links.unionByName(_verify(pairs, kept, percent))
+    return links.unionByName(_remaining(prefixes, labels, kept, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
