@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulane.functions.formula import kind_of
 from tabulane.functions.scalars import as_key, present_column
-from tabulane.operators.skew import dimension_join, salted_join
+from tabulane.operators.skew import dimension_join
+from tabulane.session import cut_lineage
 
 MAX_LITERAL = 200  # entries of a lookup table kept as a literal of the plan; larger ones are joined
 
@@ -54,8 +55,8 @@ def lookup(
 ) -> DataFrame:
     """Add `output` = table[key] compared as text; a key without entry gives `default` or an error.
 
-    A small dict becomes a literal. A DataFrame (one row per key) or a large dict is joined: by
-    broadcast if its counted size allows, else by shuffle with hot keys spread out.
+    A small dict becomes a literal. A DataFrame (one row per key; a repeated key
+    fails) or a large dict is joined: by broadcast if its counted size allows, else by shuffle with hot keys spread out.
     """
     if isinstance(table, dict) and len(table) <= MAX_LITERAL:
         return df.withColumn(output, map_column(_key(df, key), table, default, on_missing, name))
@@ -63,8 +64,13 @@ def lookup(
         dtype, entries, default = _typed(table, default)
         table = df.sparkSession.createDataFrame(list(entries.items()), f"key string, value {dtype}")
         table_key, table_value = "key", "value"
-    side = table.select(
-        F.col(table_key).cast("string").alias("_lookup_key"), F.col(table_value).alias("_lookup_value"), F.lit(True).alias("_lookup_hit")
+    repeats = F.raise_error(F.concat(F.lit(f"repeated entry in '{name}' for key "), F.col("_lookup_key")))
+    side = (
+        table.select(F.col(table_key).cast("string").alias("_lookup_key"), F.col(table_value).alias("_lookup_value"))
+        .filter(F.col("_lookup_key").isNotNull())
+        .groupBy("_lookup_key")
+        .agg(F.first("_lookup_value").alias("_lookup_value"), F.count(F.lit(1)).alias("_times"))
+        .select("_lookup_key", "_lookup_value", F.when(F.col("_times") > 1, repeats.cast("boolean")).otherwise(True).alias("_lookup_hit"))
     )
     joined = dimension_join(df.withColumn("_lookup_key", _key(df, key)), side, ["_lookup_key"], "left")
     dtype = table.schema[table_value].dataType
@@ -101,13 +107,14 @@ def exists_match(df: DataFrame, other: DataFrame, keys: list[str], condition: Co
     """
     if condition is not None:
         other = other.filter(condition)
-    return salted_join(df, other.select(*keys).distinct(), keys, "left_semi")
+    return dimension_join(df, other.select(*keys).distinct(), keys, "left_semi")
 
 
 def group_value(df: DataFrame, by: str, value: Column, output: str, row_key: list[str] | None = None) -> DataFrame:
     """One aggregate value per category, on every row of the category; NaN is missing."""
     known = df.select(*[present_column(df, c).alias(c) for c in df.columns])
-    return salted_join(df, known.groupBy(by).agg(value.alias(output)), [by], "left", salt_by=row_key)
+    groups = cut_lineage(known.groupBy(by).agg(value.alias(output)))  # measured and joined, but computed once
+    return dimension_join(df, groups, [by], "left", salt_by=row_key)
 
 
 def first_per_group(df: DataFrame, by: str, order: str, cols: list[str]) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulane.operators.products import pair_sums
 from tabulane.operators.profile import regression_metrics, residual_stats
 from tabulane.operators.projection import complete_cases, present, require_columns, split_flag
 from tabulane.session import shared_dir
 
 PREDICTION = "_prediction"
-PAIRS_PER_JOB = 60  # sums of products computed in one scan
 
 
 class Regressor(Protocol):
@@ -57,15 +57,7 @@ def moments(df: DataFrame, cols: list[str]) -> Moments:
     if not first["n"]:
         raise ValueError("no rows to fit on")
     mean = [first[f"m{i}"] for i in range(len(cols))]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    cross = np.zeros((len(cols), len(cols)))
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[start : start + PAIRS_PER_JOB]
-        sums = [F.sum((x[i] - F.lit(mean[i])) * (x[j] - F.lit(mean[j]))).alias(f"s{i}_{j}") for i, j in block]
-        row = df.agg(*sums).first()
-        for i, j in block:
-            cross[i, j] = cross[j, i] = row[f"s{i}_{j}"]
-    return Moments(first["n"], np.array(mean), cross)
+    return Moments(first["n"], np.array(mean), pair_sums(df, x, mean).p)
 
 
 @dataclass

@@ -13,9 +13,9 @@ from tabulane.functions.formula import kind_of
 from tabulane.functions.scalars import present_column
 from tabulane.operators.longform import to_rows
 from tabulane.operators.percentiles import exact_percentiles
+from tabulane.operators.products import pair_sums
 from tabulane.sources.tables import logical_type
 
-SUMS_PER_JOB = 90  # sums computed in one scan, within what generated code can hold
 SAMPLE = 100  # fixed value: non-missing values looked at for the display type
 
 
@@ -140,53 +140,21 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col_x, col_y, r, n) for every ordered pair, pairwise complete, including the diagonal.
 
-    First pass: counts and means. Second: sums of the centred values (so nothing cancels). Columns
-    without missing values share their sums among all pairs; only the others need sums per pair.
+    First pass: means. Second: sums of the centred values over the rows that have both (so nothing cancels).
     What reaches the driver are a few numbers per pair of columns.
     """
     cols = cols or numeric_columns(df)
-    value = {c: present_column(df, c).cast("double") for c in cols}
-    asks = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(cols):
-        asks += [F.count(value[c]).alias(f"n{i}"), F.avg(value[c]).alias(f"m{i}")]
-    first = df.agg(*asks).first()
-    whole = [first[f"n{i}"] == first["n"] for i in range(len(cols))]
-    x = [value[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)]
-
-    sums: dict[tuple, Column] = {}
-
-    def ask(what: str, i: int, j: int) -> tuple:
-        """Key of the sum (s), sum of squares (q), products (p) or count (n) of i over rows that have j."""
-        if what in "sq":
-            j = i if whole[j] else j
-            own = x[i] if j == i else F.when(x[j].isNotNull(), x[i])
-            sums[what, i, j] = F.sum(own if what == "s" else own * own)
-        elif what == "n":
-            i, j = (i, i) if whole[j] else (j, j) if whole[i] else (i, j)
-            sums[what, i, j] = F.count(x[i] if i == j else x[i] * x[j])
-        else:
-            sums[what, i, j] = F.sum(x[i] * x[j])
-        return what, i, j
-
-    pairs = {}
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            pairs[i, j] = [ask("n", i, j), ask("s", i, j), ask("s", j, i), ask("q", i, j), ask("q", j, i), ask("p", i, j)]
-    got: dict[tuple, float] = {}
-    keys = list(sums)
-    for start in range(0, len(keys), SUMS_PER_JOB):
-        block = keys[start : start + SUMS_PER_JOB]
-        row = df.agg(*[sums[k].alias(f"v{n}") for n, k in enumerate(block)]).first()
-        got.update({k: row[n] or 0.0 for n, k in enumerate(block)})
-
+    value = [present_column(df, c).cast("double") for c in cols]
+    first = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)]).first()
+    n, s, q, p = pair_sums(df, value, [first[f"m{i}"] or 0.0 for i in range(len(cols))])
     rows = []
-    for (i, j), asked in pairs.items():
-        n, si, sj, qi, qj, p = (got[k] for k in asked)
-        r = 0.0
-        if n:
-            spread = math.sqrt(max(0.0, qi - si * si / n) * max(0.0, qj - sj * sj / n))
-            r = (p - si * sj / n) / spread if spread > 0 else 0.0
-        rows += [(cols[i], cols[j], r, int(n))] + ([(cols[j], cols[i], r, int(n))] if i != j else [])
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            r = 0.0
+            if n[i, j]:
+                spread = math.sqrt(max(0.0, q[i, j] - s[i, j] ** 2 / n[i, j]) * max(0.0, q[j, i] - s[j, i] ** 2 / n[i, j]))
+                r = (p[i, j] - s[i, j] * s[j, i] / n[i, j]) / spread if spread > 0 else 0.0
+            rows.append((a, b, float(r), int(n[i, j])))
     return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, r double, n long")
 
 

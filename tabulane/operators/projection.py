@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tabulane.functions.formula import formula, referenced_names
 from tabulane.functions.scalars import present_column
 from tabulane.functions.uniform import uniform
-from tabulane.operators.ranking import with_rank
+from tabulane.operators.ranking import ranked
+from tabulane.operators.skew import dimension_join
 
-TOP_ROWS = 50_000  # up to here a sorted page is kept in a per-task top-k heap; deeper pages are ranked
+TOP_ROWS = 1_000  # without a row key, a sorted page up to here is kept in a per-task top-k heap
 MAX_HOURS = 24 * 90  # fixed value: longest trailing window
 
 
@@ -114,14 +115,25 @@ def trailing_window(
     return rows
 
 
-def page(df: DataFrame, order_by: list[Column], offset: int, limit: int) -> tuple[DataFrame, int]:
-    """One page of a listing and the total number of rows."""
-    total = df.count()
-    if offset + limit <= TOP_ROWS:
-        return df.orderBy(*order_by).offset(offset).limit(limit), total
-    ranked = with_rank(df, order_by)
-    rows = ranked.filter((F.col("_rank") >= offset) & (F.col("_rank") < offset + limit))
-    return rows.orderBy("_rank").drop("_rank"), total
+def _picked(df: DataFrame, picks: DataFrame, key: list[str] | None) -> DataFrame:
+    """The rows of `picks` in their order, with the other columns of `df` joined on where only the key was ranked."""
+    if key and set(df.columns) - set(key):
+        picks = dimension_join(df, picks, key, "inner").select(*[F.col(f"`{c}`") for c in df.columns], "_rank")
+    return picks.orderBy("_rank").drop("_rank")
+
+
+def page(df: DataFrame, order_by: list[Column], offset: int, limit: int, key: list[str] | None = None) -> tuple[DataFrame, int]:
+    """One page of a listing and the total number of rows.
+
+    `key` names the columns that identify a row (never NULL): then one sort of the sort and key columns gives the
+    total and the page at any depth, and only the rows of the page are read in full. Without it a page near the
+    front is a top-k, and a deeper one ranks whole rows.
+    """
+    if not key and offset + limit <= TOP_ROWS:
+        return df.orderBy(*order_by).offset(offset).limit(limit), df.count()
+    placed, total = ranked(df, order_by, keep=key)
+    picks = placed.filter((F.col("_rank") >= offset) & (F.col("_rank") < offset + limit))
+    return _picked(df, picks, key), total
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -130,13 +142,14 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("_row")).select(key, "_row.*")
 
 
-def thin(df: DataFrame, order_by: list[Column], max_points: int = 1000) -> DataFrame:
-    """Every ceil(n/max_points)-th row of the ordered table; all rows when there are few enough."""
-    n = df.count()
-    if n <= max_points:
-        return df
-    step = -(-n // max_points)
-    return with_rank(df, order_by).filter(F.col("_rank") % step == 0).orderBy("_rank").drop("_rank")
+def thin(df: DataFrame, order_by: list[Column], max_points: int = 1000, key: list[str] | None = None) -> DataFrame:
+    """Every ceil(n/max_points)-th row of the ordered table, in order; all rows when there are few enough.
+
+    With `key` (columns that identify a row, never NULL) only the sort and key columns are sorted.
+    """
+    placed, n = ranked(df, order_by, keep=key)
+    step = max(1, -(-n // max_points))
+    return _picked(df, placed.filter(F.col("_rank") % step == 0), key)
 
 
 def split_flag(key: Column, test_size: float = 0.2, seed: int = 42) -> Column:

@@ -57,13 +57,14 @@ def _unique_flag(df: DataFrame, target: str, key: list[str], flag: str) -> DataF
     The first row per value comes from a partial aggregate. Only repeated values are joined back,
     with the often repeated ones spread out, so one value on a third of all rows is not one task.
     """
+    row_key = F.struct(*key) if len(key) > 1 else F.col(f"`{key[0]}`")  # one plain column keeps the aggregate a hash aggregate
     first = df.filter(present_column(df, target).isNotNull()).groupBy(target).agg(
-        F.min(F.struct(*key)).alias("_first"), F.count(F.lit(1)).alias("_times")
+        F.min(row_key).alias("_first"), F.count(F.lit(1)).alias("_times")
     )
     repeated = first.filter(F.col("_times") > 1)
-    joined = salted_join(df, repeated.select(target, "_first"), [target], "left", salt_by=key)
-    ok = F.col("_first").isNull() | (F.struct(*key) == F.col("_first"))
-    return joined.withColumn(flag, ok).drop("_first").select(*df.columns, flag)
+    joined = salted_join(df, repeated.select(target, "_first", F.lit(True).alias("_again")), [target], "left", salt_by=key)
+    ok = F.col("_again").isNull() | row_key.eqNullSafe(F.col("_first"))
+    return joined.withColumn(flag, ok).drop("_first", "_again").select(*df.columns, flag)
 
 
 def check(df: DataFrame, constraints: list[dict], key: str | list[str] | None = None, prefix: str = "_ok_") -> DataFrame:

@@ -15,7 +15,8 @@ from tabulane.operators.lookup import map_column
 from tabulane.operators.postprocess import post_column
 from tabulane.operators.profile import profile
 from tabulane.operators.projection import preview
-from tabulane.operators.skew import salted_join
+from tabulane.operators.skew import dimension_join
+from tabulane.session import cut_lineage
 from tabulane.sources.tables import rows
 
 LISTS = ("categories", "probs")  # parameters taken as they are
@@ -109,7 +110,7 @@ def _draw(
         if varying:
             helper = f"_params_{name}"
             first = F.min_by(F.struct(*[cols[k].alias(k) for k in varying]), F.col(key)).alias(helper)
-            base = salted_join(df, df.groupBy(group_by).agg(first), [group_by], "left", salt_by=[key])
+            base = dimension_join(df, cut_lineage(df.groupBy(group_by).agg(first)), [group_by], "left", salt_by=[key])
             cols.update({k: F.col(f"`{helper}`").getField(k) for k in varying})
     else:
         raise ValueError(f"unknown scope '{scope}'")

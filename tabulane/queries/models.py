@@ -161,7 +161,7 @@ def fits_page(spark, d):
     fits = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
         F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_intercept("l_extendedprice", "l_quantity").alias("intercept")
     )
-    rows, total = P.page(fits, [F.col("l_suppkey").desc()], 10, 20)
+    rows, total = P.page(fits, [F.col("l_suppkey").desc()], 10, 20, key=["l_suppkey"])
     return rounded(rows.withColumn("total", F.lit(total).cast("long")), 4)
 
 

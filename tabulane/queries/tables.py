@@ -56,12 +56,24 @@ def preview_orders(spark, d):
 
 def page_orders(spark, d):
     od = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    rows, total = P.page(od, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 50)
+    rows, total = P.page(od, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 50, key=["o_orderkey"])
     return rows.withColumn("total", F.lit(total).cast("long"))
 
 
 def thin_points(spark, d):
-    return P.thin(table(spark, d, "events").select("event_id", "value"), [F.col("event_id")], 1000)
+    return P.thin(table(spark, d, "events").select("event_id", "value"), [F.col("event_id")], 1000, key=["event_id"])
+
+
+def page_deep(spark, d):
+    """A page behind half of the table."""
+    ev = table(spark, d, "events").select("event_id", "value")
+    rows, total = P.page(ev, [F.col("value").desc(), F.col("event_id")], ev.count() // 2, 50, key=["event_id"])
+    return rows.withColumn("total", F.lit(total).cast("long"))
+
+
+PAGE_DEEP = """
+SELECT event_id, value, n AS total FROM (SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS rn, count(*) OVER () AS n FROM events)
+WHERE rn >= n // 2 AND rn < n // 2 + 50"""
 
 
 THIN_POINTS = """
@@ -193,6 +205,7 @@ WITH g AS (SELECT o_orderpriority AS p, max(o_totalprice) AS top, min(o_orderkey
 SELECT o_orderkey, top, first_key, first_price FROM orders JOIN g ON o_orderpriority = p"""
 
 CHECKS = {
+    "page_deep": (page_deep, PAGE_DEEP),
     "sort_nulls_last": (sort_nulls_last, SORT_NULLS_LAST),
     "lookup_large": (lookup_large, LOOKUP_LARGE),
     "group_value_nan": (group_value_nan, GROUP_VALUE_NAN),

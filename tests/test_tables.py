@@ -39,7 +39,7 @@ def test_hot_keys_are_few(skewed):
     hot = hot_hashes(skewed, ["k"])
     want = {r[0] for r in skewed.filter("k = 7 OR k IS NULL").select(F.xxhash64("k")).collect()}
     assert want <= set(hot) and len(hot) <= 1000
-    assert hot_hashes(skewed.select("id"), ["id"]) == []
+    assert hot_hashes(skewed.select("id"), ["id"]) == {}
 
 
 def test_large_dimension_is_not_broadcast(spark, skewed, monkeypatch):
