@@ -367,6 +367,47 @@ FAMILIES: dict[str, Distribution] = {
         rule="low < high",
     ),
 }
+
+
+def _t(d, p):
+    return d.normal() / F.sqrt(_gamma_udf()(d.bits(2), p["df"] / 2) * 2.0 / p["df"])
+
+
+def _poisson_mu(d, p):
+    return _poisson(d, {"lam": p["mu"], "_literals": {"lam": p.get("_literals", {}).get("mu")}})
+
+
+# the same draws as the distributions above, under other parameter names and with loc and scale
+FAMILIES.update(
+    {
+        "gamma": _standard(lambda d, p: _gamma_udf()(d.bits(0), p["a"]), ("a",), **_positive("a")),
+        "beta": _standard(_beta, ("a", "b"), **_positive("a", "b")),
+        "lognorm": _standard(lambda d, p: F.exp(p["s"] * d.normal()), ("s",), **_positive("s")),
+        "t": _standard(_t, ("df",), **_positive("df")),
+        "chi2": _standard(_chisquare, ("df",), **_positive("df")),
+        "triang": _standard(
+            lambda d, p: _triangular(d, {"left": F.lit(0.0), "mode": p["c"], "right": F.lit(1.0)}),
+            ("c",),
+            check=lambda p: (p["c"] >= 0) & (p["c"] <= 1),
+            rule="0 <= c <= 1",
+        ),
+        "poisson": _standard(_poisson_mu, ("mu",), discrete=True, check=lambda p: p["mu"] >= 0, rule="mu >= 0"),
+        "binom": _standard(
+            _binomial, ("n", "p"), discrete=True, check=lambda p: (p["n"] >= 1) & (p["p"] >= 0) & (p["p"] <= 1), rule="n >= 1 and 0 <= p <= 1"
+        ),
+        "bernoulli": _standard(_bernoulli, ("p",), discrete=True, check=lambda p: (p["p"] >= 0) & (p["p"] <= 1), rule="0 <= p <= 1"),
+        "halfcauchy": _standard(lambda d, p: F.tan(F.lit(math.pi / 2) * d.u()), ()),
+        "halflogistic": _standard(lambda d, p: F.ln((F.lit(1.0) + d.u()) / _left(d)), ()),
+        "hypsecant": _standard(lambda d, p: F.ln(F.tan(F.lit(math.pi / 2) * d.u())), ()),
+        "genlogistic": _standard(lambda d, p: -F.ln(F.pow(d.u(), F.lit(-1.0) / p["c"]) - 1.0), ("c",), **_positive("c")),
+        "gompertz": _standard(lambda d, p: F.ln(F.lit(1.0) - F.ln(_left(d)) / p["c"]), ("c",), **_positive("c")),
+        "exponweib": _standard(
+            lambda d, p: F.pow(-F.ln(F.lit(1.0) - F.pow(d.u(), F.lit(1.0) / p["a"])), F.lit(1.0) / p["c"]), ("a", "c"), **_positive("a", "c")
+        ),
+        "burr": _standard(lambda d, p: F.pow(F.pow(d.u(), F.lit(-1.0) / p["d"]) - 1.0, F.lit(-1.0) / p["c"]), ("c", "d"), **_positive("c", "d")),
+        "invweibull": _standard(lambda d, p: F.pow(-F.ln(d.u()), F.lit(-1.0) / p["c"]), ("c",), **_positive("c")),
+    }
+)
 DISTRIBUTIONS.update({f"scipy.{name}": dist for name, dist in FAMILIES.items()})
 
 

@@ -98,6 +98,18 @@ def profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def profile_full(df: DataFrame) -> DataFrame:
+    """(column, statistic, category, value): the profile of every column, and the count and rate of each category, in long form."""
+    names = ["rows", "null_count", "null_rate", *STATS, "median"]
+    flat = profile(df).select("column", *[F.col(c).cast("double").alias(c) for c in names])
+    stats = flat.unpivot(["column"], names, "statistic", "value").filter(F.col("value").isNotNull())
+    parts = [stats.select("column", "statistic", F.lit(None).cast("string").alias("category"), "value")]
+    if any(kind_of(f.dataType) in ("str", "bool") for f in df.schema.fields):
+        kinds = profile_categories(df).withColumn("n", F.col("n").cast("double")).withColumnRenamed("n", "count")
+        parts.append(kinds.unpivot(["column", "category"], ["count", "rate"], "statistic", "value").select("column", "statistic", "category", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def detect_types(df: DataFrame, order_by: str, sample: int = SAMPLE) -> DataFrame:
     """(column, dtype) guessed from the first `sample` non-missing values of each column.
 

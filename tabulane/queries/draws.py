@@ -218,7 +218,38 @@ def generated_profile(spark, d):
     return rounded(stats.withColumn("previewed", F.lit(shown.count()).cast("long")), 5)
 
 
+
+# family -> (parameters, SQL of the value; {u} and {z} are its uniform and its normal draw)
+SHAPE_SQL = {
+    "lognorm": ({"s": 0.5, "scale": 2}, "2 * exp(CAST(0.5 AS DOUBLE) * {z})"),
+    "triang": ({"c": 0.3}, "CASE WHEN {u} < CAST(0.3 AS DOUBLE) THEN sqrt({u} * CAST(0.3 AS DOUBLE)) ELSE 1 - sqrt((1 - {u}) * CAST(0.7 AS DOUBLE)) END"),
+    "bernoulli": ({"p": 0.3}, "CAST({u} < CAST(0.3 AS DOUBLE) AS DOUBLE)"),
+    "halfcauchy": ({}, "tan(pi() / 2 * {u})"),
+    "halflogistic": ({}, "ln((1 + {u}) / (1 - {u}))"),
+    "hypsecant": ({}, "ln(tan(pi() / 2 * {u}))"),
+    "genlogistic": ({"c": 2}, "-ln(pow({u}, CAST(-0.5 AS DOUBLE)) - 1)"),
+    "gompertz": ({"c": 3}, "ln(1 - ln(1 - {u}) / 3)"),
+    "exponweib": ({"a": 2, "c": 4}, "pow(-ln(1 - sqrt({u})), CAST(0.25 AS DOUBLE))"),
+    "burr": ({"c": 4, "d": 2}, "pow(pow({u}, CAST(-0.5 AS DOUBLE)) - 1, CAST(-0.25 AS DOUBLE))"),
+    "invweibull": ({"c": 2}, "pow(-ln({u}), CAST(-0.5 AS DOUBLE))"),
+}
+
+
+def random_scipy_shapes(spark, d):
+    """Families under their scipy names, each with loc 1."""
+    specs = [{"name": f"x_{f}", "dist": f"scipy.{f}", "params": {"loc": 1, **p}} for f, (p, _) in SHAPE_SQL.items()]
+    out = add_columns(_orders(spark, d), specs, seed=SEED, key=KEY)
+    return rounded(out.select(KEY, *[F.col(f"x_{f}").cast("double").alias(f"x_{f}") for f in SHAPE_SQL]), 5)
+
+
+def _shapes_sql() -> str:
+    draws = {f: {"u": u_sql(SEED, f"x_{f}", 0, KEY), "z": normal_sql(SEED, f"x_{f}", KEY)} for f in SHAPE_SQL}
+    values = [f"round(CAST(1 + ({sql.format(**draws[f])}) AS DOUBLE), 5) AS x_{f}" for f, (_, sql) in SHAPE_SQL.items()]
+    return f"SELECT {KEY}, {', '.join(values)} FROM orders"
+
+
 CHECKS = {
+    "random_scipy_shapes": (random_scipy_shapes, _shapes_sql()),
     "random_uniform": (_draw("uniform", low=-1, high=3), _sql(f"-1 + 4 * {U}")),
     "random_normal": (_draw("normal", mu=10, sigma=3), _sql(f"10 + 3 * {Z}")),
     "random_categorical": (

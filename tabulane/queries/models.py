@@ -148,6 +148,34 @@ def _stump(model, **params):
     return run
 
 
+def tree_shape(spark, d):
+    """Depth, leaves and importance of a single split, next to the number of training rows."""
+    lines = _lines(spark, d).select("key", "l_tax", (F.col("l_extendedprice") * F.col("l_tax")).alias("y"))
+    fitted = M.fit(lines, "key", "decision_tree_regressor", "y", ["l_tax"], {"max_depth": 1}, ALL)
+    shape = fitted.diagnostics_frame(spark).filter(F.col("metric").isin("tree_depth", "n_leaves"))
+    importance = fitted.coefficients_frame(spark).withColumnRenamed("term", "metric")
+    rows = lines.agg(F.lit("rows").alias("metric"), F.count("y").cast("double").alias("value"))
+    return rounded(shape.unionByName(importance).unionByName(rows), 5)
+
+
+TREE_SHAPE = """
+WITH t AS (SELECT count(*) AS n, CAST(count(DISTINCT l_tax) > 1 AS INTEGER) AS split FROM lineitem)
+SELECT 'tree_depth' AS metric, CAST(split AS DOUBLE) AS value FROM t UNION ALL SELECT 'n_leaves', 1 + split FROM t
+UNION ALL SELECT 'l_tax_importance', split FROM t UNION ALL SELECT 'rows', n FROM t"""
+
+
+def huber_wide(spark, d):
+    """With a bound no residual reaches and no penalty, the Huber fit is least squares."""
+    lines = _lines(spark, d).withColumn("y", F.col("l_extendedprice") / 10_000)
+    fitted = M.fit(lines, "key", "huber_regressor", "y", ["l_quantity"], {"epsilon": 1e4, "alpha": 0.0, "max_iter": 500, "tol": 1e-10}, ALL)
+    return rounded(fitted.coefficients_frame(spark), 3)
+
+
+HUBER_WIDE = """
+SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice / 10000, l_quantity), 3) AS value FROM lineitem
+UNION ALL SELECT '_intercept', round(regr_intercept(l_extendedprice / 10000, l_quantity), 3) FROM lineitem"""
+
+
 # the split with the least squared error left
 STUMP = f"""
 WITH t AS (SELECT l_tax, l_extendedprice * l_tax * l_tax AS y FROM ({LINES})), c AS (SELECT DISTINCT l_tax AS cut FROM t),
@@ -222,6 +250,8 @@ CHECKS = {
     "forest": (_ml("random_forest_regressor", n_estimators=10, max_depth=4), None),
     "gbt": (_ml("gradient_boosting_regressor", n_estimators=5, max_depth=3), None),
     "huber": (_ml("huber_regressor", max_iter=50), None),
+    "huber_wide": (huber_wide, HUBER_WIDE),
+    "tree_shape": (tree_shape, TREE_SHAPE),
     "tree_stump": (_stump("decision_tree_regressor"), STUMP),
     "forest_single": (_stump("random_forest_regressor", n_estimators=1, bootstrap=False), STUMP),
     "gbt_single": (_stump("gradient_boosting_regressor", n_estimators=1), STUMP),

@@ -68,6 +68,10 @@ SELECT k."column" AS "column", dtype, rows, null_count, round(null_count / CAST(
 FROM k LEFT JOIN n ON k."column" = n."column" """
 
 
+def profile_full(spark, d):
+    return rounded(A.profile_full(_gaps(spark, d)), 5)
+
+
 def profile_nulls(spark, d):
     return rounded(A.profile_nulls(_gaps(spark, d)))
 
@@ -304,7 +308,19 @@ KPI_GATE = f"""
 SELECT phase, t.kpi AS kpi, op, target, value, CASE op WHEN '<=' THEN value <= target ELSE value >= target END AS passed
 FROM t JOIN l ON t.kpi = l.kpi"""
 
+PROFILE_FULL = " UNION ALL ".join(
+    [
+        f"SELECT \"column\", '{s}' AS statistic, CAST(NULL AS VARCHAR) AS category, CAST({s} AS DOUBLE) AS value FROM ({PROFILE_EVENTS}) WHERE {s} IS NOT NULL"
+        for s in ("rows", "null_count", "null_rate", "mean", "std", "min", "max", "median")
+    ]
+    + [
+        f"SELECT \"column\", '{s}', category, CAST({v} AS DOUBLE) FROM ({PROFILE_CATEGORIES.replace(', 6) AS rate', ', 5) AS rate')})"
+        for s, v in (("count", "n"), ("rate", "rate"))
+    ]
+)
+
 CHECKS = {
+    "profile_full": (profile_full, PROFILE_FULL),
     "infer_schema_orders": (infer_schema_orders, INFER_ORDERS),
     "profile_lineitem": (profile_lineitem, PROFILE_LINEITEM),
     "profile_events": (profile_events, PROFILE_EVENTS),

@@ -58,6 +58,17 @@ SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31), CA
 FROM orders"""
 
 
+def file_fingerprint_names(spark, d):
+    """The nation names, sorted, as one text file: its size and digest."""
+    path = scratch(spark, "names")
+    table(spark, d, "nation").orderBy("n_name").select("n_name").coalesce(1).write.option("lineSep", "\n").text(path)
+    return S.file_fingerprint(spark, f"{path}/*.txt").select("bytes", "sha256")
+
+
+FILE_FINGERPRINT_NAMES = """
+SELECT strlen(t) AS bytes, sha256(t) AS sha256 FROM (SELECT string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS t FROM nation)"""
+
+
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     return usage_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
@@ -95,6 +106,7 @@ CHECKS = {
     "roundtrip_parquet": (_roundtrip("parquet"), ORDERS),
     "append_events": (append_events, APPEND_EVENTS),
     "file_fingerprint": (file_fingerprint, None),
+    "file_fingerprint_names": (file_fingerprint_names, FILE_FINGERPRINT_NAMES),
     "table_checksum": (table_checksum, TABLE_CHECKSUM),
     "ingest_stream": (
         ingest_events,

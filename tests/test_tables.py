@@ -12,7 +12,7 @@ from tabulane.operators import projection as P
 from tabulane.operators import quality as Q
 from tabulane.operators.percentiles import exact_percentiles
 from tabulane.operators.ranking import with_rank
-from tabulane.operators.skew import dimension_join, hot_hashes, is_small, salted_join
+from tabulane.operators.skew import _place, _salts, dimension_join, hot_hashes, is_small, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -266,3 +266,40 @@ def test_kpi_empty_and_typed_metadata(spark):
     assert k["visible_primary_actions"] == 4.0 and k["p95_feedback_latency_ms"] == pytest.approx(290.0)
     assert k["familiar_pattern_coverage_pct"] == 50.0 and k["avg_pointer_travel_px"] == 10.0
     assert k["avg_clicks_happy_path"] == 0.0 and k["progress_feedback_coverage_pct"] == 100.0
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    spark.range(20_000, numPartitions=2).select(F.lit(1).cast("long").alias("k")).write.parquet(path)
+    hot = spark.read.parquet(path)
+    side = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    joined = salted_join(hot, side, ["k"])
+    assert joined.count() == 20_000 and joined.filter("w = 10").count() == 20_000
+    places = _place(hot)
+    salts = _salts({hot.select(F.xxhash64("k")).first()[0]: 1.0}, F.xxhash64("k"), 8)
+    assert hot.select(F.pmod(F.xxhash64(*places), salts)).distinct().count() == 8
+
+
+def test_repeated_lookup_key_fails(spark):
+    df = spark.createDataFrame([(1,)], "k int")
+    table = spark.createDataFrame([("1", 1.0), ("1", 2.0)], "key string, value double")
+    with pytest.raises(Exception, match="repeated entry"):
+        L.lookup(df, "k", table, "v").collect()
+
+
+def test_correlation_of_many_columns(spark):
+    wide = spark.range(50).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(f"c{i}") for i in range(200)])
+    rows = wide.toPandas()  # 50 rows
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in A.correlation_matrix(wide).collect()}
+    want = rows.corr()
+    assert len(got) == 40_000
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a in ("c0", "c7", "c199") for b in ("c1", "c7", "c151"))
+
+
+@pytest.mark.parametrize("key", [None, ["id"]])
+def test_pages_with_and_without_a_key(spark, key):
+    df = spark.range(2500).select("id", (F.col("id") * 2).alias("v"))
+    rows, total = P.page(df, [F.col("v").desc()], 1500, 3, key=key)
+    assert [tuple(r) for r in rows.select("id", "v").collect()] == [(999, 1998), (998, 1996), (997, 1994)] and total == 2500
+    assert [r["id"] for r in P.thin(df, [F.col("v")], 1000, key=key).collect()] == list(range(0, 2500, 3))
+    assert P.page(df.limit(0), [F.col("v")], 0, 5, key=key)[1] == 0 and P.thin(df.limit(0), [F.col("v")], key=key).count() == 0
