@@ -132,6 +132,72 @@ def _linear(kind: str) -> Callable[[DataFrame, str, list[str], dict], LinearMode
     return fit
 
 
+def _fit_moments(df: DataFrame, target: str, features: list[str], params: dict) -> tuple[Moments, np.ndarray, bool]:
+    """Moments, sums of products (centred where an intercept is fitted), whether one is fitted."""
+    m = moments(df, [*features, target])
+    centred = params.get("fit_intercept") is not False
+    return m, m.cross if centred else m.cross + m.n * np.outer(m.mean, m.mean), centred
+
+
+def _bayesian_ridge(df: DataFrame, target: str, features: list[str], params: dict) -> LinearModel:
+    """Ridge whose noise and weight precisions are re-estimated from the evidence until the weights settle.
+
+    Everything but the moments is p x p work: one eigen decomposition, then a few vector sums per round.
+    """
+    priors = ("alpha_1", "alpha_2", "lambda_1", "lambda_2")
+    _known_only(params, {"max_iter", "n_iter", "tol", "alpha_init", "lambda_init", "fit_intercept", *priors})
+    a1, a2, l1, l2 = (float(params.get(k, 1e-6)) for k in priors)
+    rounds, tol = int(params.get("max_iter") or params.get("n_iter") or 300), float(params.get("tol", 1e-3))
+    m, cross, centred = _fit_moments(df, target, features, params)
+    xy, yy = cross[:-1, -1], cross[-1, -1]
+    values, vectors = np.linalg.eigh(cross[:-1, :-1])
+    values = np.maximum(values, 0.0)
+    turned = vectors.T @ xy
+    spread = m.cross[-1, -1] / m.n  # variance of the target
+    noise = float(params.get("alpha_init") or 1 / (spread + np.finfo(float).eps))
+    weight = float(params.get("lambda_init") or 1.0)
+
+    def solved() -> np.ndarray:
+        return turned / (values + weight / noise)
+
+    before = None
+    for done in range(1, rounds + 1):
+        w = solved()
+        errors = max(yy - 2 * w @ turned + values @ np.square(w), 0.0)
+        known = float(np.sum(noise * values / (weight + noise * values)))  # number of well determined weights
+        weight, noise = (known + 2 * l1) / (w @ w + 2 * l2), (m.n - known + 2 * a1) / (errors + 2 * a2)
+        if before is not None and np.abs(vectors @ (w - before)).sum() < tol:
+            break
+        before = w
+    w = vectors @ solved()
+    return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w) if centred else 0.0, done)
+
+
+def _matching_pursuit(df: DataFrame, target: str, features: list[str], params: dict) -> LinearModel:
+    """Features enter one at a time, the one with the largest product with what is still unexplained; each time all weights are refitted.
+
+    Stops at `n_nonzero_coefs` features (default: a tenth of them, at least one), or, where `tol` is given, once the summed squared
+    error is at most that.
+    """
+    _known_only(params, {"n_nonzero_coefs", "tol", "fit_intercept"})
+    m, cross, centred = _fit_moments(df, target, features, params)
+    xx, xy, yy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
+    p, tol = len(features), params.get("tol")
+    most = p if tol is not None else int(params.get("n_nonzero_coefs") or max(1, p // 10))
+    if not 0 < most <= p:
+        raise ValueError(f"n_nonzero_coefs has to lie between 1 and {p}")
+    w, taken = np.zeros(p), []
+    while len(taken) < most and (tol is None or yy - w @ xy > float(tol)):
+        rest = np.abs(xy - xx @ w)
+        rest[taken] = -1.0
+        best = int(np.argmax(rest))
+        if rest[best] <= 1e-12 * np.sqrt(xx[best, best] * yy):
+            break  # nothing left to explain
+        taken.append(best)
+        w[taken] = np.linalg.lstsq(xx[np.ix_(taken, taken)], xy[taken], rcond=None)[0]
+    return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w) if centred else 0.0, len(taken))
+
+
 # MLlib models -------------------------------------------------------------------------------
 
 
@@ -230,6 +296,9 @@ MODELS: dict[str, Callable[[DataFrame, str, list[str], dict], Regressor]] = {
     "ridge": _linear("ridge"),
     "lasso": _linear("lasso"),
     "elastic_net": _linear("elastic_net"),
+    "lasso_lars": _linear("lasso"),  # another path to the same minimum
+    "bayesian_ridge": _bayesian_ridge,
+    "orthogonal_matching_pursuit": _matching_pursuit,
     "decision_tree_regressor": _mllib(DecisionTreeRegressor, TREE, maxDepth=5, seed=42),
     "random_forest_regressor": _mllib(RandomForestRegressor, FOREST, numTrees=100, maxDepth=5, featureSubsetStrategy="all", seed=42),
     "gradient_boosting_regressor": _mllib(GBTRegressor, BOOST, maxIter=100, maxDepth=3, stepSize=0.1, seed=42),

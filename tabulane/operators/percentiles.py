@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEW = 1_000_000  # candidates of one rank that may be sorted in a single row (8 MB)
-PER_JOB = 2 * FEW  # candidates looked at in one job
-MAX_ACCURACY = 10_000  # of the pivot sketch; it affects the number of rounds, never the result
+FEW = 20_000  # candidates of one rank that may be sorted in a single row (160 KB)
+PER_JOB = 50 * FEW  # candidates looked at in one job
+MAX_ACCURACY = 5_000  # of the pivot sketch; it affects the number of rounds, never the result
+PARTS = 256  # groups of tasks whose sketches are merged first
 
 
 @dataclass
@@ -100,10 +101,18 @@ def _by_span(searches: list[_Search]) -> list[list[_Search]]:
     return list(spans.values())
 
 
+def _sketch_size(accuracy: int) -> int:
+    """Size of a quantile sketch whose rank error is about 1 / accuracy (published error curve of the sketch, 2.3 / size^0.9)."""
+    return min(65_000, max(200, math.ceil((2.3 * accuracy) ** (1 / 0.9))))
+
+
 def _narrow(data: DataFrame, wide: list[_Search], few: int) -> None:
-    """One sketch pass for pivots, one counting pass that decides on which side each rank is."""
+    """One sketch pass for pivots, one counting pass that decides on which side each rank is.
+
+    Sketches are merged in two levels, so no task gets those of all input tasks.
+    """
     groups = _by_span(wide)
-    asks = []
+    asks, merged, pivots_of = [], [], []
     for i, group in enumerate(groups):
         inside, below = group[0].inside, group[0].below
         accuracy = min(MAX_ACCURACY, max(100, 8 * inside // few))  # just fine enough to leave few
@@ -111,8 +120,13 @@ def _narrow(data: DataFrame, wide: list[_Search], few: int) -> None:
         for s in group:
             at = (s.rank - below) / max(1, inside - 1)
             around |= {min(1.0, max(0.0, round(at + d, 9))) for d in (-2 / accuracy, 2 / accuracy)}
-        asks.append(F.percentile_approx(group[0].candidate(), sorted(around), accuracy).alias(f"p{i}"))
-    found = data.agg(*asks).first()
+        size = F.lit(_sketch_size(accuracy))
+        asks.append(F.kll_sketch_agg_double(group[0].candidate(), size).alias(f"s{i}"))
+        merged.append(F.kll_merge_agg_double(f"s{i}", size).alias(f"s{i}"))
+        places = F.array(*[F.lit(float(a)) for a in sorted(around)])
+        pivots_of.append(F.kll_sketch_get_quantile_double(F.col(f"s{i}"), places).alias(f"p{i}"))
+    parts = data.groupBy(F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")).agg(*asks)
+    found = parts.agg(*merged).select(*pivots_of).first()
     pivots = [sorted(set(found[f"p{i}"])) for i in range(len(groups))]
     counts = []
     for i, group in enumerate(groups):

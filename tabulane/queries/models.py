@@ -50,6 +50,31 @@ WITH t AS ({TRAIN}), s AS (SELECT {slope} AS b, avg(l_extendedprice) AS my, avg(
 SELECT 'l_quantity' AS term, round(b, 5) AS value FROM s UNION ALL SELECT '_intercept', round(my - b * mx, 5) FROM s"""
 
 
+BAYESIAN_ROUNDS = 12
+BAYESIAN_RIDGE = f"""
+WITH RECURSIVE t AS ({TRAIN}),
+s AS (SELECT count(*) AS n, {SXX} AS xx, {SXY} AS xy, regr_syy(l_extendedprice, l_quantity) AS yy, var_pop(l_extendedprice) AS v,
+  avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM t),
+r AS (
+  SELECT 0 AS i, 1 / v AS noise, CAST(1 AS DOUBLE) AS weight, xy / (xx + v) AS w FROM s
+  UNION ALL
+  SELECT i + 1, noise2, weight2, xy / (xx + weight2 / noise2) FROM (
+    SELECT i, xx, xy, (noise * xx / (weight + noise * xx) + 2e-6) / (w * w + 2e-6) AS weight2,
+      (n - noise * xx / (weight + noise * xx) + 2e-6) / (yy - 2 * w * xy + xx * w * w + 2e-6) AS noise2
+    FROM r, s WHERE i < {BAYESIAN_ROUNDS}))
+SELECT 'l_quantity' AS term, round(w, 3) AS value FROM r WHERE i = {BAYESIAN_ROUNDS}
+UNION ALL SELECT '_intercept', round(my - w * mx, 3) FROM r, s WHERE i = {BAYESIAN_ROUNDS}"""
+
+# the feature with the larger sum of centred products, alone
+PURSUIT = f"""
+WITH t AS ({TRAIN}),
+c AS (SELECT 'l_quantity' AS f, {SXY} AS p, {SXX} AS q, avg(l_quantity) AS m, avg(l_extendedprice) AS my FROM t
+  UNION ALL SELECT 'l_tax', regr_sxy(l_extendedprice, l_tax), regr_sxx(l_extendedprice, l_tax), avg(l_tax), avg(l_extendedprice) FROM t),
+b AS (SELECT *, row_number() OVER (ORDER BY abs(p) DESC) AS place FROM c)
+SELECT f AS term, CASE WHEN place = 1 THEN round(p / q, 5) ELSE CAST(0 AS DOUBLE) END AS value FROM b
+UNION ALL SELECT '_intercept', round(my - p / q * m, 5) FROM b WHERE place = 1"""
+
+
 def _two_features() -> str:
     """Least squares with two features from the covariances."""
     return f"""
@@ -233,6 +258,8 @@ CHECKS = {
         _coefficients("elastic_net", alpha=10.0, l1_ratio=0.3),
         _one_feature(f"sign({SXY}) * greatest(abs({SXY}) / count(*) - CAST(10 * 0.3 AS DOUBLE), 0) / ({SXX} / count(*) + CAST(10 * 0.7 AS DOUBLE))"),
     ),
+    "bayesian_ridge": (_coefficients("bayesian_ridge", digits=3, max_iter=BAYESIAN_ROUNDS, tol=0.0), BAYESIAN_RIDGE),
+    "matching_pursuit": (_coefficients("orthogonal_matching_pursuit", ("l_tax", "l_quantity"), n_nonzero_coefs=1), PURSUIT),
     "fit_flow": (fit_flow, FIT_FLOW),
     "regression_metrics": (regression_metrics, REGRESSION_METRICS),
     "residual_stats": (

@@ -10,6 +10,7 @@ from tabulane.operators import lookup as L
 from tabulane.operators import modeling as M
 from tabulane.operators import projection as P
 from tabulane.operators import quality as Q
+from tabulane.operators.percentiles import exact_percentiles
 from tabulane.plans.generate import add_columns
 
 NAN = float("nan")
@@ -58,3 +59,36 @@ def test_long_chains_stay_short(spark):
     found = df.select(formula(" or ".join(f"c{i}" for i in range(60)), df).alias("v")).collect()
     assert [r["v"] for r in found] == [-1.0, 1.0, 2.0]
     assert time.time() - start < 10
+
+
+@pytest.fixture(scope="module")
+def plane(spark):
+    """y = 3a - 2b + 5 exactly, c has no part in it."""
+    return spark.range(400).select(
+        F.col("id").cast("string").alias("k"),
+        (F.col("id") % 20).cast("double").alias("a"),
+        F.pmod(F.col("id") * 7, F.lit(13)).cast("double").alias("b"),
+        F.pmod(F.col("id") * 5, F.lit(11)).cast("double").alias("c"),
+    ).withColumn("y", 3 * F.col("a") - 2 * F.col("b") + 5)
+
+
+def test_bayesian_ridge_finds_an_exact_plane(plane):
+    found = M.fit(plane, "k", "bayesian_ridge", "y", ["a", "b", "c"], split_spec={"type": "none"}).model.coefficients()
+    assert found == pytest.approx({"a": 3, "b": -2, "c": 0, "_intercept": 5}, abs=1e-4)
+
+
+def test_matching_pursuit_takes_the_strongest_first(plane):
+    one = M.fit(plane, "k", "orthogonal_matching_pursuit", "y", ["c", "a", "b"], split_spec={"type": "none"}).model
+    assert one.coefficients()["a"] != 0 and one.coefficients()["b"] == one.coefficients()["c"] == 0
+    most = M.fit(plane, "k", "orthogonal_matching_pursuit", "y", ["c", "a", "b"], {"tol": 1e-6}, {"type": "none"}).model
+    assert most.coefficients() == pytest.approx({"c": 0, "a": 3, "b": -2, "_intercept": 5}, abs=1e-6)
+    with pytest.raises(ValueError):
+        M.fit(plane, "k", "orthogonal_matching_pursuit", "y", ["a"], {"n_nonzero_coefs": 2})
+
+
+def test_percentiles_are_exact_with_merged_sketches(spark):
+    rows = spark.range(0, 200_000, 1, 9).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("v"), (F.col("id") % 3).cast("double").alias("t"))
+    rows = rows.withColumn("v", F.when(F.col("v") > 1000, F.col("v")))
+    found = exact_percentiles(rows, {"v": F.col("v"), "t": F.col("t")}, [0.0, 0.37, 0.95, 1.0], few=50)
+    wanted = rows.agg(*[F.percentile(c, F.array(*map(F.lit, [0.0, 0.37, 0.95, 1.0]))).alias(c) for c in ("v", "t")]).first()
+    assert found["v"] == pytest.approx(wanted["v"], rel=1e-12) and found["t"] == wanted["t"]
