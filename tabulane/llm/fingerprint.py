@@ -1,9 +1,10 @@
-"""Homomorphic multiset hash of a text's paragraphs: wide vectors added modulo powers of two.
+"""Homomorphic multiset hash of a text's pieces: wide vectors added modulo powers of two.
 
-The vector of a paragraph has 45 numbers: its count (1), four residues of 32 random bits, and 40 numbers that each hold three
+Pieces are the paragraphs of a text and, within each, its runs of two words or four characters, so that an edit inside a
+paragraph leaves the runs it does not touch. The vector of a piece has 45 numbers: its count (1), four residues of 32 random bits, and 40 numbers that each hold three
 one-bit lanes, 20 bits apart. Vectors add modulo 2^60, so the order of paragraphs does not matter and paragraphs
 can be put in or taken out. The residues serve equality; the one-bit lanes are a random projection, so the squared
-length of a difference estimates how many paragraphs differ.
+length of a difference estimates how many pieces differ.
 """
 
 from __future__ import annotations
@@ -12,14 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulane.operators.ranking import with_rank
-
-PARAGRAPH = r"\n|(?<=[.!?]) "  # lines, and sentences within them
+from tabulane.session import cut_lineage
+
+PARAGRAPH = "\\n|(?<=[.!?]) |(?<=[。！？।॥۔؟։።]) ?"  # lines, and sentences within them
+_UNSPACED = r"\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\x{20000}-\x{3ffff}"  # scripts that set no spaces between words
+_WORD = rf"(?<!\S)[^\s{_UNSPACED}]{{1,24}}(?!\S)"
+_NOT_WORDS = rf"[{_UNSPACED}]|\S{{25}}"
+# From each word two tokens, from each other character (unspaced scripts, longer strings) four of them; group 1 is empty where too few follow.
+RUN = rf"(?:(?=({_WORD}\s*(?:{_WORD}|\S)|(?!{_WORD})\S(?:\s*\S){{3}})))?(?:{_WORD}|\S)"
 SIZE = 45
 HEAD = 5  # count and residues, before the lanes
 _MASK = (1 << 60) - 1
 _LANES = 1 | 1 << 20 | 1 << 40
 _LANE = (1 << 20) - 1
 _LOW = (1 << 32) - 1
+_PART = 20  # so many bits of a piece's place are added up in one row: sums of 60-bit lanes stay below 2^61
 
 
 def _long(n: int) -> Column:
@@ -27,21 +35,52 @@ def _long(n: int) -> Column:
 
 
 def zero() -> Column:
-    """The vector of no paragraphs."""
+    """The vector of no pieces."""
     return F.array_repeat(_long(0), SIZE)
 
 
-def _vector(words: Column) -> Column:
-    """The 45 numbers of a paragraph from its four hash words."""
-    a, b, c, d = (words[i] for i in range(4))
+def _numbers(words: list[Column]) -> list[Column]:
+    """The 45 numbers of a piece from its four hash words."""
+    a, b, c, d = words
     head = [_long(1), a.bitwiseAND(_long(_LOW)), F.shiftrightunsigned(a, 32), b.bitwiseAND(_long(_LOW)), F.shiftrightunsigned(b, 32)]
-    lanes = [F.shiftrightunsigned(w, i).bitwiseAND(_long(_LANES)) for w in (c, d) for i in range(20)]
-    return F.array(*head, *lanes)
+    return head + [F.shiftrightunsigned(w, i).bitwiseAND(_long(_LANES)) for w in (c, d) for i in range(20)]
+
+
+def _words(piece: Column) -> list[Column]:
+    return [F.xxhash64(piece, F.lit(i)) for i in range(4)]
+
+
+def _pairs(words: Column) -> Column:
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+
+
+def _runs(paragraph: Column) -> Column:
+    """Runs within a paragraph, but for the paragraph itself. Where it is all words, splitting it is much faster than `RUN`."""
+    words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
+    runs = F.when(paragraph.rlike(_NOT_WORDS), F.regexp_extract_all(paragraph, F.lit(RUN), F.lit(1))).otherwise(F.flatten(F.transform(F.array(words), _pairs)))
+    return F.filter(runs, lambda r: (r != "") & (r != paragraph))
+
+
+def _repeats(runs: Column) -> Column:
+    """Of sorted runs, each once for each doubling of its count, marked by the level."""
+
+    def level(j: Column) -> Column:
+        doubled = F.filter(runs, lambda r, i: F.get(runs, i + F.call_function("shiftleft", F.lit(1), j) - 1) == r)
+        return F.transform(F.array_distinct(doubled), lambda r: F.concat(r, F.lit("\n"), j.cast("string")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.floor(F.log2(F.size(runs))).cast("int")), level))
+
+
+def _damped(runs: Column) -> Column:
+    """Each run once, and once more for each doubling of its count within the paragraph."""
+    once = F.array_distinct(runs)
+    return F.when(F.size(once) == F.size(runs), runs).otherwise(F.concat(once, F.flatten(F.transform(F.array(F.sort_array(runs)), _repeats))))
 
 
-def _paragraph_words(text: Column, pattern: str) -> Column:
-    pieces = F.filter(F.split(text, pattern), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.array(*[F.xxhash64(p, F.lit(i)) for i in range(4)]))
+def pieces(text: Column, pattern: str = PARAGRAPH) -> Column:
+    """The pieces of a text: its paragraphs, and what `_damped` leaves of the runs within each. Those of two texts joined by a line end are those of both."""
+    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda p: p != "")
+    return F.concat(paragraphs, F.flatten(F.transform(F.transform(paragraphs, _runs), _damped)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -50,49 +89,67 @@ def add(a: Column, b: Column) -> Column:
 
 
 def remove(a: Column, b: Column) -> Column:
-    """Vector of `a` without the paragraphs of `b`."""
+    """Vector of `a` without the pieces of `b`."""
     return F.zip_with(a, b, lambda x, y: (x - y).bitwiseAND(_long(_MASK)))
 
 
 def fingerprint(text: Column, pattern: str = PARAGRAPH) -> Column:
     """Vector of a text; null and empty texts have the zero vector."""
-    words = _paragraph_words(F.coalesce(text, F.lit("")), pattern)
-    return F.aggregate(words, zero(), lambda sum_, w: add(sum_, _vector(w)))
+    words = F.transform(pieces(text, pattern), lambda p: F.array(*_words(p)))
+    return F.aggregate(words, zero(), lambda sum_, w: add(sum_, F.array(*_numbers([w[i] for i in range(4)]))))
+
+
+def with_fingerprints(table: DataFrame, keys: list[str], texts: dict[str, Column]) -> DataFrame:
+    """`keys`, which tell the rows apart, and the `fingerprint` of each text under its name.
+
+    Pieces become rows and are added up by generated code, many times faster than by the array functions of `fingerprint`. Nothing is
+    shuffled where the table is already dealt out by some of the keys.
+    """
+    stacked = table.select(*keys, F.posexplode(F.array(*texts.values())).alias("_which", "_text"))
+    cut = stacked.select(*keys, "_which", F.posexplode_outer(pieces(F.col("_text"))).alias("_at", "_piece"))
+    known = F.col("_piece").isNotNull()
+    hashed = cut.select(
+        *keys, "_which", F.shiftright(F.coalesce("_at", F.lit(0)), _PART).alias("_part"), *[F.when(known, w).alias(f"_{i}") for i, w in enumerate(_words(F.col("_piece")))]
+    )
+    numbers = _numbers([F.col(f"_{i}") for i in range(4)])
+    sums = hashed.groupBy(*keys, "_which", "_part").agg(F.count("_0").alias("n0"), *[F.sum(x).alias(f"n{i}") for i, x in enumerate(numbers) if i])
+    vector = F.array(*[F.coalesce(F.col(f"n{i}"), _long(0)).bitwiseAND(_long(_MASK)) for i in range(SIZE)])
+    parts = sums.select(*keys, "_which", vector.alias("_vector"))
+    return parts.groupBy(*keys).agg(*[F.aggregate(F.collect_list(F.when(F.col("_which") == i, F.col("_vector"))), zero(), add).alias(name) for i, name in enumerate(texts)])
 
 
 def as_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
-def _squared_length(a: Column, n: Column) -> Column:
-    """Sum over the lanes of (2 * ones - n)^2: lanes are +1 or -1 per paragraph."""
-
-    def square(x: Column, at: int) -> Column:
-        d = (F.shiftright(x, at).bitwiseAND(_long(_LANE)) * 2 - n).cast("double")
-        return d * d
+def _signs(v: Column) -> Column:
+    """The 120 lanes as sums of +1 or -1 per piece: 2 * ones - n. A lane keeps the ones modulo 2^20 and what lanes below carry over; the sum, far smaller than n, tells them."""
+    n = v[0]
 
-    lanes = F.slice(a, HEAD + 1, SIZE - HEAD)
-    return F.aggregate(lanes, F.lit(0.0), lambda s, x: s + square(x, 0) + square(x, 20) + square(x, 40))
+    def sign(x: Column) -> Column:
+        return F.pmod(x * 2 - n + _LANE + 1, _long(2 * (_LANE + 1))) - (_LANE + 1)
 
+    def carried(x: Column) -> Column:
+        return F.shiftright(x - F.shiftright(n + sign(x), 1), 20)
 
-def _squared_distance(a: Column, b: Column) -> Column:
-    apart = a[0] - b[0]
+    lowest = F.slice(v, HEAD + 1, SIZE - HEAD)
+    middle = F.transform(lowest, carried)
+    return F.concat(*[F.transform(x, sign) for x in (lowest, middle, F.transform(middle, carried))])
 
-    def square(x: Column, y: Column, at: int) -> Column:
-        ones = F.shiftright(x, at).bitwiseAND(_long(_LANE)) - F.shiftright(y, at).bitwiseAND(_long(_LANE))
-        d = (ones * 2 - apart).cast("double")
-        return d * d
 
-    each = F.zip_with(
-        F.slice(a, HEAD + 1, SIZE - HEAD), F.slice(b, HEAD + 1, SIZE - HEAD), lambda x, y: square(x, y, 0) + square(x, y, 20) + square(x, y, 40)
-    )
-    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+def _squared(signs: Column) -> Column:
+    return F.aggregate(signs, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated likeness of two multisets, 0 to 1: 2 <a, b> / (<a, a> + <b, b>) of their paragraph counts; 1 for equal vectors."""
-    both = _squared_length(a, a[0]) + _squared_length(b, b[0])
-    rough = 1 - _squared_distance(a, b) / F.when(both > 0, both)
+    """Estimated likeness of two multisets, 0 to 1: 2 <a, b> / (<a, a> + <b, b>) of their piece counts; 1 for equal vectors."""
+
+    def compared(x: Column, y: Column) -> Column:
+        both = _squared(x) + _squared(y)
+        return 1 - _squared(F.zip_with(x, y, lambda u, v: u - v)) / F.when(both > 0, both)
+
+    # bound as lambda variables, so that each is computed once
+    rough = F.transform(F.array(F.transform(F.array(a, b), _signs)), lambda s: compared(s[0], s[1]))[0]
     return F.when(a == b, 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rough)), F.lit(0.0)))
 
 
@@ -106,8 +163,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the text; rows equal in id and text count as one document and each get its result. A lone document is its own next.
     Other columns are not read.
 
-    Places are found by a distributed sort of ids; whole texts are shuffled once, by id, and only the piece that the
-    edit needs travels on to the document before.
+    Places are found by a distributed sort of ids; whole texts are shuffled once, by id, and only the beginning that the
+    edit needs and the vector travel on to the document before.
     """
     key = F.coalesce(F.concat(F.lit("+"), F.col(id_col).cast("string")), F.lit("-"))
     texts = docs.select(key.alias("key"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
@@ -122,20 +179,21 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("tag").alias("to_tag"),
         F.floor(F.col("n_chars") / 3).cast("int").alias("take"),
     )
-    about = ranked.join(before, "place").select("key", "tag", "id", "to_key", "to_tag", "take")
+    about = ranked.join(before, "place").select("key", "tag", "id", "copies", "to_key", "to_tag", "take")
     placed = texts.select("key", "tag", "text").join(about, ["key", "tag"])
-    sent = placed.select(
-        F.col("to_key").alias("key"), F.col("to_tag").alias("tag"), F.substring("text", F.lit(1), F.col("take")).alias("piece"), fingerprint(F.col("text")).alias("next")
-    )
     if sizes["copies"] > 1:
-        sent = sent.dropDuplicates(["key", "tag"])
+        placed = placed.dropDuplicates(["key", "tag"])
+    to = [F.col("to_key").alias("key"), F.col("to_tag").alias("tag")]
+    sent = placed.select(*to, F.substring("text", F.lit(1), F.col("take")).alias("piece"))
+    vectors = cut_lineage(with_fingerprints(placed, ["key", "tag", "to_key", "to_tag"], {"own": F.col("text")}))
+    following = vectors.select(*to, F.col("own").alias("next"))
     n = F.char_length("text")
     kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int"))
-    edited = placed.join(sent, ["key", "tag"]).select(
-        "id", n.cast("long").alias("n_chars"), "text", F.concat(kept, "piece").alias("edited"), "next"
-    )
-    marked = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("other"), "next")
-    return marked.select(
+    edited = placed.join(sent, ["key", "tag"]).select("key", "tag", "id", "copies", n.cast("long").alias("n_chars"), F.concat(kept, "piece").alias("edited"))
+    edited = edited.withColumn("edited_sha256", F.sha2("edited", 256))
+    # the vectors of the whole texts are used twice and made once
+    marked = with_fingerprints(edited, ["key", "tag", "id", "copies", "n_chars", "edited_sha256"], {"other": F.col("edited")})
+    found = marked.join(vectors.select("key", "tag", "own"), ["key", "tag"]).join(following, ["key", "tag"]).select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
@@ -143,4 +201,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "copies",
     )
+    if sizes["copies"] > 1:
+        found = found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return found.drop("copies")

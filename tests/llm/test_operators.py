@@ -401,6 +401,61 @@ def test_fingerprint_likeness_is_near_the_truth(spark):
     assert abs(got - 2 / 3) < 0.15
 
 
+WORDS = " ".join(f"word{i * 7919 % 1009}" for i in range(300))
+ONE_PIECE = [  # texts of one line and one sentence, and how their edited texts go on
+    (WORDS, " ".join(f"other{i}" for i in range(300))),
+    ("".join(chr(0x4E00 + i * 7919 % 20000) for i in range(600)), "".join(chr(0x4E00 + i * 104729 % 20000) for i in range(600))),
+    (" ".join(chr(0x905 + i % 50) + chr(0x915 + i * 7 % 37) + chr(0x915 + i * 11 % 31) for i in range(300)), "\u0915\u0916 " * 300),
+    (" ".join(chr(0x627 + i % 30) + chr(0x628 + i * 7 % 29) + chr(0x628 + i * 11 % 23) for i in range(300)), WORDS),
+    ("".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(20)), "yes " * 400),
+]
+
+
+def brute_pieces(text):
+    """Pieces of a text without line ends and full stops, from its tokens."""
+    counts = {text: 1}
+    words = text.split(" ")
+    runs = [" ".join(p) for p in zip(words, words[1:])] if max(map(len, words)) <= 24 else [text[i : i + 4] for i in range(len(text) - 3)]
+    for r in set(runs):
+        for level in range(runs.count(r).bit_length()):
+            counts[r, level] = 1
+    return counts
+
+
+def test_fingerprint_of_texts_that_are_one_piece(spark):
+    def edit(a, b):
+        k = len(a) // 3
+        return a[: len(a) - k] + b[:k]
+
+    made = [(i, a, edit(a, b), b) for i, (a, b) in enumerate(ONE_PIECE)]
+    table = spark.createDataFrame(made, "i int, a string, b string, c string")
+    own, other, foreign = (fingerprint.fingerprint(F.col(x)) for x in "abc")
+    found = {r[0]: r[1:] for r in table.select("i", fingerprint.likeness(own, other), fingerprint.likeness(own, foreign)).collect()}
+    for i, a, _, _ in made:
+        assert abs(found[i][0] - 2 / 3) < 0.2 and found[i][1] < 0.3, (i, found[i])
+    for i in (0, 4):
+        x, y = brute_pieces(made[i][1]), brute_pieces(made[i][1] if i == 4 else WORDS)
+        assert x.keys() == y.keys() and spark.createDataFrame([(made[i][1],)], "t string").select(F.size(fingerprint.pieces(F.col("t")))).first()[0] == len(x)
+    x, y = brute_pieces(made[0][1]), brute_pieces(made[0][2])
+    assert abs(found[0][0] - 2 * len(x.keys() & y.keys()) / (len(x) + len(y))) < 0.15
+
+
+def test_fingerprint_sums_agree_and_stay_additive(spark):
+    texts = [t for _, t in TEXTS if t != LONG] + [a for a, _ in ONE_PIECE] + ["la la la la la la la", "你好。Hello there you。再见 now", "a\nb. c d e f"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    single = {r[0]: r[1] for r in table.select("i", fingerprint.fingerprint(F.col("text"))).collect()}
+    for r in fingerprint.with_fingerprints(table, ["i"], {"v": F.col("text"), "w": F.concat(F.col("text"), F.lit("\n"), F.col("text"))}).collect():
+        assert r["v"] == single[r["i"]] and r["w"] == ([(2 * x) % (1 << 60) for x in r["v"]] if texts[r["i"]] else r["v"])
+
+
+def test_fingerprint_lanes_beyond_their_width(spark):
+    few, many = "\n".join(f"line {i}" for i in range(300)), "\n".join(f"line {i}" for i in range(100, 400))
+    v = spark.createDataFrame([(few, many)], "a string, b string").select(*[fingerprint.fingerprint(F.col(c)).alias(c) for c in "ab"]).first()
+    pairs = [(v["a"], v["b"]), *[([x * 5000 % (1 << 60) for x in v["a"]], [x * 5000 % (1 << 60) for x in v["b"]])]]
+    near = [r[0] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()]
+    assert near[0] == pytest.approx(near[1])
+
+
 # 9 byte-level BPE
 
 
