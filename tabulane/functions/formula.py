@@ -21,7 +21,7 @@ from tabulane.functions import scalars as S
 # Names and limits users of the formula language rely on.
 CONSTANTS = {"PI": 3.14159265358979, "E": 2.71828182845904, "TRUE": True, "FALSE": False}
 MAX_CHARS = 1000
-MAX_NODES = 200
+MAX_NODES = 200  # of a formula of a step; derived and generated columns have no such limit
 
 # Kind of an expression: "int", "num", "bool", "str", "null" or "other".
 NUMERIC = ("int", "num", "bool")
@@ -71,15 +71,15 @@ def column_of(field: T.StructField) -> Typed:
     return Typed(col, kind)
 
 
-def _parse(text: str, max_chars: int) -> ast.Expression:
+def _parse(text: str, max_chars: int, max_nodes: int | None = None) -> ast.Expression:
     if len(text) > max_chars:
         raise FormulaError(f"formula longer than {max_chars} characters")
     try:
         tree = ast.parse(text.strip(), mode="eval")
     except SyntaxError as err:
         raise FormulaError(f"not a formula: {err}") from err
-    if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
-        raise FormulaError(f"formula has more than {MAX_NODES} elements")
+    if max_nodes is not None and sum(1 for _ in ast.walk(tree)) > max_nodes:
+        raise FormulaError(f"formula has more than {max_nodes} elements")
     return tree
 
 
@@ -107,14 +107,15 @@ def formula(
     aliases: dict[str, str] | None = None,
     strict: bool = False,
     max_chars: int = MAX_CHARS,
+    max_nodes: int | None = MAX_NODES,
 ) -> Column:
     """Column for `text` over the columns of `df`; `context` holds constants and lookup tables."""
-    return typed_formula(text, df, context, aliases, strict, max_chars).col
+    return typed_formula(text, df, context, aliases, strict, max_chars, max_nodes).col
 
 
-def typed_formula(text, df, context=None, aliases=None, strict=False, max_chars=MAX_CHARS) -> Typed:
+def typed_formula(text, df, context=None, aliases=None, strict=False, max_chars=MAX_CHARS, max_nodes=MAX_NODES) -> Typed:
     fields = {f.name: f for f in df.schema.fields}
-    return _Builder(fields, context or {}, aliases or {}, strict).build(_parse(text, max_chars).body)
+    return _Builder(fields, context or {}, aliases or {}, strict).build(_parse(text, max_chars, max_nodes).body)
 
 
 class _Builder:
@@ -340,8 +341,8 @@ class _Builder:
 # The functions of the formula language with their argument counts.
 ARITY = {
     "abs": (1, 1),
-    "min": (2, 20),
-    "max": (2, 20),
+    "min": (2, MAX_CHARS),
+    "max": (2, MAX_CHARS),
     "round": (1, 2),
     "floor": (1, 1),
     "ceil": (1, 1),

@@ -44,7 +44,7 @@ def derive(
             missing = [n for n in referenced_names(expr) if n not in known and n not in ("PI", "E", "TRUE", "FALSE")]
             if missing:
                 raise ValueError(f"required columns not found: {missing}")
-        expr = formula(expr, df, context)
+        expr = formula(expr, df, context, max_nodes=None)
     return df.withColumn(name, expr)
 
 

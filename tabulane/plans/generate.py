@@ -29,7 +29,7 @@ def _param(df: DataFrame, value: Any, context: dict) -> tuple[Column, float | No
     if isinstance(value, (int, float)):
         return F.lit(float(value)), float(value)
     if isinstance(value, str):
-        return typed_formula(value, df, context).number().cast("double"), None
+        return typed_formula(value, df, context, max_nodes=None).number().cast("double"), None
     if isinstance(value, dict) and "key" in value and ("lookup" in value or "mapping" in value):
         if value["key"] not in df.columns:
             raise ValueError(f"unknown key column '{value['key']}'")
@@ -190,7 +190,7 @@ def _add_layer(df: DataFrame, layer: list[dict], context: dict, seed: int, key:
     for spec in layer:
         name = spec["name"]
         if "formula" in spec:
-            typed = typed_formula(spec["formula"], df, context, spec.get("aliases"), spec.get("strict", False))
+            typed = typed_formula(spec["formula"], df, context, spec.get("aliases"), spec.get("strict", False), max_nodes=None)
             values[name] = typed.col.cast("double") if typed.kind == "int" else typed.col
             continue
         settings = (seed, key, spec.get("scope", "row"), spec.get("group_by"), context, hashing)

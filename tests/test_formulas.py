@@ -88,3 +88,14 @@ def test_big_whole_numbers_stay_exact(spark):
     df = spark.sql("SELECT 9007199254740993L AS a, 1.0e300D AS b")
     got = df.select(formula("a + 2", df), formula("a % 10", df), S.floor(F.col("b"))).first()
     assert got[:] == (9007199254740995, 3, 1.0e300)
+
+
+def test_caps_of_elements_hold_for_steps_only(spark):
+    from tabulane.operators.projection import derive
+    from tabulane.plans.recipes import apply_recipe
+
+    df = spark.range(1).selectExpr("id AS x")
+    long, wide = "+".join(["x"] * 80) + "+7", "max(" + ",".join(str(i) for i in range(60)) + ")"
+    assert derive(derive(df, "y", long), "z", wide).first()[1:] == (7, 59)
+    with pytest.raises(ValueError, match="200 elements"):
+        apply_recipe(df, [{"step_id": "s1", "type": "formula", "output_column": "y", "order": 1, "params": {"expression": long}}]).collect()
