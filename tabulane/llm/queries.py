@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulane.llm import byte_bpe, chat, fingerprint, jaccard_join, kmeans_tree, language, mixing, quality, suffix_dedup, token_counts
+from tabulane.llm import (
+    byte_bpe,
+    chat,
+    fingerprint,
+    jaccard_join,
+    kmeans_tree,
+    language,
+    mixing,
+    prefix_trie,
+    quality,
+    suffix_dedup,
+    token_alignment,
+    token_counts,
+    toxicity,
+)
 from tabulane.llm.common import held_out, load
 from tabulane.session import cut_lineage
 
@@ -67,6 +81,25 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    model, _ = toxicity.learn_toxicity(docs, load(spark, folder, "labels"), ~held_out())
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.ACCEPT).cast("int").alias("predicted"))
+
+
+A_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+B_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_digests(load(spark, folder, "documents"), A_VOCABULARY, B_VOCABULARY)
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(load(spark, folder, "conversations"))
+
+
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + length({0}) - length(replace({0}, '<', ''))"
 
 OP10_SQL = f"""
@@ -152,6 +185,42 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT start_ AS doc_id, min(node) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+OP13_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT conv_id, sha256(role || chr(10) || sha256(text)) AS id, strlen(text) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM t
+), crc(conv_id, step, c) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(4294967295 AS BIGINT) FROM k
+  UNION ALL
+  SELECT conv_id, step + 1, CASE WHEN step % 9 = 0 THEN xor(c, ascii(substr(CAST(conv_id AS VARCHAR), step // 9 + 1, 1))) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  FROM crc WHERE step < 9 * length(CAST(conv_id AS VARCHAR))
+), h AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE step = 9 * length(CAST(conv_id AS VARCHAR))),
+built AS (
+  SELECT h.conv_id, b.i, b.id, b.bytes FROM h JOIN k b ON b.conv_id = h.conv_id - h.conv_id % 5 AND b.i <= h.h
+  UNION ALL SELECT h.conv_id, o.i, o.id, o.bytes FROM h JOIN k o ON o.conv_id = h.conv_id AND o.i > h.h
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM built),
+path(conv_id, depth, key, bytes) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), sha256(''), CAST(0 AS BIGINT) FROM h
+  UNION ALL
+  SELECT p.conv_id, n.depth, sha256(p.key || n.id), n.bytes FROM path p JOIN numbered n ON n.conv_id = p.conv_id AND n.depth = p.depth + 1
+), ends AS (SELECT conv_id, max(depth) AS n FROM path GROUP BY 1),
+node AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, count(*) FILTER (n = depth) AS n_ends,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM path JOIN ends USING (conv_id) GROUP BY depth, key
+), up AS (  -- each node under its own key and each of its ancestors'
+  SELECT p.depth, p.key, n.depth AS below, n.n_convs = n.n_ends AS leaf, (n.n_convs - 1) * n.bytes AS saved
+  FROM node n JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+), total AS (
+  SELECT depth, key, CAST(count(*) FILTER (below = depth + 1) AS BIGINT) AS n_children, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY depth, key
+)
+SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN total ON total.depth = node.depth AND total.key = node.key LEFT JOIN path p ON p.conv_id = node.conv_id AND p.depth = node.depth - 1
+LEFT JOIN node above ON above.depth = p.depth AND above.key = p.key
+"""
+
 CHECKS = {
     "op1_language": (op1_language, None),
     "op2_mixing": (op2_mixing, OP2_SQL),
@@ -163,4 +232,7 @@ CHECKS = {
     "op8_fingerprint": (op8_fingerprint, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op11_toxicity": (op11_toxicity, None),
+    "op12_token_alignment": (op12_token_alignment, None),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
