@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,14 +27,15 @@ from tabulane.llm.common import over_batches, partitions
 from tabulane.session import cut_lineage
 
 LANE = 1024  # bytes of text a lane of the state vector walks
-BATCH_BYTES = 2 << 20  # text in one state vector; a longer document has its own
-MEMO_CHUNKS = 300_000  # encoded chunks a task remembers; it forgets all of them beyond that
+BATCH_BYTES = 1 << 20  # text in one state vector; a longer document has its own
+MEMO_CHUNKS = 500_000  # encoded chunks a task remembers; it forgets all of them beyond that
 MEMO_IDS = 4_000_000  # or beyond so many ids
+SLICE = 2_000
 BLOCK_PAIRS = 2_000_000  # id pairs whose counts one task looks up
 SALT_LINKS = 8_000_000  # links one task looks up, about
 
 # A space next to other white space, or at an end: then the places of spaces alone do not tell where tokens can be cut.
-_UNSAFE = regex.compile(r"^ | $|\s | \s").search
+_UNSAFE = regex.compile(r"^ | $| \s|[^\S ] ").search
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>").fullmatch
 
 
@@ -61,7 +64,7 @@ class _Memo:
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start[i] = np.concatenate([self.start[i], len(self.flat[i]) + np.cumsum(n) - n])
             self.count[i] = np.concatenate([self.count[i], n])
-            self.flat[i] = np.concatenate([self.flat[i], np.fromiter((t for x in ids for t in x), np.int32, int(n.sum()))])
+            self.flat[i] = np.concatenate([self.flat[i], np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
         first = len(self.at)
         self.at.update((c, first + k) for k, c in enumerate(chunks))
 
@@ -80,6 +83,7 @@ class PairCoder:
     """
 
     def __init__(self, a: str, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         told = json.loads(a)
         self.a = Tokenizer.from_str(a)
         self.a.encode_special_tokens = True
@@ -95,30 +99,38 @@ class PairCoder:
         self.memo = _Memo()
 
     def _both(self, texts: list[str]) -> tuple[list, list]:
-        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        """Ids of both sides, `SLICE` texts at a time: the tokenizer's own results are many times larger than the ids."""
+        a = [e.ids for i in range(0, len(texts), SLICE) for e in self.a.encode_batch_fast([" " + t for t in texts[i : i + SLICE]], add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
 
     def _same(self, text: str, a, b) -> bool:
         whole = (" " + text).encode()
         return b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
 
+    def _learn(self, cut: list[list[str] | None]) -> None:
+        """Encode the chunks not met before; those that B does not spell stay unknown (a byte-level side spells anything)."""
+        chunks = set(chain.from_iterable(filter(None, cut)))
+        new = list(chunks.difference(self.memo.at))
+        if len(self.memo.at) + len(new) > MEMO_CHUNKS or len(self.memo.flat[0]) > MEMO_IDS:
+            self.memo, new = _Memo(), list(chunks)
+        if new:
+            a, b = self._both(new)
+            piece = self.b_bytes.__getitem__
+            good = [k for k, (c, ids) in enumerate(zip(new, b)) if b"".join(map(piece, ids)) == b" " + c.encode()]
+            if len(good) < len(new):
+                new, a, b = ([side[k] for k in good] for side in (new, a, b))
+            self.memo.extend(new, (a, b))
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(ids of A, ids of B) of each text; None where a side does not spell space + text."""
         cut = [t.split(" ") if self.by_chunk and not _UNSAFE(t) else None for t in texts]
-        memo = self.memo
-        new = [c for c in dict.fromkeys(c for chunks in cut if chunks for c in chunks) if c not in memo.at]
-        if len(memo.at) + len(new) > MEMO_CHUNKS or len(memo.flat[0]) > MEMO_IDS:
-            self.memo = memo = _Memo()
-            new = list(dict.fromkeys(c for chunks in cut if chunks for c in chunks))
-        if new:
-            a, b = self._both(new)
-            good = [k for k, c in enumerate(new) if self._same(c, a[k], b[k])]
-            memo.extend([new[k] for k in good], ([a[k] for k in good], [b[k] for k in good]))
-        out = []
+        self._learn(cut)
+        memo, out = self.memo, []
         for text, chunks in zip(texts, cut):
-            rows = [memo.at.get(c, -1) for c in chunks] if chunks else [-1]
-            if min(rows) >= 0:
-                rows = np.array(rows)
-                out.append((memo.ids(0, rows), memo.ids(1, rows)))
+            rows = list(map(memo.at.get, chunks)) if chunks else [None]
+            if None not in rows:
+                places = np.array(rows)
+                out.append((memo.ids(0, places), memo.ids(1, places)))
                 continue
             (a,), (b,) = self._both([text])
             out.append((np.array(a, np.int32), np.array(b, np.int32)) if self._same(text, a, b) else None)

@@ -53,7 +53,8 @@ ACCEPT = 0.3
 _WORDS = regex.compile(r"[^\W\d_]+").findall
 _SHOUT = regex.compile(r"\b\p{Lu}{3,}\b(?:\W+\b\p{Lu}{3,}\b){2}").search
 _EXCLAIM = regex.compile(r"[!?]*![!?]+|\?!").search
-_MASK = regex.compile(r"\b\p{L}+[*#@]{2,}\p{L}*\b").search
+_MASK = regex.compile(r"\p{L}[*#@]{2,}\p{L}").search
+_MASKS = frozenset("*#@")
 _YOU = frozenset("you your youre u du dich dir ihr dein tu toi vous ton tú usted vosotros eres".split())
 _OF_WORD = {w: 1 << i for i, words in enumerate(LEXICONS.values()) for w in words.split()}
 COUNTS = (*LEXICONS, "lexicon", "stem", "weak_stem", "evidence", "addressed", "shouting", "exclaiming", "masked", "words")
@@ -64,67 +65,92 @@ def units(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:n] for n in range(4, min(7, len(word)) + 1)]]
 
 
-class Reader:
-    """Counts and votes of a text. What is known of a word is remembered up to a bound."""
-
-    MEMO = 200_000
+def bucket(word: str) -> tuple[int, float]:
+    code = zlib.crc32(word.encode())
+    return code % BUCKETS, 1.0 if code >> 31 else -1.0
 
-    def __init__(self, stems: dict[str, float]):
-        self.stems, self.memo = stems, {}
 
-    def _word(self, word: str) -> tuple[int, float, int, float]:
-        """Lexicons as bits, weight of its best unit, bucket and sign."""
-        known = self.memo.get(word)
-        if known is None:
-            weight = max((self.stems.get(u, 0.0) for u in units(word)), default=0.0)
-            code = zlib.crc32(word.encode())
-            known = (_OF_WORD.get(word, 0), weight, code % BUCKETS, 1.0 if code >> 31 else -1.0)
-            if len(self.memo) >= self.MEMO:
-                self.memo.clear()
-            self.memo[word] = known
-        return known
+class Reader:
+    """Counts and votes of a text. Words that say nothing are remembered up to a bound, so that most of a text is passed over at once."""
+
+    MEMO = 400_000
+
+    def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
+        self.stems, self.weights = stems, weights
+        self.silent, self.weight_of = set(), {}
+
+    def _telling(self, seen: Counter) -> list[tuple[str, int, float]]:
+        """(word, lexicons as bits, weight of its best unit) of the words that are in a lexicon or have a stem."""
+        found = []
+        if len(self.silent) >= self.MEMO:
+            self.silent.clear()
+        for word in set(seen).difference(self.silent):
+            bits, weight = _OF_WORD.get(word, 0), max(self.stems.get(u, 0.0) for u in units(word))
+            if bits or weight >= WEAK:
+                found.append((word, bits, weight))
+            else:
+                self.silent.add(word)
+        return sorted(found)
 
     def read(self, text: str | None) -> tuple[dict[str, float], list[int], Counter]:
         """(counts by name, votes of all voters but the annotator, words) of a whole text; null reads as empty."""
-        words = _WORDS((text or "").lower())
+        text = text or ""
+        words = _WORDS(text.lower())
         seen = Counter(words)
         n = dict.fromkeys(COUNTS, 0.0)
         n["words"] = float(len(words))
         lexicon_words, evidence = set(), 0.0
-        for word, count in seen.items():
-            bits, weight, _, _ = self._word(word)
+        for word, bits, weight in self._telling(seen):
             if bits:
                 lexicon_words.add(word)
-                n["lexicon"] += count
+                n["lexicon"] += seen[word]
                 for i, name in enumerate(LEXICONS):
                     if bits >> i & 1:
-                        n[name] += count
+                        n[name] += seen[word]
             if weight >= WEAK:
                 n["stem" if weight >= STRONG else "weak_stem"] += 1
                 evidence += weight
         n["evidence"] = min(evidence, 40.0)
         if lexicon_words:
             n["addressed"] = float(sum(w in lexicon_words and not _YOU.isdisjoint(words[max(0, i - 4) : i]) for i, w in enumerate(words)))
-        for name, find in (("shouting", _SHOUT), ("exclaiming", _EXCLAIM), ("masked", _MASK)):
-            n[name] = float(find(text or "") is not None)
+        n["shouting"] = float(_SHOUT(text) is not None)
+        n["exclaiming"] = float("!" in text and _EXCLAIM(text) is not None)
+        n["masked"] = float(not _MASKS.isdisjoint(text) and _MASK(text) is not None)
         toxic = [n[name] > 0 for name in LEXICONS]
         toxic += [len(lexicon_words) >= 2, n["lexicon"] * 100 >= max(1.0, n["words"]), n["addressed"] > 0, n["shouting"] > 0, n["exclaiming"] > 0, n["masked"] > 0]
         toxic += [n["stem"] >= 1, n["stem"] >= 2, n["evidence"] >= 8]
         clean = [not lexicon_words, n["evidence"] == 0, not (n["shouting"] or n["exclaiming"] or n["masked"])]
         return n, [TOXIC if x else ABSTAIN for x in toxic] + [CLEAN if x else ABSTAIN for x in clean], seen
 
+    @staticmethod
+    def _dense(n: dict[str, float]) -> np.ndarray:
+        """Log counts. How long a text is does not make it toxic, so the word count is left out."""
+        return np.array([n[c] / 8 if c == "evidence" else math.log1p(n[c]) for c in COUNTS[:-1]])
+
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log counts, buckets, values) of a text; the hashed words have length 1."""
+        """(log counts, buckets, values) of a text: the log counts of its words, of length 1, signed and added up per bucket."""
         n, _, seen = self.read(text)
-        # how long a text is does not make it toxic, so the word count is left out
-        dense = np.array([n[c] / 8 if c == "evidence" else math.log1p(n[c]) for c in COUNTS[:-1]])
         if not seen:
-            return dense, np.zeros(0, np.int64), np.zeros(0)
-        known = [self._word(w) for w in seen]
-        value = np.bincount([k[2] for k in known], weights=[k[3] * math.log1p(c) for k, c in zip(known, seen.values())], minlength=BUCKETS)
+            return self._dense(n), np.zeros(0, np.int64), np.zeros(0)
+        counts = np.log1p(np.fromiter(seen.values(), float, len(seen)))
+        places = [bucket(w) for w in seen]
+        value = np.bincount([b for b, _ in places], weights=counts / np.linalg.norm(counts) * [s for _, s in places], minlength=BUCKETS)
         at = np.flatnonzero(value)
-        length = np.sqrt(np.square(value[at]).sum())
-        return dense, at, value[at] / length if length else value[at]
+        return self._dense(n), at, value[at]
+
+    def odds(self, text: str | None, dense: np.ndarray) -> float:
+        """The product of the features with `dense` and the hashed weights."""
+        n, _, seen = self.read(text)
+        total = float(self._dense(n) @ dense)
+        if seen:
+            if len(self.weight_of) >= self.MEMO:
+                self.weight_of.clear()
+            for word in set(seen).difference(self.weight_of):
+                b, sign = bucket(word)
+                self.weight_of[word] = sign * self.weights[b]
+            counts = np.log1p(np.fromiter(seen.values(), float, len(seen)))
+            total += float(counts @ np.fromiter(map(self.weight_of.__getitem__, seen), float, len(seen)) / np.linalg.norm(counts))
+        return total
 
 
 DENSE = len(COUNTS) - 1
@@ -319,10 +345,12 @@ class Toxicity(NamedTuple):
     intercept: float
 
     def score(self, reader: Reader, text: str | None) -> float:
-        dense, at, value = reader.features(text)
-        odds = float(dense @ self.dense + value @ self.hashed[at]) + self.intercept
+        odds = reader.odds(text, self.dense) + self.intercept
         return 1 / (1 + math.exp(-min(700.0, max(-700.0, odds))))
 
+    def reader(self) -> Reader:
+        return Reader(self.stems, self.hashed)
+
 
 def fit_classifier(rows: DataFrame, stems: dict[str, float]) -> Toxicity:
     """Logistic regression on (text, posterior, weight): each row counts for both classes, by its posterior."""
@@ -411,7 +439,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most STEMS stems and BUCKETS weights
 
     def work(batches):
-        reader = Reader(shared.value.stems)
+        reader = shared.value.reader()
         for batch in batches:
             yield {"id": batch.column(0), "score": [shared.value.score(reader, t) for t in batch.column(1).to_pylist()]}
 

@@ -108,7 +108,17 @@ def test_toxicity_odd_rows(spark, docs, empty):  # noqa: F811
     assert len({s for i, s in found if i in (4, 5, 6)}) == 1  # null, empty and blank texts are alike
     assert toxicity.score_toxicity(empty, model).count() == 0
     learned, _ = toxicity.learn_toxicity(empty, labels.limit(0), F.lit(True))
-    assert 0 <= learned.score(toxicity.Reader({}), "you idiot") <= 1
+    assert 0 <= learned.score(learned.reader(), "you idiot") <= 1
+
+
+def test_score_is_the_product_of_the_features():
+    rng = np.random.default_rng(0)
+    model = toxicity.Toxicity({"^grum": 5.0, "=lowei": 3.0}, rng.normal(size=toxicity.DENSE), rng.normal(size=toxicity.BUCKETS), 0.3)
+    reader = model.reader()
+    for text in (None, "", "you stupid grumbel grumbel", "LOOK HERE NOW f**k!! lowei", "plain words only, twice plain"):
+        dense, at, value = reader.features(text)
+        odds = dense @ model.dense + value @ model.hashed[at] + 0.3
+        assert model.score(reader, text) == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-12)
 
 
 def test_annotators_outvoted(spark):
