@@ -8,10 +8,11 @@ from typing import Any, Callable, Protocol
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulane.operators import trees as T
 from tabulane.operators.products import pair_sums
 from tabulane.operators.profile import regression_metrics, residual_stats
 from tabulane.operators.projection import complete_cases, present, require_columns, split_flag
@@ -237,21 +238,17 @@ class MLModel:
 
 
 # Parameter names of the model catalogue and what MLlib calls them.
-TREE = {
+BOOST = {
     "max_depth": "maxDepth",
     "min_samples_leaf": "minInstancesPerNode",
     "min_impurity_decrease": "minInfoGain",
     "max_bins": "maxBins",
     "random_state": "seed",
+    "n_estimators": "maxIter",
+    "max_iter": "maxIter",
+    "learning_rate": "stepSize",
+    "subsample": "subsamplingRate",
 }
-FOREST = {
-    **TREE,
-    "n_estimators": "numTrees",
-    "max_samples": "subsamplingRate",
-    "bootstrap": "bootstrap",
-    "max_features": "featureSubsetStrategy",
-}
-BOOST = {**TREE, "n_estimators": "maxIter", "max_iter": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate"}
 
 
 def _mllib(estimator, names: dict[str, str], **defaults) -> Callable[[DataFrame, str, list[str], dict], MLModel]:
@@ -291,6 +288,114 @@ def _huber(df: DataFrame, target: str, features: list[str], params: dict) -> MLM
     return MLModel(list(features), estimator.fit(_vectors(df, target, features)))
 
 
+# own trees ----------------------------------------------------------------------------------
+
+
+@dataclass
+class TreeModel:
+    features: list[str]
+    model: T.Ensemble
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        # a missing value is scored where the fit met missing values of that feature
+        needed = [f for f in self.features if f not in self.model.learned_missing]
+        value = self.model.value(df)
+        return _mask(df, needed, value) if needed else df.withColumn(PREDICTION, value)
+
+    def coefficients(self) -> dict[str, float]:
+        return self.model.coefficients()
+
+    def details(self) -> dict[str, float]:
+        return self.model.details()
+
+
+def _rows_of(share: float | int | None, default: int, count: Callable[[], int]) -> float:
+    """A number of rows, given as one or as a share (a float below 1) of all of them."""
+    if share is None:
+        return default
+    return share if isinstance(share, int) or share >= 1 else int(np.ceil(share * count()))
+
+
+def _feature_count(given: str | int | float | None, p: int) -> int | None:
+    if given in (None, "all", "auto"):
+        return None
+    if isinstance(given, str):
+        if given not in ("sqrt", "log2", "onethird"):
+            raise ValueError(f"max_features has to be sqrt, log2, onethird, all or a number, not {given!r}")
+        return max(1, int({"sqrt": np.sqrt(p), "log2": np.log2(p), "onethird": np.ceil(p / 3)}[given]))
+    most = int(given) if isinstance(given, int) else int(given * p)
+    if not 0 < most <= p:
+        raise ValueError(f"max_features has to pick between 1 and {p} features")
+    return most
+
+
+TREE_LIMITS = {"max_depth", "min_samples_split", "min_samples_leaf", "max_leaf_nodes", "min_impurity_decrease", "max_features", "max_bins"}
+
+
+def _limits(df: DataFrame, features: list[str], params: dict, **defaults) -> T.Limits:
+    given = {**defaults, **{k: v for k, v in params.items() if v is not None}}
+    leaves = given.get("max_leaf_nodes")
+    if leaves is not None and leaves < 2:
+        raise ValueError("max_leaf_nodes has to be at least 2")
+    return T.Limits(
+        max_depth=given.get("max_depth"),
+        min_samples_split=_rows_of(given.get("min_samples_split"), 2, df.count),
+        min_samples_leaf=_rows_of(given.get("min_samples_leaf"), 1, df.count),
+        max_leaf_nodes=leaves,
+        min_impurity_decrease=float(given.get("min_impurity_decrease", 0.0)),
+        l2=float(given.get("l2_regularization", 0.0)),
+        max_features=_feature_count(given.get("max_features"), len(features)),
+    )
+
+
+def _tree(df: DataFrame, target: str, features: list[str], params: dict) -> TreeModel:
+    """One regression tree, grown best-first; depth at most 5 unless given."""
+    _known_only(params, TREE_LIMITS)
+    limits = _limits(df, features, params, max_depth=5)
+    seed = int(params.get("random_state") or 42)
+    return TreeModel(list(features), T.fit_trees(df, target, features, limits, seed=seed, max_bins=int(params.get("max_bins") or T.MAX_BINS)))
+
+
+def _forest(df: DataFrame, target: str, features: list[str], params: dict) -> TreeModel:
+    """Trees over resampled rows, averaged; all of them share the passes over the rows."""
+    _known_only(params, TREE_LIMITS | {"n_estimators", "bootstrap", "max_samples"})
+    limits = _limits(df, features, params, max_depth=5)
+    return TreeModel(
+        list(features),
+        T.fit_trees(
+            df, target, features, limits,
+            trees=int(params.get("n_estimators") or 100), bootstrap=params.get("bootstrap") is not False, share=float(params.get("max_samples") or 1.0),
+            seed=int(params.get("random_state") or 42), max_bins=int(params.get("max_bins") or T.MAX_BINS),
+        ),
+    )
+
+
+def _hist_boosting(df: DataFrame, target: str, features: list[str], params: dict) -> TreeModel:
+    """Boosting over histograms; rows with missing features are learned from and scored.
+
+    `early_stopping` "auto" holds rows out above 10,000 rows.
+    """
+    known = {"learning_rate", "max_iter", "n_estimators", "l2_regularization", "early_stopping", "validation_fraction", "n_iter_no_change", "tol", "subsample"}
+    _known_only(params, TREE_LIMITS | known)
+    early = params.get("early_stopping", "auto")
+    if early in (None, "auto"):
+        early = df.count() > 10_000
+    stopping = T.Stopping(
+        int(params.get("n_iter_no_change") or 10) if early else None, float(params.get("validation_fraction") or 0.1), float(params.get("tol", 1e-7))
+    )
+    limits = _limits(df, features, params, max_leaf_nodes=31, min_samples_leaf=20)
+    rounds, rate = int(params.get("max_iter") or params.get("n_estimators") or 100), float(params.get("learning_rate") or 0.1)
+    return TreeModel(
+        list(features),
+        T.fit_boosting(
+            df, target, features, limits, rounds, rate, float(params.get("subsample") or 1.0), stopping,
+            int(params.get("random_state") or 42), int(params.get("max_bins") or T.MAX_BINS),
+        ),
+    )
+
+
+MISSING_FEATURES = {"hist_gradient_boosting_regressor"}  # models that learn from rows with missing features
+
 MODELS: dict[str, Callable[[DataFrame, str, list[str], dict], Regressor]] = {
     "linear_regression": _linear("ols"),
     "ridge": _linear("ridge"),
@@ -299,10 +404,10 @@ MODELS: dict[str, Callable[[DataFrame, str, list[str], dict], Regressor]] = {
     "lasso_lars": _linear("lasso"),  # another path to the same minimum
     "bayesian_ridge": _bayesian_ridge,
     "orthogonal_matching_pursuit": _matching_pursuit,
-    "decision_tree_regressor": _mllib(DecisionTreeRegressor, TREE, maxDepth=5, seed=42),
-    "random_forest_regressor": _mllib(RandomForestRegressor, FOREST, numTrees=100, maxDepth=5, featureSubsetStrategy="all", seed=42),
+    "decision_tree_regressor": _tree,
+    "random_forest_regressor": _forest,
     "gradient_boosting_regressor": _mllib(GBTRegressor, BOOST, maxIter=100, maxDepth=3, stepSize=0.1, seed=42),
-    "hist_gradient_boosting_regressor": _mllib(GBTRegressor, BOOST, maxIter=100, maxDepth=5, maxBins=255, stepSize=0.1, seed=42),
+    "hist_gradient_boosting_regressor": _hist_boosting,
     "huber_regressor": _huber,
 }
 
@@ -354,7 +459,10 @@ def fit(
     params: dict | None = None,
     split_spec: dict | None = None,
 ) -> Fit:
-    """Complete rows, split by key, fit, scores on both parts, diagnostics on the test part."""
+    """Complete rows, split by key, fit, scores on both parts, diagnostics on the test part.
+
+    Models of MISSING_FEATURES keep rows that miss features, as long as the target is there.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model type: {model}")
     if not target:
@@ -363,7 +471,7 @@ def fit(
     require_columns(df, features)
     spec = {"type": "random", "test_size": 0.2, "random_state": 42, **(split_spec or {})}
     cols = list(dict.fromkeys([target, *features]))
-    whole = complete_cases(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *cols])]), cols)
+    whole = complete_cases(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *cols])]), [target] if model in MISSING_FEATURES else cols)
     flag = split_flag(F.col(key), spec["test_size"], spec["random_state"]) if spec["type"] == "random" else F.lit(None).cast("boolean")
     # fits and scores pass over the rows several times: keep just the numbers they need, spilling to disk
     rows = whole.select(*[F.col(f"`{c}`") for c in cols], flag.alias("_is_test")).persist(StorageLevel.MEMORY_AND_DISK)

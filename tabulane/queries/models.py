@@ -152,7 +152,7 @@ SELECT key, CASE WHEN l_quantity > 5 THEN round(a + b * l_quantity, 4) END AS _p
 
 
 def _ml(model, **params):
-    """Scores of an MLlib fit on the line items (rows only: split search is binned)."""
+    """Scores of a fit on the line items."""
 
     def run(spark, d):
         fitted = M.fit(_lines(spark, d), "key", model, "l_extendedprice", ["l_quantity", "l_tax", "l_discount"], params)
@@ -209,6 +209,91 @@ b AS (SELECT * FROM s WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC LIM
 SELECT l_tax, count(*) AS n, round(CASE WHEN l_tax <= max(cut) THEN max(sl / nl) ELSE max(sr / nr) END, 5) AS prediction FROM t, b GROUP BY l_tax"""
 
 
+def _coded(spark, d):
+    """Line items with a target of several features and, in two of them, missing values."""
+    y = F.col("l_extendedprice") / 1000 * (1 + F.col("l_tax") * 4) + F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).otherwise(F.col("l_tax") * 100)
+    discount = F.when(F.col("l_quantity") != 7, F.col("l_discount"))
+    tax = F.when(F.col("l_quantity") < 44, F.col("l_tax"))
+    return _lines(spark, d).select("key", "l_quantity", discount.alias("discount"), tax.alias("tax"), y.alias("y"))
+
+
+CODED = f"""SELECT key, l_quantity, CASE WHEN l_quantity <> 7 THEN l_discount END AS discount, CASE WHEN l_quantity < 44 THEN l_tax END AS tax,
+  l_extendedprice / 1000 * (1 + l_tax * 4) + CASE WHEN l_discount > 0.05 THEN l_quantity ELSE l_tax * 100 END AS y FROM ({LINES})"""
+
+
+def _grown(rows: str, features: list[str], depth: int, least: int, rounds: int = 1, rate: float = 1.0, missing: bool = False, train: str = "TRUE") -> str:
+    """CTEs that grow trees of `depth` levels one split at a time from the counts and sums of every value; the last one, `r{rounds}`, holds p, the prediction of each row.
+
+    A split puts values up to `cut` to the left; where values are missing both sides are tried for them. Rows that fail `train` are only predicted.
+    """
+    ctes = [f"r0 AS (SELECT *, {f'(SELECT avg(y) FROM rows_ WHERE {train})' if rounds > 1 or rate < 1 else 'CAST(0 AS DOUBLE)'} AS p FROM rows_)", ]
+    for k in range(1, rounds + 1):
+        ctes.append(f"n{k}_0 AS (SELECT *, 1 AS node, y - p AS rest FROM r{k - 1})")
+        for level in range(depth):
+            at = f"{k}_{level}"
+            cells = " UNION ALL ".join(f"SELECT node, {i} AS f, CAST({c} AS DOUBLE) AS v, count(*) AS n, sum(rest) AS g FROM n{at} WHERE {train} GROUP BY node, {c}" for i, c in enumerate(features))
+            ctes.append(f"c{at} AS ({cells})")
+            sides = "(VALUES (FALSE), (TRUE)) m(left_)" if missing else "(VALUES (FALSE)) m(left_)"
+            ctes.append(f"""s{at} AS (
+  SELECT node, f, v AS cut, left_, sum(n) OVER w + CASE WHEN left_ THEN coalesce(mn, 0) ELSE 0 END AS ln, sum(g) OVER w + CASE WHEN left_ THEN coalesce(mg, 0) ELSE 0 END AS lg, tn, tg
+  FROM c{at} JOIN (SELECT node, f, sum(n) AS tn, sum(g) AS tg, sum(n) FILTER (v IS NULL) AS mn, sum(g) FILTER (v IS NULL) AS mg FROM c{at} GROUP BY node, f) USING (node, f), {sides}
+  WHERE v IS NOT NULL AND (NOT left_ OR mn > 0)
+  WINDOW w AS (PARTITION BY node, f, left_ ORDER BY v))""")
+            ctes.append(f"""b{at} AS (
+  SELECT node, f, cut, left_ FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, left_, cut) AS place FROM (
+      SELECT *, lg * lg / ln + (tg - lg) * (tg - lg) / (tn - ln) - tg * tg / tn AS gain FROM s{at} WHERE ln >= {least} AND tn - ln >= {least})
+    WHERE gain > 1e-9) WHERE place = 1)""")
+            value = "CASE f " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(features)) + " END"
+            ctes.append(f"""n{k}_{level + 1} AS (
+  SELECT n{at}.* EXCLUDE (node), CASE WHEN f IS NULL THEN n{at}.node WHEN coalesce({value} <= cut, left_) THEN 2 * n{at}.node ELSE 2 * n{at}.node + 1 END AS node
+  FROM n{at} LEFT JOIN b{at} ON b{at}.node = n{at}.node)""")
+        ctes.append(f"r{k} AS (SELECT t.* EXCLUDE (node, rest, p), p + {rate} * avg(rest) FILTER ({train}) OVER (PARTITION BY node) AS p, node AS leaf FROM n{k}_{depth} t)".replace("EXCLUDE (node, rest, p)", "EXCLUDE (node, rest, p, leaf)" if k > 1 else "EXCLUDE (node, rest, p)"))
+    return f"WITH rows_ AS ({rows}), " + ", ".join(ctes)
+
+
+def tree_levels(spark, d):
+    """Three levels of splits on three features of few values: every leaf's rows, and the tree's shape."""
+    rows = _coded(spark, d).filter("discount IS NOT NULL AND tax IS NOT NULL")
+    fitted = M.fit(rows, "key", "decision_tree_regressor", "y", ["l_quantity", "discount", "tax"], {"max_depth": 3, "min_samples_leaf": 5}, ALL)
+    scored = M.predict(fitted, rows)
+    leaves = scored.groupBy(F.round(M.PREDICTION, 5).alias("prediction")).agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return leaves.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double"), "n_leaves": F.lit(fitted.diagnostics["n_leaves"])})
+
+
+TREE_LEVELS = _grown(f"SELECT * FROM ({CODED}) WHERE discount IS NOT NULL AND tax IS NOT NULL", ["l_quantity", "discount", "tax"], 3, 5) + """
+SELECT round(p, 5) AS prediction, count(*) AS n, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high,
+  CAST((SELECT count(DISTINCT leaf) FROM r1) AS DOUBLE) AS n_leaves FROM r1 GROUP BY 1"""
+
+_FEATURES = ["l_quantity", "l_tax", "l_discount"]
+TREE = _grown(f"SELECT *, l_extendedprice AS y, NOT {u_sql(42, 'split', 0, 'key')} < 0.2 AS train FROM ({LINES})", _FEATURES, 4, 1, train="train") + """,
+e AS (SELECT y, y - p AS e FROM r1 WHERE train), v AS (SELECT y, y - p AS e FROM r1 WHERE NOT train)
+SELECT metric, round(value, 4) AS value FROM (
+SELECT 'r2' AS metric, 1 - avg(e * e) / var_pop(y) AS value FROM e
+UNION ALL SELECT 'mae', avg(abs(e)) FROM e UNION ALL SELECT 'rmse', sqrt(avg(e * e)) FROM e UNION ALL SELECT 'mse', avg(e * e) FROM e
+UNION ALL SELECT 'explained_variance', 1 - var_pop(e) / var_pop(y) FROM e UNION ALL SELECT 'median_ae', median(abs(e)) FROM e
+UNION ALL SELECT 'max_error', max(abs(e)) FROM e UNION ALL SELECT 'mape', avg(abs(e) / abs(y)) FROM e
+UNION ALL SELECT 'test_r2', 1 - avg(e * e) / var_pop(y) FROM v UNION ALL SELECT 'test_mae', avg(abs(e)) FROM v UNION ALL SELECT 'test_rmse', sqrt(avg(e * e)) FROM v
+UNION ALL SELECT 'residuals_mean', avg(e) FROM v UNION ALL SELECT 'residuals_std', stddev_pop(e) FROM v
+UNION ALL SELECT 'residuals_min', min(e) FROM v UNION ALL SELECT 'residuals_max', max(e) FROM v
+UNION ALL SELECT 'n_leaves', count(DISTINCT leaf) FROM r1 WHERE train UNION ALL SELECT 'tree_depth', max(floor(log2(leaf))) FROM r1 WHERE train)"""
+
+BOOSTED = {"max_depth": 2, "min_samples_leaf": 20, "max_iter": 4, "learning_rate": 0.3, "early_stopping": False}
+
+
+def gbt_rounds(spark, d):
+    """Four rounds of two levels, on rows of which many miss a feature: mean prediction by the features' presence and quantity."""
+    rows = _coded(spark, d)
+    fitted = M.fit(rows, "key", "hist_gradient_boosting_regressor", "y", ["l_quantity", "discount", "tax"], BOOSTED, ALL)
+    scored = M.predict(fitted, rows).groupBy("l_quantity", F.col("discount").isNull().alias("no_discount"), F.col("tax").isNull().alias("no_tax"))
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), F.avg(M.PREDICTION).alias("prediction"), F.max(M.PREDICTION).alias("largest")), 5)
+
+
+GBT_ROUNDS = _grown(CODED, ["l_quantity", "discount", "tax"], 2, 20, 4, 0.3, True) + """
+SELECT l_quantity, discount IS NULL AS no_discount, tax IS NULL AS no_tax, count(*) AS n, round(avg(p), 5) AS prediction, round(max(p), 5) AS largest
+FROM r4 GROUP BY 1, 2, 3"""
+
+
 def fits_page(spark, d):
     """A listing of many fits (price on quantity for every supplier), newest first, one page."""
     fits = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
@@ -273,12 +358,14 @@ CHECKS = {
         f"SELECT c_custkey, round(y, 6) AS y, p, round(y - p, 6) AS _residual, round(abs(y - p), 6) AS _abs_error FROM ({SCORED}) WHERE p > 1000",
     ),
     "predict_ols": (predict_ols, PREDICT_OLS),
-    "tree": (_ml("decision_tree_regressor", max_depth=4), None),
+    "tree": (_ml("decision_tree_regressor", max_depth=4), TREE),
     "forest": (_ml("random_forest_regressor", n_estimators=10, max_depth=4), None),
     "gbt": (_ml("gradient_boosting_regressor", n_estimators=5, max_depth=3), None),
     "huber": (_ml("huber_regressor", max_iter=50), None),
     "huber_wide": (huber_wide, HUBER_WIDE),
     "tree_shape": (tree_shape, TREE_SHAPE),
+    "tree_levels": (tree_levels, TREE_LEVELS),
+    "gbt_rounds": (gbt_rounds, GBT_ROUNDS),
     "tree_stump": (_stump("decision_tree_regressor"), STUMP),
     "forest_single": (_stump("random_forest_regressor", n_estimators=1, bootstrap=False), STUMP),
     "gbt_single": (_stump("gradient_boosting_regressor", n_estimators=1), STUMP),
