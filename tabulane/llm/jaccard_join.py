@@ -1,6 +1,6 @@
 """N-gram Jaccard join: rare-first prefixes with length, positional and suffix filters, each pair verified once.
 
-The shingles of a document are 64-bit hashes. They travel packed in blobs, first by shingle, to learn in how many
+The shingles of a document are 64-bit hashes made of the hashes of their words, its class is a cryptographic hash of all words. They travel packed in blobs, first by shingle, to learn in how many
 different texts each occurs, then back by text. Only shingles of two or more texts come back, so a text whose rare ones
 already fill its prefix is out at once, and an intersection can be counted from what came back alone.
 Texts with the same words are one class; classes, not documents, are joined.
@@ -8,12 +8,15 @@ Texts with the same words are one class; classes, not documents, are joined.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulane.llm.common import RangeHash, as_bytes, over_batches, partitions
+from tabulane.llm.common import as_bytes, mix64, over_batches, partitions
 from tabulane.llm.components import connected_components
 from tabulane.operators.skew import dimension_join
 from tabulane.session import cut_lineage
@@ -25,6 +28,7 @@ SAMPLE = 4000  # texts in which very frequent shingles are looked for; they only
 HOT = 0.01  # share of the sample from which a shingle counts as very frequent
 HOT_RANK = 1 << 30  # very frequent shingles come after all others
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _RUN = np.dtype([("cls", "u8"), ("size", "u4"), ("n", "u4")])
 _ITEM = np.dtype([("h", "u8"), ("df", "u4")])
 
@@ -34,14 +38,15 @@ def shingle_set(text: bytes, words: int = WORDS) -> tuple[int, np.ndarray]:
     found = text.lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
     if not found:
         return 0, np.zeros(0, dtype=np.uint64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    hashed = RangeHash(np.frombuffer(b" ".join(found), dtype=np.uint8))
-    whole = int(hashed(starts[:1], ends[-1:])[0])
+    whole = int.from_bytes(hashlib.blake2b(b" ".join(found), digest_size=8).digest(), "little")
     if len(found) < words:
         return whole, np.array([whole], dtype=np.uint64)
-    return whole, np.unique(hashed(starts[: len(found) - words + 1], ends[words - 1 :]))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    n = len(found) - words + 1
+    shingles = np.zeros(n, dtype=np.uint64)
+    for i in range(words):  # the order of words counts: each step spreads what the earlier words gave
+        shingles = mix64(shingles * _STEP + hashed[i : i + n])
+    return whole, np.unique(shingles)
 
 
 def _signed(x: int) -> int:

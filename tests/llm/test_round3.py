@@ -270,3 +270,18 @@ def test_splitters_cut_equal_paths(spark):
     found = rows(prefix_trie.prefix_trie(same, 8))
     ends = hashlib.sha256(",".join(map(str, range(4000))).encode()).hexdigest()
     assert [r for r in found if r[1] == 1][0][3:] == (4000, 0, 1, 3999 * 5, ends)
+
+
+# 7 near duplicates
+
+
+def test_texts_that_only_a_polynomial_confuses_stay_apart(spark):
+    from tabulane.llm import jaccard_join
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    made = [word[:1024], other[:1024], word, other, f"own words here now {word} end", f"own words here now {other} end", "x " + word, "x " + other]
+    found = rows(jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
+    assert all(component == i for i, _, component in found)
