@@ -15,6 +15,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 import zstandard
@@ -206,16 +207,15 @@ def _words(coder: PairCoder) -> dict[str, np.ndarray]:
 
 
 def _vectors(batch: pa.RecordBatch):
-    """Row ranges of a batch that go into one state vector each."""
-    texts = batch.column(1).to_pylist()
+    """Row ranges of a batch that go into one state vector each, with their texts; null reads as empty."""
+    texts = batch.column(1)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > BATCH_BYTES:
-            yield start, i, [t or "" for t in texts[start:i]]
+    for i, n in enumerate([*sizes, BATCH_BYTES + 1]):
+        if i > start and size + n > BATCH_BYTES:
+            yield start, i, [t or "" for t in texts.slice(start, i - start).to_pylist()]
             start, size = i, 0
-        size += len(text or "")
-    if texts:
-        yield start, len(texts), [t or "" for t in texts[start:]]
+        size += n
 
 
 def _models(docs: DataFrame, a_path: str, b_path: str):
