@@ -77,6 +77,7 @@ class Reader:
 
     def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
         self.stems, self.weights = stems, weights
+        self.heads = {u[1:5] for u in stems}  # a word with a stem starts like one of these
         self.silent, self.weight_of = set(), {}
 
     def _telling(self, seen: Counter) -> list[tuple[str, int, float]]:
@@ -84,7 +85,11 @@ class Reader:
         found = []
         if len(self.silent) >= self.MEMO:
             self.silent.clear()
+        heads = self.heads
         for word in set(seen).difference(self.silent):
+            if word[:4] not in heads and word not in _OF_WORD:
+                self.silent.add(word)
+                continue
             bits, weight = _OF_WORD.get(word, 0), max(self.stems.get(u, 0.0) for u in units(word))
             if bits or weight >= WEAK:
                 found.append((word, bits, weight))
