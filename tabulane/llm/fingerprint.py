@@ -16,6 +16,8 @@ from tabulane.operators.ranking import with_rank
 from tabulane.session import cut_lineage
 
 PARAGRAPH = "\\n|(?<=[.!?]) |(?<=[。！？।॥۔؟։።]) ?"  # lines, and sentences within them
+# A text up to the last of its cuts that holds whatever follows the text.
+_CLOSED = r"(?s)^.*(?:\n|(?<=[.!?]) |(?<=[。！？।॥۔؟։።])(?: |(?=[^ ])))"
 _UNSPACED = r"\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\x{20000}-\x{3ffff}"  # scripts that set no spaces between words
 _WORD = rf"(?<!\S)[^\s{_UNSPACED}]{{1,24}}(?!\S)"
 _NOT_WORDS = rf"[{_UNSPACED}]|\S{{25}}"
@@ -46,8 +48,14 @@ def _numbers(words: list[Column]) -> list[Column]:
     return head + [F.shiftrightunsigned(w, i).bitwiseAND(_long(_LANES)) for w in (c, d) for i in range(20)]
 
 
-def _words(piece: Column) -> list[Column]:
-    return [F.xxhash64(piece, F.lit(i)) for i in range(4)]
+def _hashes(piece: Column) -> list[Column]:
+    """Two hashes that do not follow from each other: the second starts from another seed."""
+    return [F.xxhash64(piece), F.xxhash64(F.lit(1), piece)]
+
+
+def _words(a: Column, b: Column) -> list[Column]:
+    """The hash words of a piece: its two hashes, and two more of both."""
+    return [a, b, F.xxhash64(a, b), F.xxhash64(b, a)]
 
 
 def _pairs(words: Column) -> Column:
@@ -83,6 +91,11 @@ def pieces(text: Column, pattern: str = PARAGRAPH) -> Column:
     return F.concat(paragraphs, F.flatten(F.transform(F.transform(paragraphs, _runs), _damped)))
 
 
+def closed_head(text: Column) -> Column:
+    """The longest beginning of a text that ends with a cut, so that its pieces and those of any rest together are those of the whole; empty if there is no cut."""
+    return F.regexp_extract(text, _CLOSED, 0)
+
+
 def add(a: Column, b: Column) -> Column:
     """Vector of both multisets together."""
     return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(_long(_MASK)))
@@ -95,7 +108,8 @@ def remove(a: Column, b: Column) -> Column:
 
 def fingerprint(text: Column, pattern: str = PARAGRAPH) -> Column:
     """Vector of a text; null and empty texts have the zero vector."""
-    words = F.transform(pieces(text, pattern), lambda p: F.array(*_words(p)))
+    hashes = F.transform(pieces(text, pattern), lambda p: F.array(*_hashes(p)))
+    words = F.transform(hashes, lambda h: F.array(*_words(h[0], h[1])))
     return F.aggregate(words, zero(), lambda sum_, w: add(sum_, F.array(*_numbers([w[i] for i in range(4)]))))
 
 
@@ -108,9 +122,10 @@ def with_fingerprints(table: DataFrame, keys: list[str], texts: dict[str, Column
     stacked = table.select(*keys, F.posexplode(F.array(*texts.values())).alias("_which", "_text"))
     cut = stacked.select(*keys, "_which", F.posexplode_outer(pieces(F.col("_text"))).alias("_at", "_piece"))
     known = F.col("_piece").isNotNull()
-    hashed = cut.select(
-        *keys, "_which", F.shiftright(F.coalesce("_at", F.lit(0)), _PART).alias("_part"), *[F.when(known, w).alias(f"_{i}") for i, w in enumerate(_words(F.col("_piece")))]
-    )
+    part = F.shiftright(F.coalesce("_at", F.lit(0)), _PART).alias("_part")
+    read = cut.select(*keys, "_which", part, *[F.when(known, w).alias(f"_{i}") for i, w in enumerate(_hashes(F.col("_piece")))])
+    mixed = [F.when(F.col("_0").isNotNull(), w).alias(f"_{i}") for i, w in enumerate(_words(F.col("_0"), F.col("_1")))]
+    hashed = read.select(*keys, "_which", "_part", *mixed)
     numbers = _numbers([F.col(f"_{i}") for i in range(4)])
     sums = hashed.groupBy(*keys, "_which", "_part").agg(F.count("_0").alias("n0"), *[F.sum(x).alias(f"n{i}") for i, x in enumerate(numbers) if i])
     vector = F.array(*[F.coalesce(F.col(f"n{i}"), _long(0)).bitwiseAND(_long(_MASK)) for i in range(SIZE)])
@@ -164,7 +179,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns are not read.
 
     Places are found by a distributed sort of ids; whole texts are shuffled once, by id, and only the beginning that the
-    edit needs and the vector travel on to the document before.
+    edit needs and the vector travel on to the document before. A text and its edited text share their pieces up to the
+    last cut before the edit; these are added up once, and the two rests apart.
     """
     key = F.coalesce(F.concat(F.lit("+"), F.col(id_col).cast("string")), F.lit("-"))
     texts = docs.select(key.alias("key"), F.xxhash64(F.col(text_col)).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
@@ -185,15 +201,24 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed = placed.dropDuplicates(["key", "tag"])
     to = [F.col("to_key").alias("key"), F.col("to_tag").alias("tag")]
     sent = placed.select(*to, F.substring("text", F.lit(1), F.col("take")).alias("piece"))
-    vectors = cut_lineage(with_fingerprints(placed, ["key", "tag", "to_key", "to_tag"], {"own": F.col("text")}))
-    following = vectors.select(*to, F.col("own").alias("next"))
     n = F.char_length("text")
+    about_text = ["key", "tag", "to_key", "to_tag", "id", "copies"]
     kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int"))
-    edited = placed.join(sent, ["key", "tag"]).select("key", "tag", "id", "copies", n.cast("long").alias("n_chars"), F.concat(kept, "piece").alias("edited"))
-    edited = edited.withColumn("edited_sha256", F.sha2("edited", 256))
-    # the vectors of the whole texts are used twice and made once
-    marked = with_fingerprints(edited, ["key", "tag", "id", "copies", "n_chars", "edited_sha256"], {"other": F.col("edited")})
-    found = marked.join(vectors.select("key", "tag", "own"), ["key", "tag"]).join(following, ["key", "tag"]).select(
+    cut = placed.join(sent, ["key", "tag"]).select(*about_text, "text", "piece", n.cast("long").alias("n_chars"), kept.alias("kept"), closed_head(kept).alias("head"))
+    edited = cut.withColumn("edited_sha256", F.sha2(F.concat("kept", "piece"), 256))
+    # vectors add up: the head that a text and its edited text share is cut into pieces once
+    start = F.char_length("head") + 1
+    whole = F.lit(2**31 - 1)
+    texts_of = {
+        "shared": F.col("head"),
+        "own_rest": F.substring(F.col("text"), start, whole),
+        "new_rest": F.concat(F.substring(F.col("kept"), start, whole), "piece"),
+    }
+    keys = [*about_text, "n_chars", "edited_sha256"]
+    sums = with_fingerprints(edited, keys, texts_of)
+    vectors = cut_lineage(sums.select(*keys, add(F.col("shared"), F.col("own_rest")).alias("own"), add(F.col("shared"), F.col("new_rest")).alias("other")))
+    following = vectors.select(*to, F.col("own").alias("next"))
+    found = vectors.join(following, ["key", "tag"]).select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",

@@ -448,6 +448,34 @@ def test_fingerprint_sums_agree_and_stay_additive(spark):
         assert r["v"] == single[r["i"]] and r["w"] == ([(2 * x) % (1 << 60) for x in r["v"]] if texts[r["i"]] else r["v"])
 
 
+HEADS = ["a. b", "a.  b", "a.\nb\n", "a\n\nb", "你好。再见", "你好。 再见", "你好。  再见 ", "你好。\n再见", "。。。", "什么？！ ok. ", "no end", ". ! ?", "\n", " ", "", "end.", "end. ", "終。"]
+
+
+def test_fingerprint_head_and_rest_are_the_whole(spark):
+    texts = [t or "" for _, t in TEXTS if t != LONG] + [a for a, _ in ONE_PIECE] + HEADS
+    made = [(a, b) for a in texts for b in ("", " b c", "\nb", "b. c", "。 b", ". b", "  b")]
+    table = spark.createDataFrame(made, "a string, b string").repartition(8).withColumn("h", fingerprint.closed_head(F.col("a")))
+    parts = table.withColumn("rest", F.concat(F.substring(F.col("a"), F.char_length("h") + 1, F.lit(2**31 - 1)), "b"))
+    whole, head, rest = (fingerprint.fingerprint(x) for x in (F.concat("a", "b"), F.col("h"), F.col("rest")))
+    seen = 0
+    for r in parts.select("a", "b", "h", whole.alias("whole"), fingerprint.add(head, rest).alias("sum")).collect():
+        assert r["a"].startswith(r["h"]) and r["whole"] == r["sum"], (r["a"][:50], r["b"])
+        seen += r["h"] != ""
+    assert seen > 50
+
+
+def test_fingerprints_of_edits_are_those_of_the_texts(spark):
+    """Repeated rows and ids, nulls, empty texts, clashing columns: fingerprints come from the very texts."""
+    texts = [t for _, t in TEXTS if t != LONG] + [a for a, _ in ONE_PIECE] + HEADS
+    made = [(None if i == 3 else i // 2 * 2 if i % 5 else i, t, i) for i, t in enumerate(texts)] + [(4, texts[4], 0)] * 2
+    table = spark.createDataFrame(made, "doc_id long, text string, head int").withColumn("key", F.lit("x")).repartition(4)
+    got = fingerprint.compare_with_edits(table).collect()
+    assert len(got) == len(made)
+    own = spark.createDataFrame(made, "doc_id long, text string, head int").select("doc_id", fingerprint.as_text(fingerprint.fingerprint(F.col("text"))), F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    assert by_key((r["doc_id"], r["fingerprint"], r["n_chars"]) for r in got) == by_key(tuple(r) for r in own.collect())
+    assert {r["doc_id"] for r in got} == {i for i, _, _ in made}
+
+
 def test_fingerprint_lanes_beyond_their_width(spark):
     few, many = "\n".join(f"line {i}" for i in range(300)), "\n".join(f"line {i}" for i in range(100, 400))
     v = spark.createDataFrame([(few, many)], "a string, b string").select(*[fingerprint.fingerprint(F.col(c)).alias(c) for c in "ab"]).first()
