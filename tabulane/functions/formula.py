@@ -118,15 +118,58 @@ def typed_formula(text, df, context=None, aliases=None, strict=False, max_chars=
     return _Builder(fields, context or {}, aliases or {}, strict).build(_parse(text, max_chars, max_nodes).body)
 
 
+BIND_DEPTH = 2  # operands nested deeper than this are bound; shallow ones stay in generated code
+REPEATING = ("min", "max", "clip", "clamp", "floor", "ceil", "sqrt", "log", "log10", "isnan")
+
+
+def _repeated_operands(node: ast.AST) -> list[ast.AST]:
+    """The operands that the Column of `node` names more than once, all of them always computed."""
+    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Mod, ast.FloorDiv, ast.Div)):
+        return [node.left, node.right]
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in REPEATING:
+        return node.args
+    if isinstance(node, ast.Compare) and len(node.ops) > 1:
+        return node.comparators[:-1]
+    return []
+
+
 class _Builder:
     def __init__(self, fields, context, aliases, strict):
         self.fields, self.context, self.aliases, self.strict = fields, context, aliases, strict
+        self.bound: dict[ast.AST, Typed] = {}
+        self.depths: dict[ast.AST, int] = {}
 
     def build(self, node: ast.AST) -> Typed:
+        if node in self.bound:
+            return self.bound[node]
         handler = getattr(self, f"on_{type(node).__name__}", None)
         if handler is None:
             raise FormulaError(f"not allowed in a formula: {type(node).__name__}")
-        return handler(node)
+        heavy = [o for o in _repeated_operands(node) if o not in self.bound and self.depth(o) >= BIND_DEPTH]
+        return self.bind(handler, node, heavy) if heavy else handler(node)
+
+    def depth(self, node: ast.AST) -> int:
+        """How many operators that name an operand several times lie within each other."""
+        if node not in self.depths:
+            below = max((self.depth(c) for c in ast.iter_child_nodes(node)), default=0)
+            self.depths[node] = below + bool(_repeated_operands(node))
+        return self.depths[node]
+
+    def bind(self, handler, node: ast.AST, heavy: list[ast.AST]) -> Typed:
+        """`node` over variables that hold its heavy operands, so that each is computed once and the formula's Column grows with its text only."""
+        operands, kind = [self.build(o) for o in heavy], None
+
+        def body(row: Column) -> Column:
+            nonlocal kind
+            self.bound.update({o: Typed(row[f"x{i}"], t.kind) for i, (o, t) in enumerate(zip(heavy, operands))})
+            result = handler(node)
+            for o in heavy:
+                del self.bound[o]
+            kind = result.kind
+            return result.col
+
+        held = F.array(F.struct(*[t.col.alias(f"x{i}") for i, t in enumerate(operands)]))
+        return Typed(F.get(F.transform(held, body), F.lit(0)), kind)
 
     # names and literals -------------------------------------------------------------------
 

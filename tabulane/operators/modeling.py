@@ -54,11 +54,13 @@ def moments(df: DataFrame, cols: list[str]) -> Moments:
     Only the p means and p*(p+1)/2 sums reach the driver.
     """
     x = [F.col(f"`{c}`").cast("double") for c in cols]
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    sums = [f(c).alias(f"{name}{i}") for i, c in enumerate(x) for name, f in (("m", F.avg), ("n", F.count))]
+    first = df.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     if not first["n"]:
         raise ValueError("no rows to fit on")
     mean = [first[f"m{i}"] for i in range(len(cols))]
-    return Moments(first["n"], np.array(mean), pair_sums(df, x, mean).p)
+    complete = all(first[f"n{i}"] == first["n"] for i in range(len(cols)))
+    return Moments(first["n"], np.array(mean), pair_sums(df, x, mean, complete).p)
 
 
 @dataclass

@@ -26,9 +26,32 @@ class PairSums(NamedTuple):
 _SCHEMA = "pair int, n long, s double, q double, p double"
 
 
-def pair_sums(df: DataFrame, values: list[Column], shift: list[float]) -> PairSums:
-    """Sums of the values less `shift` (means, so that nothing cancels). NULL is missing; p*p numbers per sum reach the driver."""
+FEW_COLUMNS = 8  # up to so many columns without missing values, one plain aggregate is cheaper than matrices in Python
+
+
+def _complete_sums(df: DataFrame, values: list[Column], shift: list[float]) -> PairSums:
+    """`pair_sums` of columns without missing values, in one aggregate of the JVM."""
+    width = len(values)
+    data = df.select(*[(v.cast("double") - F.lit(float(m))).alias(f"x{i}") for i, (v, m) in enumerate(zip(values, shift))])
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = [F.sum(f"x{i}") for i in range(width)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]
+    n, *found = data.agg(F.count(F.lit(1)), *[s.alias(f"_{k}") for k, s in enumerate(sums)]).first()
+    found = np.array([0.0 if x is None else x for x in found])
+    p = np.zeros((width, width))
+    for (i, j), x in zip(pairs, found[width:]):
+        p[i, j] = p[j, i] = x
+    s, q = (np.repeat(column[:, None], width, axis=1) for column in (found[:width], np.diag(p)))
+    return PairSums(np.full((width, width), float(n)), s, q, p)
+
+
+def pair_sums(df: DataFrame, values: list[Column], shift: list[float], complete: bool = False) -> PairSums:
+    """Sums of the values less `shift` (means, so that nothing cancels). NULL is missing; p*p numbers per sum reach the driver.
+
+    `complete` says that nothing is missing.
+    """
     width = len(values)
+    if complete and width <= FEW_COLUMNS:
+        return _complete_sums(df, values, shift)
     data = df.select(*[(v.cast("double") - F.lit(float(m))).alias(f"x{i}") for i, (v, m) in enumerate(zip(values, shift))])
 
     def work(batches):

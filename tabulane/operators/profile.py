@@ -157,8 +157,10 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     """
     cols = cols or numeric_columns(df)
     value = [present_column(df, c).cast("double") for c in cols]
-    first = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)]).first()
-    n, s, q, p = pair_sums(df, value, [first[f"m{i}"] or 0.0 for i in range(len(cols))])
+    sums = [f(v).alias(f"{name}{i}") for i, v in enumerate(value) for name, f in (("m", F.avg), ("n", F.count))]
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
+    complete = all(first[f"n{i}"] == first["rows"] for i in range(len(cols)))
+    n, s, q, p = pair_sums(df, value, [first[f"m{i}"] or 0.0 for i in range(len(cols))], complete)
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

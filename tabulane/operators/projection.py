@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulane.functions.formula import formula, referenced_names
 from tabulane.functions.scalars import present_column
-from tabulane.functions.uniform import uniform
+from tabulane.functions.uniform import bits_of, draw_hash, uniform
 from tabulane.operators.ranking import ranked
 from tabulane.operators.skew import dimension_join
 
@@ -169,6 +170,47 @@ def split(
     return df.filter(~test), df.filter(test)
 
 
+DIGITS = (18, 17, 17)  # bits of a hash that one pass of `exact_threshold` counts
+
+
+def exact_threshold(bits: DataFrame, wanted: int) -> int:
+    """The smallest value of `_bits` (52 bits) that at least `wanted` rows do not exceed.
+
+    Counts the rows per leading digit, goes into the digit that holds the row looked for and counts its next one. Nothing is
+    sorted; each pass reads the column once and passes on one number per digit.
+    """
+    prefix, width = 0, sum(DIGITS)
+    for digits in DIGITS:
+        inside = bits.filter(F.shiftright("_bits", width) == prefix)
+        width -= digits
+        counts = inside.groupBy(F.shiftright("_bits", width).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        for digit, n in sorted((r["digit"], r["n"]) for r in counts.collect()):
+            if n >= wanted:
+                break
+            wanted -= n
+        if n == wanted:  # the whole digit
+            return ((digit + 1) << width) - 1
+        prefix = digit
+    return prefix
+
+
+def split_exact(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) where test has exactly ceil(rows * test_size) rows: those of the smallest hashes of the key.
+
+    Keys should be unique. Rows that share a key (NULL is one) have one hash and stay together, so if the last test row shares its
+    key, test has the others too. An empty table gives two empty ones.
+    """
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must be between 0 and 1")
+    text = F.coalesce(F.concat(F.lit("+"), F.col(f"`{key}`").cast("string")), F.lit("-"))
+    bits = bits_of(draw_hash(seed, "split_exact", 0, text), 0)
+    total = df.count()
+    if not total:
+        return df, df
+    last = exact_threshold(df.select(bits.alias("_bits")), math.ceil(total * test_size))
+    return df.filter(bits > F.lit(last)), df.filter(bits <= F.lit(last))
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 

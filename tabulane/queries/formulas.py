@@ -337,7 +337,28 @@ SELECT g.bin AS bin, s.lo + g.bin * ((s.hi - s.lo) / 10) AS start, s.lo + (g.bin
   (SELECT count(*) FROM h WHERE h.bin = g.bin AND h.category = c.category) AS n, (SELECT count(*) FROM h WHERE h.bin = g.bin) AS total
 FROM g, s, (SELECT DISTINCT category FROM h) c"""
 
+DEEP_ROUNDS = 4  # of three levels each
+
+
+def formula_deep(spark, d):
+    """Twelve levels of `%`, `//` and `clip` within each other."""
+    text = "floor(l_extendedprice)"
+    for i in range(DEEP_ROUNDS):
+        text = f"clip({text} * {i + 2} % {40013 + i} - {i}, -5, {39000 - 1000 * i}) // 2 * 3"
+    return derive(table(spark, d, "lineitem"), "deep", text).select("l_orderkey", "l_linenumber", "deep")
+
+
+def _deep_sql():
+    inner = "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS x FROM lineitem"
+    for i in range(DEEP_ROUNDS):
+        m = f"CAST({40013 + i} AS DOUBLE)"
+        rest = f"((x * {i + 2}) % {m} + {m}) % {m}"  # whole numbers, so this is exact
+        inner = f"SELECT l_orderkey, l_linenumber, floor(greatest(-5, least({39000 - 1000 * i}, {rest} - {i})) / CAST(2 AS DOUBLE)) * 3 AS x FROM ({inner})"
+    return f"SELECT l_orderkey, l_linenumber, x AS deep FROM ({inner})"
+
+
 CHECKS = {
+    "formula_deep": (formula_deep, _deep_sql()),
     "binned_net_histogram": (binned_net_histogram, BINNED_NET),
     "derive_net_price": (derive_net_price, f"SELECT l_orderkey, l_linenumber, {even_sql(NET, 2)} AS net FROM lineitem"),
     "derive_overwrite": (derive_overwrite, f"SELECT l_orderkey, l_linenumber, {even_sql('l_tax * 100', 0)} AS l_tax FROM lineitem"),

@@ -58,15 +58,25 @@ SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31), CA
 FROM orders"""
 
 
-def file_fingerprint_names(spark, d):
-    """The nation names, sorted, as one text file: its size and digest."""
-    path = scratch(spark, "names")
-    table(spark, d, "nation").orderBy("n_name").select("n_name").coalesce(1).write.option("lineSep", "\n").text(path)
-    return S.file_fingerprint(spark, f"{path}/*.txt").select("bytes", "sha256")
+KEYS_A_FILE = 1000
 
 
-FILE_FINGERPRINT_NAMES = """
-SELECT strlen(t) AS bytes, sha256(t) AS sha256 FROM (SELECT string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS t FROM nation)"""
+def file_digests(spark, d):
+    """The orders as text files of a range of keys each, sorted within: size and digest per file."""
+    path = scratch(spark, "order-files")
+    od = table(spark, d, "orders").select(
+        F.floor(F.col("o_orderkey") / KEYS_A_FILE).alias("part"), "o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line")
+    )
+    rows = od.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "line")
+    rows.write.partitionBy("part").option("lineSep", "\n").text(path)
+    files = S.file_digests(spark, f"{path}/part=*/*.txt")
+    return files.select(F.regexp_extract("path", "part=(-?[0-9]+)", 1).cast("long").alias("part"), "bytes", "sha256")
+
+
+FILE_DIGESTS = f"""
+SELECT part, strlen(t) AS bytes, sha256(t) AS sha256 FROM (
+  SELECT CAST(floor(o_orderkey / CAST({KEYS_A_FILE} AS DOUBLE)) AS BIGINT) AS part,
+    string_agg(o_orderkey || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10) AS t FROM orders GROUP BY 1)"""
 
 
 def _event_stream(spark, d):
@@ -106,7 +116,7 @@ CHECKS = {
     "roundtrip_parquet": (_roundtrip("parquet"), ORDERS),
     "append_events": (append_events, APPEND_EVENTS),
     "file_fingerprint": (file_fingerprint, None),
-    "file_fingerprint_names": (file_fingerprint_names, FILE_FINGERPRINT_NAMES),
+    "file_digests": (file_digests, FILE_DIGESTS),
     "table_checksum": (table_checksum, TABLE_CHECKSUM),
     "ingest_stream": (
         ingest_events,

@@ -102,6 +102,17 @@ def split_train_test(spark, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+def split_exact(spark, d):
+    od = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    train, test = P.split_exact(od, "o_orderkey", 0.2, 42)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+SPLIT_EXACT = f"""
+SELECT o_orderkey, o_orderpriority, CASE WHEN place <= ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS part FROM (
+  SELECT *, row_number() OVER (ORDER BY {u_sql(42, "split_exact", 0, "'+' || o_orderkey")}) AS place, count(*) OVER () AS n FROM orders)"""
+
+
 def _gaps(spark, d):
     ev = table(spark, d, "events")
     return ev.select(
@@ -224,6 +235,7 @@ CHECKS = {
         split_train_test,
         f"SELECT o_orderkey, o_orderpriority, CASE WHEN {u_sql(42, 'split', 0, 'o_orderkey')} < 0.2 THEN 'test' ELSE 'train' END AS part FROM orders",
     ),
+    "split_exact": (split_exact, SPLIT_EXACT),
     "complete_cases": (complete_cases, f"SELECT * FROM ({GAPS}) WHERE kind IS NOT NULL AND value IS NOT NULL"),
     "valid_flag": (valid_flag, f"SELECT event_id, kind IS NOT NULL AND value IS NOT NULL AS ok FROM ({GAPS})"),
     "completeness": (

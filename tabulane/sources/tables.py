@@ -100,12 +100,49 @@ def write_table(df: DataFrame, path: str, fmt: str, seed: int | None = None, mod
     return count
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) per file under `path`; files are hashed in parallel, each whole."""
+WHOLE_FILE = 256 << 20  # larger files are read in pieces
+PIECE = 8 << 20
+
+
+def _streamed(piece: int):
+    """Digests of whole files read `piece` bytes at a time, by any file system pyarrow knows."""
+
+    def work(batches):
+        import hashlib
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for path in batch["path"]:
+                if path.startswith("file:"):
+                    store, inside = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+                else:
+                    store, inside = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(inside) as stream:
+                    while part := stream.read(piece):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield batch.assign(sha256=digests)
+
+    return work
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE, piece: int = PIECE) -> DataFrame:
+    """(path, bytes, sha256) per file under `path`, hashed in parallel. Files of any size: those of more than `whole` bytes are read `piece` bytes
+    at a time, so no task holds more than `whole` bytes of content. Each large file is a task of its own, since SHA-256 has no parallel form.
+    Empty files give no row: Spark's readers pass over them."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    small = files.filter(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", F.col("length").alias("bytes"))
+    return small.unionByName(large.mapInPandas(_streamed(piece), "path string, bytes long, sha256 string"))
+
+
+def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) per file under `path`, by `file_digests`."""
+    return file_digests(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
 def table_checksum(df: DataFrame) -> DataFrame:
