@@ -6,6 +6,7 @@ the last return the columns of `documents`, the last one row per document with i
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -23,33 +24,60 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+OWN = {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def _any_names(stage):
+    """The stage on a table whose other columns may have any names, also those that a stage uses itself."""
+
+    @functools.wraps(stage)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"extra_column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return renamed
+
+
+@_any_names
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts. It learns from the labelled documents that are not held out; without labels of both kinds it rejects nothing unlearned."""
+    """Documents the classifier accepts. It learns from the labelled documents that are not held out; without labels of both kinds it rejects nothing unlearned.
+
+    Each text is read once: rejected rows go by (id, hash of the text), so rows of one id are judged by their own texts and rows equal
+    in both alike. Null texts count as empty, null ids are judged too but never learned from; an empty table gives none; other columns pass unread.
+    """
     stats = cut_lineage(quality.document_statistics(docs))
     model = quality.learn_quality(stats, load(spark, sf_dir, "labels"), ~held_out())
-    return docs.filter(quality.quality_score(F.col("text"), model) >= quality.ACCEPT)
+    rejected = quality.score_statistics(stats, model).filter(F.col("score") < quality.ACCEPT)
+    rejected = cut_lineage(rejected.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct())
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left_anti")
 
 
+@_any_names
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; rows that repeat an id count once. Rows without an id stay."""
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi")
-    # ids repeat only in faulty tables; then the rows are reduced to one each
-    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        known = known.dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near copies: the smallest id, then the smallest text hash; rows of one id are grouped by their texts.
+
+    Null and wordless texts are in no group and all stay; a null id comes after all others; an empty table gives none; other columns pass unread.
+    """
+    return jaccard_join.drop_near_duplicates(docs)
 
 
+@_any_names
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 100-byte strings that occur earlier; n_chars follows. A text that is wholly repeated becomes empty."""
+    """Texts without the bytes of 100-byte strings that occur earlier; n_chars follows. A text that is wholly repeated becomes empty.
+
+    Null texts stay null; null ids come after all others, rows of one id go by the hash of their text, rows equal in both are one document;
+    an empty table gives none; other columns pass unread.
+    """
     return _with_length(suffix_dedup.strip_repeats(docs)).select(*docs.columns)
 
 
+@_any_names
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix uses them: sources below their weight repeat in a later pass, sources above it are cut by the budget.
+    """Documents as often as the mix uses them, in its order: pass by pass, each in the order of its permutation.
 
-    Rows equal in id, text and source are one document, used as often as the mix uses all of them.
+    Sources below their weight repeat in a later pass, sources above it are cut by the budget. Rows equal in id, text and source are one
+    document, used as often as the mix uses all of them; null ids, texts and sources are values of their own; sources without any word
+    are left out; an empty table gives none; other columns pass unread.
     """
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -57,17 +85,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return rows.withColumns({"_id_key": id_key, "_source_key": source_key})
 
     keys = ["_id_key", "_source_key", "_tag"]
-    uses = keyed(mixing.mix_sources(docs)).withColumnRenamed("tag", "_tag").select(*keys, "pass")
-    uses = cut_lineage(uses.groupBy(*keys, "pass").agg(F.count(F.lit(1)).alias("n")))
-    times = uses.groupBy(*keys).agg(F.sum("n").cast("int").alias("_times"))
+    uses = keyed(mixing.mix_sources(docs)).withColumnRenamed("tag", "_tag")
+    uses = cut_lineage(uses.groupBy(*keys, F.col("pass").alias("_pass"), F.col("order_key").alias("_order")).agg(F.count(F.lit(1)).cast("int").alias("_times")))
     own = keyed(docs).withColumn("_tag", F.xxhash64("text"))
-    if uses.filter("n > 1").limit(1).count():
+    if not uses.filter("_times > 1").isEmpty():
         own = own.dropDuplicates(keys)
-    return own.join(times, keys).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    used = own.join(uses, keys).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return used.orderBy("_pass", "_order", *keys).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token digests of every document that is left."""
+    """Token digests of every document that is left, one row each: null texts count as empty, null ids and repeated rows stay; an empty table gives none."""
     return byte_bpe.token_digests(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 

@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulane.llm.common import as_bytes, mix64, over_batches, partitions
@@ -81,19 +81,21 @@ def _unpack(blobs: pd.DataFrame, item: np.dtype) -> tuple[np.ndarray, np.ndarray
 
 
 def document_classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, cls); cls is null for a text without words."""
+    """(id, tag, n_shingles, cls); tag is a hash of the text, cls is null for a text without words."""
 
     def work(batches):
         for batch in batches:
             found = [shingle_set(t, words) for t in as_bytes(batch.column(1))]
             yield {
                 "id": batch.column(0),
+                "tag": batch.column(2),
                 "n_shingles": [len(s) for _, s in found],
                 "cls": [_signed(c) if len(s) else None for c, s in found],
             }
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return over_batches(docs.select(F.col(id_col), F.col(text_col)), work, f"id {kind}, n_shingles long, cls long")
+    read = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)))
+    return over_batches(read, work, f"id {kind}, tag long, n_shingles long, cls long")
 
 
 def _frequent(docs: DataFrame, id_col: str, text_col: str, words: int, n: int) -> np.ndarray:
@@ -381,13 +383,8 @@ def linked_classes(kept: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(_remaining(prefixes, labels, kept, percent))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard similarity >= percent%.
-
-    A text's set: its distinct shingles of `words` words; with fewer words the whole as one. Null texts and texts without words have
-    no set and no link: they are their own component. Rows of one id are linked only through their texts; rows with a null
-    id take the smallest known id of their component (null if there is none). An empty table gives none; other columns are not read.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of all rows, and (cls, component, component_id) of the classes that stand on more than one row or are linked."""
     classes = cut_lineage(document_classes(docs, id_col, text_col, words))
     n = classes.count()
     kept = cut_lineage(shared_shingles(docs, id_col, text_col, words, percent, n))
@@ -396,6 +393,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     several = known.filter((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "cls"))
     least = several.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = cut_lineage(several.join(least, "component").select("cls", "component_id"))
-    joined = dimension_join(classes, found, ["cls"], "left")
+    return classes, cut_lineage(several.join(least, "component").select("cls", "component", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard similarity >= percent%.
+
+    A text's set: its distinct shingles of `words` words; with fewer words the whole as one. Null texts and texts without words have
+    no set and no link: they are their own component. Rows of one id are linked only through their texts; rows with a null
+    id take the smallest known id of their component (null if there is none). An empty table gives none; other columns are not read.
+    """
+    classes, found = _grouped(docs, id_col, text_col, words, percent)
+    joined = dimension_join(classes, found.drop("component"), ["cls"], "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each group that links of Jaccard similarity >= percent% connect: that of the smallest id, then text hash.
+
+    Groups are of texts, not of ids: of rows with one id and unrelated texts all stay. A null id comes after all others. Of rows equal
+    in id and text one stays, the smallest as JSON; texts without words (null and empty ones) are in no group and all stay.
+    An empty table gives none. Columns named _leader_id or _leader_tag are not allowed.
+    """
+    classes, found = _grouped(docs, id_col, text_col, words, percent)
+    members = dimension_join(classes.filter(F.col("cls").isNotNull()), found.drop("component_id"), ["cls"])
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tag").alias("tag"))
+    members = cut_lineage(members.select("component", place.alias("place")))
+    rows = members.groupBy("component", "place").agg(F.count(F.lit(1)).alias("n"))  # all rows of a place share their text
+    first = members.groupBy("component").agg(F.min("place").alias("first"))
+    rows = cut_lineage(rows.join(first, "component").select(F.col("place.*"), "n", (F.col("place") == F.col("first")).alias("leads")))
+    named = docs.select("*", F.col(id_col).alias("_leader_id"), F.xxhash64(F.col(text_col)).alias("_leader_tag"))
+
+    def same(places: DataFrame) -> Column:
+        return named["_leader_id"].eqNullSafe(places["id"]) & (named["_leader_tag"] == places["tag"])
+
+    others = rows.filter(~F.col("leads")).select("id", "tag")
+    left = named.join(others, same(others), "left_anti")
+    twice = rows.filter(F.col("leads") & (F.col("n") > 1)).select("id", "tag")
+    if not twice.isEmpty():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        copies = named.join(twice, same(twice), "left_semi").groupBy("_leader_id", "_leader_tag").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+        once = left.join(twice, (F.col("_leader_id").eqNullSafe(twice["id"])) & (F.col("_leader_tag") == twice["tag"]), "left_anti")
+        return once.select(*docs.columns).unionByName(copies.select("row.*"))
+    return left.select(*docs.columns)

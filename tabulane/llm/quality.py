@@ -7,7 +7,6 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,16 +95,21 @@ class Discriminant(NamedTuple):
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, one column per feature) of every whole text."""
+    """(id, tag, one column per feature) of every whole text; tag is a hash of the text.
+
+    A null text counts as an empty one. One row per row of `docs`, null and repeated ids included; an empty table gives none; other
+    columns are not read.
+    """
 
     def work(batches):
         for batch in batches:
             rows = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield {"id": batch.column(0), **{f: rows[:, i] for i, f in enumerate(FEATURES)}}
+            yield {"id": batch.column(0), "tag": batch.column(2), **{f: rows[:, i] for i, f in enumerate(FEATURES)}}
 
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ", ".join(f"{f} double" for f in FEATURES)
-    return over_batches(docs.select(F.col(id_col), F.col(text_col)), work, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    read = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)))
+    return over_batches(read, work, f"id {kind}, tag long, {fields}").withColumnRenamed("id", id_col)
 
 
 def fit_discriminant(labelled: DataFrame, label_col: str, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Discriminant:
@@ -150,25 +154,15 @@ def fit_discriminant(labelled: DataFrame, label_col: str, pooled: float = POOLED
 
 
 def score_statistics(stats: DataFrame, model: Discriminant, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) from the columns of document_statistics."""
+    """(id, tag, score) from the columns of document_statistics, one row each; null ids and repeats as there."""
 
     def work(batches):
         for batch in batches:
             x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
-            yield {"id": batch.column(id_col), "score": model.scores(x)}
+            yield {"id": batch.column(id_col), "tag": batch.column("tag"), "score": model.scores(x)}
 
     kind = stats.schema[id_col].dataType.simpleString()
-    return over_batches(stats, work, f"id {kind}, score double").withColumnRenamed("id", id_col)
-
-
-def quality_score(text: Column, model: Discriminant) -> Column:
-    """The score of a text column, for use in a filter."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))))
-
-    return score(text)
+    return over_batches(stats, work, f"id {kind}, tag long, score double").withColumnRenamed("id", id_col)
 
 
 def learn_quality(stats: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with odd inputs."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import struct
@@ -92,6 +93,46 @@ def test_language_distance_by_hand():
     assert language.classify(text, profiles) == ("y", pytest.approx(1 - 10 / 25))
 
 
+def brute_grams(text):
+    """Counts of the 1- to 3-grams of a text, as tuples: 1 stands for anything between words, letters for their number plus 2."""
+    marks = [1]
+    for c in text.lower() + " ":
+        if c.isalpha():
+            marks.append(ord(c) + 2)
+        elif marks[-1] != 1:
+            marks.append(1)
+    found = collections.Counter((m,) for m in marks if m != 1)
+    found.update(zip(marks, marks[1:]))
+    found.update(t for t in zip(marks, marks[1:], marks[2:]) if t[1] != 1)
+    return found
+
+
+def brute_profile(counts, size):
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], len(g), g))[:size])}
+
+
+def test_language_against_plain_dicts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    learned = language.learn_profiles(docs.filter("doc_id % 4 != 2"))
+    made = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    counts = collections.defaultdict(collections.Counter)
+    for i, text, lang in made:
+        if i % 4 != 2 and text is not None and lang is not None:
+            counts[lang].update(brute_grams(text))
+    profiles = {lang: brute_profile(c, language.PROFILE) for lang, c in sorted(counts.items())}
+    assert learned.langs == list(profiles)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.detect_language(docs, learned).collect()}
+    assert len(got) == len(made)
+    for i, text, _ in made:
+        own = brute_profile(brute_grams(text or ""), language.PROFILE)
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(p[g] - n) if g in p else language.PROFILE for g, n in own.items()) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        assert got[i] == (best, pytest.approx(1 - apart[best] / (language.PROFILE * len(own))))
+
+
 # 2 mixing
 
 
@@ -294,6 +335,29 @@ def test_quality_odd_rows(spark, docs, empty):
     assert quality.document_statistics(empty).count() == 0
 
 
+def test_quality_fit_against_numpy(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn_quality(quality.document_statistics(docs), labels, F.col("doc_id") % 4 != 2)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    made = {r["doc_id"]: quality.statistics(r["text"]) for r in docs.collect()}
+    own = [np.array([x for i, x in made.items() if i % 4 != 2 and marks.get(i) == c]) for c in (0, 1)]
+    spreads = [np.cov(x.T, bias=True) for x in own]
+    common = sum(s * len(x) for s, x in zip(spreads, own)) / sum(map(len, own))
+    density = []
+    every = np.array(list(made.values()))
+    for x, s, mean, whiten, log_det in zip(own, spreads, model.means, model.whiten, model.log_det):
+        shrunk = (1 - quality.POOLED) * s + quality.POOLED * common
+        p = len(shrunk)
+        shrunk = (1 - quality.DIAGONAL) * shrunk + (quality.DIAGONAL * np.trace(shrunk) / p + 1e-9) * np.eye(p)
+        assert mean == pytest.approx(x.mean(axis=0), rel=1e-9, abs=1e-12)
+        assert np.linalg.inv(whiten.T @ whiten) == pytest.approx(shrunk, rel=1e-6, abs=1e-9)
+        assert log_det == pytest.approx(np.linalg.slogdet(shrunk)[1], abs=1e-6)
+        away = every - x.mean(axis=0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", away, np.linalg.inv(shrunk), away) + np.linalg.slogdet(shrunk)[1]))
+    odds = density[1] - density[0] + np.log(len(own[1]) / len(own[0]))
+    assert model.scores(every) == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -700, 700))), abs=1e-6)
+
+
 # 7 Jaccard join
 
 
