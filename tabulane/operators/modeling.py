@@ -8,11 +8,12 @@ from typing import Any, Callable, Protocol
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulane.operators import trees as T
+from tabulane.operators.angles import Knot, angle_path
 from tabulane.operators.products import pair_sums
 from tabulane.operators.profile import regression_metrics, residual_stats
 from tabulane.operators.projection import complete_cases, present, require_columns, split_flag
@@ -83,6 +84,22 @@ class LinearModel:
         return {} if self.iterations is None else {"n_iterations": float(self.iterations)}
 
 
+@dataclass
+class HuberModel(LinearModel):
+    """A linear model with the scale of its residuals and the number of rows beyond epsilon scales."""
+
+    scale: float = 0.0
+    outliers: float = 0.0
+
+    @property
+    def model(self) -> HuberModel:
+        """Itself: where other fits wrap a model, callers read `model.scale`."""
+        return self
+
+    def details(self) -> dict[str, float]:
+        return {**super().details(), "scale": self.scale, "n_outliers": self.outliers}
+
+
 def _descend(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, rounds: int, tol: float) -> tuple[np.ndarray, int]:
     """Minimise w'xx w/2 - xy'w + l1*|w| + l2*w'w/2, one coordinate at a time."""
     w = np.zeros(len(xy))
@@ -201,6 +218,93 @@ def _matching_pursuit(df: DataFrame, target: str, features: list[str], params: d
     return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w) if centred else 0.0, len(taken))
 
 
+def _turns(params: dict, default: int) -> int:
+    most = default if params.get(name := "n_nonzero_coefs") is None and params.get(name := "max_iter") is None else int(params[name])
+    if most < 1:
+        raise ValueError(f"{name} has to be at least 1")
+    return most
+
+
+def _angles(lasso: bool) -> Callable[[DataFrame, str, list[str], dict], LinearModel]:
+    """Least angles: the path after `n_nonzero_coefs` turns. Lasso: the path where the largest product per row is `alpha`, at most `max_iter` turns."""
+
+    def fit(df: DataFrame, target: str, features: list[str], params: dict) -> LinearModel:
+        _known_only(params, {"fit_intercept", *(("alpha", "max_iter") if lasso else ("n_nonzero_coefs",))})
+        m, cross, centred = _fit_moments(df, target, features, params)
+        least = float(params.get("alpha", 1.0)) * m.n if lasso else 0.0
+        knots = angle_path(cross[:-1, :-1], cross[:-1, -1], lasso, _turns(params, 500), least)
+        w = knots[-1].weights
+        return LinearModel(list(features), w, float(m.mean[-1] - m.mean[:-1] @ w) if centred else 0.0, len(knots) - 1)
+
+    return fit
+
+
+def angle_knots(df: DataFrame, target: str, features: list[str], lasso: bool = False, fit_intercept: bool = True, most: int = 500) -> DataFrame:
+    """(knot from 0, alpha, term, weight): the whole path of least angles, or of the lasso, over the complete rows of `df`.
+
+    alpha is the largest product per row of a feature with the residual; at knot 0 all weights are 0, at the last one alpha is 0 unless `most` ends it.
+    """
+    require_columns(df, [target, *features])
+    m, cross, _ = _fit_moments(complete_cases(df, [target, *features]), target, features, {"fit_intercept": fit_intercept})
+    knots: list[Knot] = angle_path(cross[:-1, :-1], cross[:-1, -1], lasso, most)
+    rows = [(i, k.product / m.n, f, float(w)) for i, k in enumerate(knots) for f, w in zip(features, k.weights)]
+    return df.sparkSession.createDataFrame(rows, "knot int, alpha double, term string, weight double")
+
+
+def _huber(df: DataFrame, target: str, features: list[str], params: dict) -> HuberModel:
+    """Weights and scale that minimise the sum of scale + huber(residual / scale) * scale, plus alpha * w'w.
+
+    Starts at least squares. A round is one aggregate: rows beyond epsilon scales count less the farther they are, the weighted sums of products give
+    the next weights, the clipped residuals the next scale. Neither can raise the loss. Ends when nothing moves by more than `tol` scales.
+    """
+    _known_only(params, {"epsilon", "alpha", "max_iter", "tol", "fit_intercept"})
+    epsilon, alpha = float(params.get("epsilon", 1.35)), float(params.get("alpha", 0.0001))
+    rounds, tol = int(params.get("max_iter", 100)), float(params.get("tol", 1e-6))
+    if epsilon < 1 or alpha < 0:
+        raise ValueError("epsilon has to be at least 1 and alpha at least 0")
+    m, cross, centred = _fit_moments(df, target, features, params)
+    mean = m.mean if centred else np.zeros(len(m.mean))
+    p = len(features)
+    spread = np.sqrt(np.diag(cross) / m.n)
+    # the intercept's column of ones comes first
+    block = np.zeros((p + 1, p + 1))
+    block[0, 0], block[1:, 1:] = m.n, cross[:-1, :-1]
+    w = _weighted(block, np.concatenate([[0.0], cross[:-1, -1]]), np.zeros(p + 1), centred)
+    scale = float(np.sqrt(max(cross[-1, -1] - w[1:] @ cross[:-1, -1], 0.0) / m.n))
+    values = df.select(*[(F.col(f"`{c}`").cast("double") - F.lit(float(x))).alias(f"v{i}") for i, (c, x) in enumerate(zip([*features, target], mean))])
+    done, outliers = 0, 0.0
+    while done < rounds and scale > 1e-12 * spread[-1]:
+        done += 1
+        fitted = F.lit(float(w[0]))
+        for i in range(p):
+            fitted = fitted + F.col(f"v{i}") * F.lit(float(w[i + 1]))
+        bound = F.lit(epsilon * scale)
+        rows = values.withColumn("_rest", F.abs(F.col(f"v{p}") - fitted))
+        rows = rows.withColumn("_root", F.when(F.col("_rest") <= bound, F.lit(1.0)).otherwise(F.sqrt(bound / F.col("_rest"))))
+        # columns times the root of their row's weight: their products are the weighted sums
+        columns = [F.col("_root"), *[F.col(f"v{i}") * F.col("_root") for i in range(p + 1)], F.least("_rest", bound), (F.col("_rest") > bound).cast("double")]
+        sums = pair_sums(rows, columns, [0.0] * len(columns), complete=True).p
+        block = sums[: p + 1, : p + 1]
+        new = _weighted(block, sums[: p + 1, p + 1], np.concatenate([[0.0], np.full(p, alpha * scale)]), centred)
+        new_scale, outliers = float(np.sqrt(sums[p + 2, p + 2] / m.n)), float(sums[p + 3, p + 3])
+        moved = max(np.abs((new - w) * np.concatenate([[1.0], spread[:-1]])).max(), abs(new_scale - scale))
+        w, scale = new, new_scale
+        if moved <= tol * scale:
+            break
+    intercept = float(w[0] + mean[-1] - mean[:-1] @ w[1:]) if centred else 0.0
+    return HuberModel(list(features), w[1:], intercept, done, scale, outliers)
+
+
+def _weighted(block: np.ndarray, right: np.ndarray, penalty: np.ndarray, with_ones: bool) -> np.ndarray:
+    """Weights of (block + penalty) w = right; without an intercept the first row takes no part. Columns of very different size are scaled first."""
+    at = slice(0 if with_ones else 1, None)
+    full = (block + np.diag(penalty))[at, at]
+    size = np.sqrt(np.where(np.diag(full) > 0, np.diag(full), 1.0))
+    w = np.zeros(len(right))
+    w[at] = np.linalg.lstsq(full / np.outer(size, size), right[at] / size, rcond=None)[0] / size
+    return w
+
+
 # MLlib models -------------------------------------------------------------------------------
 
 
@@ -271,25 +375,6 @@ def _vectors(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features").transform(numbers)
 
 
-def _huber(df: DataFrame, target: str, features: list[str], params: dict) -> MLModel:
-    """Huber loss with a fitted scale; `alpha` weighs the squared weights against the summed loss, MLlib's
-    penalty is against the mean."""
-    _known_only(params, {"epsilon", "alpha", "max_iter", "tol", "fit_intercept"})
-    estimator = LinearRegression(
-        fitIntercept=params.get("fit_intercept") is not False,
-        featuresCol="_features",
-        labelCol=target,
-        predictionCol="_raw",
-        loss="huber",
-        epsilon=float(params.get("epsilon", 1.35)),
-        regParam=float(params.get("alpha", 0.0001)) / df.count(),
-        maxIter=int(params.get("max_iter", 100)),
-        tol=float(params.get("tol", 1e-6)),
-        standardization=False,
-    )
-    return MLModel(list(features), estimator.fit(_vectors(df, target, features)))
-
-
 # own trees ----------------------------------------------------------------------------------
 
 
@@ -403,7 +488,8 @@ MODELS: dict[str, Callable[[DataFrame, str, list[str], dict], Regressor]] = {
     "ridge": _linear("ridge"),
     "lasso": _linear("lasso"),
     "elastic_net": _linear("elastic_net"),
-    "lasso_lars": _linear("lasso"),  # another path to the same minimum
+    "lars": _angles(False),
+    "lasso_lars": _angles(True),
     "bayesian_ridge": _bayesian_ridge,
     "orthogonal_matching_pursuit": _matching_pursuit,
     "decision_tree_regressor": _tree,

@@ -15,11 +15,11 @@ from tabulane.queries.base import rounded, table, u_sql
 ALL = {"type": "none"}
 
 
-def _lines(spark, d):
+def _lines(spark, d, li=None, *more):
     """Line items with a text key made of all their identifying columns."""
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem") if li is None else li
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").cast("long"))
-    return li.select(key.alias("key"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return li.select(key.alias("key"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", *more)
 
 
 LINES = """
@@ -201,6 +201,78 @@ SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice / 10000, l_quantit
 UNION ALL SELECT '_intercept', round(regr_intercept(l_extendedprice / 10000, l_quantity), 3) FROM lineitem"""
 
 
+OUTLIERS = "(l_linenumber * 7 + l_partkey) % 10 < 3"  # nearly a third of all rows, far off
+HUBER_ROUNDS = 15
+
+
+def huber(spark, d):
+    """A fit among many outliers: weights, scale, scores on both parts and residual statistics."""
+    li = table(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000 + F.when(F.expr(OUTLIERS), 400 - F.col("l_quantity") * 5).otherwise(0))
+    lines = _lines(spark, d, li, "y")
+    fitted = M.fit(lines, "key", "huber_regressor", "y", ["l_quantity"], {"max_iter": HUBER_ROUNDS, "tol": 0.0})
+    found = fitted.metrics_frame(spark).unionByName(fitted.diagnostics_frame(spark).filter("metric <> 'n_iterations'"))
+    return rounded(found.unionByName(fitted.coefficients_frame(spark).withColumnRenamed("term", "metric")), 4)
+
+
+def _huber_sql(epsilon: float = 1.35, alpha: float = 0.0001) -> str:
+    """The rounds one by one: weights and scale of each from the sums of the one before."""
+    rows = f"""SELECT x, y, NOT {u_sql(42, 'split', 0, 'key')} < 0.2 AS train FROM (
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(trunc(l_extendedprice) AS BIGINT)) AS key, CAST(l_quantity AS DOUBLE) AS x,
+    l_extendedprice / 1000 + CASE WHEN {OUTLIERS} THEN 400 - l_quantity * 5 ELSE 0 END AS y FROM lineitem)"""
+    ctes = [f"a AS MATERIALIZED ({rows})", "t AS MATERIALIZED (SELECT x, y FROM a WHERE train)"]
+    ctes.append("""s0 AS MATERIALIZED (SELECT w, c, (SELECT sqrt(avg((y - c - w * x) * (y - c - w * x))) FROM t) AS scale, 0 AS n_out
+  FROM (SELECT regr_slope(y, x) AS w, regr_intercept(y, x) AS c FROM t))""")
+    for k in range(1, HUBER_ROUNDS + 1):
+        ctes.append(f"""s{k} AS MATERIALIZED (SELECT w, (sy - w * sx) / su AS c, sqrt(v) AS scale, n_out FROM (
+  SELECT *, (su * sxy - sx * sy) / (su * (sxx + {alpha} * scale) - sx * sx) AS w FROM (
+    SELECT sum(u) AS su, sum(u * x) AS sx, sum(u * y) AS sy, sum(u * x * x) AS sxx, sum(u * x * y) AS sxy, max(scale) AS scale,
+      avg(least(r, {epsilon} * scale) * least(r, {epsilon} * scale)) AS v, count(*) FILTER (r > {epsilon} * scale) AS n_out FROM (
+      SELECT *, CASE WHEN r <= {epsilon} * scale THEN 1 ELSE {epsilon} * scale / r END AS u FROM (
+        SELECT x, y, scale, abs(y - c - w * x) AS r FROM t, s{k - 1})))))""")
+    return "WITH " + ", ".join(ctes) + f""",
+z AS (SELECT * FROM s{HUBER_ROUNDS}), e AS (SELECT y, y - (c + w * x) AS e FROM t, z), o AS (SELECT y, y - (c + w * x) AS e FROM a, z WHERE NOT train)
+SELECT metric, round(value, 4) AS value FROM (
+SELECT 'r2' AS metric, 1 - avg(e * e) / var_pop(y) AS value FROM e
+UNION ALL SELECT 'mae', avg(abs(e)) FROM e UNION ALL SELECT 'rmse', sqrt(avg(e * e)) FROM e UNION ALL SELECT 'mse', avg(e * e) FROM e
+UNION ALL SELECT 'explained_variance', 1 - var_pop(e) / var_pop(y) FROM e UNION ALL SELECT 'median_ae', median(abs(e)) FROM e
+UNION ALL SELECT 'max_error', max(abs(e)) FROM e UNION ALL SELECT 'mape', avg(abs(e) / abs(y)) FROM e
+UNION ALL SELECT 'test_r2', 1 - avg(e * e) / var_pop(y) FROM o UNION ALL SELECT 'test_mae', avg(abs(e)) FROM o UNION ALL SELECT 'test_rmse', sqrt(avg(e * e)) FROM o
+UNION ALL SELECT 'residuals_mean', avg(e) FROM o UNION ALL SELECT 'residuals_std', stddev_pop(e) FROM o
+UNION ALL SELECT 'residuals_min', min(e) FROM o UNION ALL SELECT 'residuals_max', max(e) FROM o
+UNION ALL SELECT 'scale', scale FROM z UNION ALL SELECT 'n_outliers', n_out FROM z
+UNION ALL SELECT 'l_quantity', w FROM z UNION ALL SELECT '_intercept', c FROM z)"""
+
+
+def _two_slopes(spark, d):
+    """A target that two features explain, quantity more than tax."""
+    y = F.col("l_extendedprice") / 1000 + F.col("l_tax") * 200
+    return _lines(spark, d).select("key", F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_tax") * 100).alias("tax"), y.alias("y"))
+
+
+TWO_SLOPES = f"SELECT key, CAST(l_quantity AS DOUBLE) AS quantity, l_tax * 100 AS tax, l_extendedprice / 1000 + l_tax * 200 AS y FROM ({LINES})"
+
+
+def lars_path(spark, d):
+    """All knots of the path of least angles."""
+    knots = M.angle_knots(_two_slopes(spark, d), "y", ["quantity", "tax"])
+    return rounded(knots, 6)
+
+
+# first the feature with the larger product alone, until the other one's product is as large; then both, to least squares
+LARS_PATH = f"""
+WITH m AS (SELECT regr_sxx(y, quantity) / count(*) AS q, regr_sxx(y, tax) / count(*) AS t, covar_pop(quantity, tax) AS qt, covar_pop(quantity, y) AS qy, covar_pop(tax, y) AS ty FROM ({TWO_SLOPES})),
+o AS (SELECT abs(qy) >= abs(ty) AS quantity_first, greatest(abs(qy), abs(ty)) AS top, CASE WHEN abs(qy) >= abs(ty) THEN qy ELSE ty END AS c1,
+  CASE WHEN abs(qy) >= abs(ty) THEN ty ELSE qy END AS c2, CASE WHEN abs(qy) >= abs(ty) THEN q ELSE t END AS g1, qt, q, t, qy, ty FROM m),
+r AS (SELECT *, sign(c1) / g1 AS d, qt * sign(c1) / g1 AS a FROM o),
+k AS (SELECT *, least(CASE WHEN a < 1 THEN (top - c2) / (1 - a) ELSE 'inf' END, CASE WHEN a > -1 THEN (top + c2) / (1 + a) ELSE 'inf' END) AS step FROM r)
+SELECT knot, round(alpha, 6) AS alpha, term, round(weight, 6) AS weight FROM (
+SELECT 0 AS knot, top AS alpha, 'quantity' AS term, CAST(0 AS DOUBLE) AS weight FROM k UNION ALL SELECT 0, top, 'tax', 0 FROM k
+UNION ALL SELECT 1, top - step, 'quantity', CASE WHEN quantity_first THEN step * d ELSE 0 END FROM k
+UNION ALL SELECT 1, top - step, 'tax', CASE WHEN quantity_first THEN 0 ELSE step * d END FROM k
+UNION ALL SELECT 2, 0, 'quantity', (qy * t - ty * qt) / (q * t - qt * qt) FROM k
+UNION ALL SELECT 2, 0, 'tax', (ty * q - qy * qt) / (q * t - qt * qt) FROM k)"""
+
+
 # the split with the least squared error left
 STUMP = f"""
 WITH t AS (SELECT l_tax, l_extendedprice * l_tax * l_tax AS y FROM ({LINES})), c AS (SELECT DISTINCT l_tax AS cut FROM t),
@@ -361,7 +433,14 @@ CHECKS = {
     "tree": (_ml("decision_tree_regressor", max_depth=4), TREE),
     "forest": (_ml("random_forest_regressor", n_estimators=10, max_depth=4), None),
     "gbt": (_ml("gradient_boosting_regressor", n_estimators=5, max_depth=3), None),
-    "huber": (_ml("huber_regressor", max_iter=50), None),
+    "huber": (huber, _huber_sql()),
+    "huber_features": (_ml("huber_regressor", max_iter=50), None),
+    "lars": (_coefficients("lars", n_nonzero_coefs=2, features=("l_quantity", "l_tax")), _two_features()),
+    "lars_path": (lars_path, LARS_PATH),
+    "lasso_lars": (
+        _coefficients("lasso_lars", alpha=100.0),
+        _one_feature(f"sign({SXY}) * greatest(abs({SXY}) / count(*) - 100, 0) / ({SXX} / count(*))"),
+    ),
     "huber_wide": (huber_wide, HUBER_WIDE),
     "tree_shape": (tree_shape, TREE_SHAPE),
     "tree_levels": (tree_levels, TREE_LEVELS),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulane.operators import modeling as M
+from tabulane.operators.angles import Factor, angle_path
 
 N = 600
 
@@ -127,3 +128,71 @@ def test_many_features_take_several_scans(spark, frame):
     wide["y"] = sum((i + 1) * wide[f"x{i}"] for i in range(14))
     got = M.fit(spark.createDataFrame(wide), "id", "linear_regression", "y", [f"x{i}" for i in range(14)]).model.coefficients()
     assert [got[f"x{i}"] for i in range(14)] == pytest.approx(range(1, 15))
+
+
+def test_lasso_path_meets_its_conditions_and_counts_its_turns():
+    """On random problems, constant and repeated columns among them: products at alpha for the weights that are not zero, none above it."""
+    rng, turned_back = np.random.default_rng(0), 0
+    for trial in range(120):
+        p, n = rng.integers(1, 9), 40
+        x = rng.normal(size=(n, p)) @ rng.normal(size=(p, p))
+        y = x @ rng.normal(size=p) + rng.normal(size=n) * 3
+        if trial % 5 == 0 and p > 1:
+            x[:, -1] = 2 * x[:, 0]
+        if trial % 7 == 0:
+            x[:, 0] = 0
+        xx, xy = x.T @ x, x.T @ y
+        top = np.abs(xy).max()
+        for share in (0.9, 0.3, 0.05, 0.0):
+            knots = angle_path(xx, xy, True, 500, share * top)
+            w, rest = knots[-1].weights, xy - xx @ knots[-1].weights
+            assert np.abs(rest).max() <= share * top + 1e-7 * top
+            on = np.abs(w) > 1e-10
+            assert rest[on] == pytest.approx(np.sign(w[on]) * share * top, abs=1e-7 * top)
+        turned_back += len(knots) - 1 > p
+        least = angle_path(xx, xy, False, 500)
+        assert np.abs(xy - xx @ least[-1].weights).max() <= 1e-7 * top and len(least) - 1 <= p
+        assert np.count_nonzero(angle_path(xx, xy, False, 1)[-1].weights) <= 1
+    assert turned_back > 10  # features left and came back
+
+
+def test_factor_follows_entries_and_exits():
+    x = np.random.default_rng(1).normal(size=(20, 6))
+    g, f, active = x.T @ x, Factor(), []
+    for j in range(6):
+        assert f.enter(g[active, j], g[j, j])
+        active.append(j)
+    assert not f.enter(g[active, 0], g[0, 0])
+    for k in (2, 0, 3):
+        f.leave(k)
+        active.pop(k)
+        assert f.low @ f.low.T == pytest.approx(g[np.ix_(active, active)]) and (np.triu(f.low, 1) == 0).all()
+
+
+def test_angle_models(df, frame):
+    get = lambda model, **params: M.fit(df, "id", model, "y", FEATURES, params, ALL)
+    want = get("lasso", alpha=20.0).model.coefficients()
+    assert get("lasso_lars", alpha=20.0).model.coefficients() == pytest.approx(want, rel=1e-6, abs=1e-6)
+    assert get("lars").model.coefficients() == pytest.approx(get("linear_regression").model.coefficients(), rel=1e-6)
+    one = get("lars", n_nonzero_coefs=1)
+    assert sum(w != 0 for t, w in one.model.coefficients().items() if t != "_intercept") == 1 and one.diagnostics["n_iterations"] == 1
+    assert set(get("lasso_lars", alpha=1e12).model.coefficients().values()) == {0.0, pytest.approx(frame.y.mean())}
+    with pytest.raises(ValueError):
+        get("lars", alpha=1.0)
+    knots = M.angle_knots(df, "y", FEATURES).groupBy("knot").agg(F.max("alpha").alias("alpha")).orderBy("knot").collect()
+    assert [k["knot"] for k in knots] == [0, 1, 2, 3] and knots[-1]["alpha"] == 0 and sorted(knots, key=lambda k: -k["alpha"]) == knots
+
+
+def test_huber_is_not_moved_by_outliers(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 9))
+    y = x @ np.arange(1.0, 10.0) + 3 + rng.normal(size=500) * 0.1
+    y[rng.permutation(500)[:120]] += 100
+    data = spark.createDataFrame(pd.DataFrame({"id": range(500), **{f"x{i}": x[:, i] for i in range(9)}, "y": y}))
+    fit = M.fit(data, "id", "huber_regressor", "y", [f"x{i}" for i in range(9)], {"alpha": 0.0, "max_iter": 400}, ALL)
+    assert [fit.model.coefficients()[f"x{i}"] for i in range(9)] == pytest.approx(list(np.arange(1.0, 10.0)), abs=0.1)
+    assert fit.diagnostics["n_outliers"] >= 120
+    exact = M.fit(data.withColumn("y", F.col("x0") * 2 + 1), "id", "huber_regressor", "y", ["x0"], {}, ALL)
+    assert exact.model.coefficients() == pytest.approx({"x0": 2.0, "_intercept": 1.0})
+    with pytest.raises(ValueError):
+        M.fit(data, "id", "huber_regressor", "y", ["x0"], {"epsilon": 0.5}, ALL)
