@@ -54,17 +54,24 @@ def _condition(df: DataFrame, c: dict) -> Column:
 def _unique_flag(df: DataFrame, target: str, key: list[str], flag: str) -> DataFrame:
     """False for rows whose `target` value already occurs on a row with a lower key.
 
-    The first row per value comes from a partial aggregate. Only repeated values are joined back,
-    with the often repeated ones spread out, so one value on a third of all rows is not one task.
+    Rows that share the lowest key of their value all fail, since none of them can be called the first: a repeated key hides no duplicate.
+    Rows are counted per value and key first, so one value on a third of all rows is not one task. Only repeated values are joined back,
+    with the often repeated ones spread out.
     """
     row_key = F.struct(*key) if len(key) > 1 else F.col(f"`{key[0]}`")  # one plain column keeps the aggregate a hash aggregate
-    first = df.filter(present_column(df, target).isNotNull()).groupBy(target).agg(
-        F.min(row_key).alias("_first"), F.count(F.lit(1)).alias("_times")
+    known = df.filter(present_column(df, target).isNotNull())
+    pairs = known.groupBy(F.col(f"`{target}`").alias("_value"), row_key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    first = pairs.groupBy("_value").agg(
+        F.min("_key").alias("_first"),
+        F.min(F.when(F.col("_n") > 1, F.col("_key"))).alias("_shared"),
+        F.sum("_n").alias("_times"),
     )
-    repeated = first.filter(F.col("_times") > 1)
-    joined = salted_join(df, repeated.select(target, "_first", F.lit(True).alias("_again")), [target], "left", salt_by=key)
-    ok = F.col("_again").isNull() | row_key.eqNullSafe(F.col("_first"))
-    return joined.withColumn(flag, ok).drop("_first", "_again").select(*df.columns, flag)
+    # rows without a key are never the first of a repeated value
+    repeated = first.filter(F.col("_times") > 1).withColumnRenamed("_value", target)
+    repeated = repeated.select(f"`{target}`", "_first", F.coalesce(F.col("_shared") == F.col("_first"), F.lit(False)).alias("_tie"), F.lit(True).alias("_again"))
+    joined = salted_join(df, repeated, [target], "left", salt_by=key)
+    ok = F.col("_again").isNull() | (~F.col("_tie") & F.coalesce(row_key == F.col("_first"), F.lit(False)))
+    return joined.withColumn(flag, ok).drop("_first", "_tie", "_again").select(*df.columns, flag)
 
 
 def check(df: DataFrame, constraints: list[dict], key: str | list[str] | None = None, prefix: str = "_ok_") -> DataFrame:

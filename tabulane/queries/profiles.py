@@ -229,6 +229,18 @@ SELECT o_orderkey, concat_ws('; ', CASE WHEN NOT a THEN 'range(o_totalprice)' EN
   CASE WHEN NOT c THEN 'unique(o_custkey)' END, CASE WHEN NOT e THEN 'o_custkey <= o_orderkey' END) AS reasons FROM ({FLAGS})"""
 
 
+def constraint_unique_shared(spark, d):
+    """A unique value among rows whose key is shared by several of them."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("l_partkey") % 1000 * 7 + F.col("l_quantity").cast("long")).alias("code"))
+    return Q.check(lines, [{"type": "unique", "target": "code"}], "l_orderkey").withColumnRenamed("_ok_0", "first")
+
+
+CONSTRAINT_UNIQUE_SHARED = """
+SELECT l_orderkey, l_partkey, l_linenumber, code, n = 1 OR (l_orderkey = low AND count(*) OVER (PARTITION BY code, l_orderkey) = 1) AS first
+FROM (SELECT *, count(*) OVER w AS n, min(l_orderkey) OVER w AS low FROM (
+  SELECT l_orderkey, l_partkey, l_linenumber, l_partkey % 1000 * 7 + CAST(trunc(l_quantity) AS BIGINT) AS code FROM lineitem) WINDOW w AS (PARTITION BY code))"""
+
+
 def constraint_unique(spark, d):
     flagged = Q.check(_orders(spark, d), [{"type": "unique", "target": "o_custkey"}], "o_orderkey")
     return flagged.select("o_orderkey", F.col("_ok_0").alias("first"))
@@ -345,6 +357,7 @@ CHECKS = {
     "constraint_nan": (constraint_nan, CONSTRAINT_NAN),
     "constraint_report": (constraint_report, CONSTRAINT_REPORT),
     "quarantine": (quarantine, QUARANTINE),
+    "constraint_unique_shared": (constraint_unique_shared, CONSTRAINT_UNIQUE_SHARED),
     "constraint_unique": (constraint_unique, f"SELECT o_orderkey, c AS first FROM ({FLAGS})"),
     "kpi_snapshot": (kpi_snapshot, f"{_SNAPSHOT} {_LONG}"),
     "kpi_gate": (kpi_gate, KPI_GATE),

@@ -303,3 +303,15 @@ def test_pages_with_and_without_a_key(spark, key):
     assert [tuple(r) for r in rows.select("id", "v").collect()] == [(999, 1998), (998, 1996), (997, 1994)] and total == 2500
     assert [r["id"] for r in P.thin(df, [F.col("v")], 1000, key=key).collect()] == list(range(0, 2500, 3))
     assert P.page(df.limit(0), [F.col("v")], 0, 5, key=key)[1] == 0 and P.thin(df.limit(0), [F.col("v")], key=key).count() == 0
+
+
+def test_unique_counts_rows_that_share_a_key(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (4, "b"), (5, "c"), (5, "d"), (None, "e"), (6, "e"), (None, "f"), (None, "f"), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    found = Q.check(df, [{"type": "unique", "target": "v"}], "k").collect()
+    passed = sorted(((r["k"], r["v"]) for r in found if r["_ok_0"]), key=repr)
+    assert passed == sorted([(3, "b"), (5, "c"), (5, "d"), (6, "e"), (7, None), (7, None)], key=repr)
+    whole = Q.constraint_report(df, [{"type": "unique", "target": "v"}], "k").filter("type = 'unique'").first()
+    assert whole["failures"] == len(rows) - 6
+    wide = Q.check(df.withColumn("j", F.col("k")), [{"type": "unique", "target": "v"}], ["k", "j"]).filter("_ok_0").count()
+    assert wide == 6
