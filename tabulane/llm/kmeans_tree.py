@@ -12,13 +12,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulane.llm.common import over_batches
 from tabulane.session import cut_lineage
 
-SAMPLE = 20_000  # vectors the tree is fitted to
+SAMPLE = 20_000  # vectors the tree is fitted to, fewer where they are long:
+SAMPLE_BYTES = 64 << 20  # bytes of those vectors; at most twice as many reach the driver
 BRANCH = 8  # children of a node
 LEAF = 64  # sample vectors below which a node is not split
 ROUNDS = 8  # k-means rounds of a split
@@ -145,11 +146,13 @@ def _pack_blocks(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The k best per query by a sorted array of what the blocks found, cut after each merge in the tasks."""
-    item = F.struct((-F.col("score")).alias("far"), F.col("id").alias("id"))
-    lists = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("best"))
-    best = lists.select("query_id", F.posexplode("best").alias("at", "b"))
-    return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.far")).alias("score"))
+    """`found` with the rank of each row among those of its query, the first k of each.
+
+    Spark cuts to k per query in every task before the shuffle and ranks what is left by a sort that can spill, so no list of all that
+    the blocks found is ever held.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def usable(vector: Column) -> Column:
@@ -184,9 +187,10 @@ def nearest_neighbours(
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     largest = float(np.sqrt(rows.agg(F.max(squares).alias("m")).first()["m"]))
 
-    every = max(1, -(-total // SAMPLE))
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))
+    every = max(1, -(-total // most))
     hashed = F.xxhash64(F.col("id"), F.lit("sample"))
-    sample = rows.filter(F.pmod(hashed, F.lit(every)) == 0).orderBy(hashed, "id").limit(2 * SAMPLE).select("v").collect()
+    sample = rows.filter(F.pmod(hashed, F.lit(every)) == 0).orderBy(hashed, "id").limit(2 * most).select("v").collect()
     tree = fit_tree(np.array([r["v"] for r in sample], dtype="f8").reshape(-1, size), largest)
     shared = spark.sparkContext.broadcast(tree)  # at most about 2 * SAMPLE / LEAF * BRANCH centres
 
@@ -222,7 +226,7 @@ def nearest_neighbours(
                 yield {"query_id": query_ids[q.astype(int)], "id": ids[at.astype(int)], "score": score}
 
     met = over_batches(stored.join(asked, "leaf").drop("leaf"), meet, "query_id long, id long, score double")
-    return _top(met, k).withColumnRenamed("id", id_col)
+    return _top(met, k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, size: int, k: int, recall: float, total: int) -> int:
@@ -245,9 +249,9 @@ def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, size: int, k: i
             yield {"query_id": ids[q.astype(int)], "id": own[at], "leaf": batch.column(2).to_numpy()[at], "score": score}
 
     found = over_batches(index.select("id", "v", "leaf"), search, "query_id long, id long, leaf long, score double")
-    item = F.struct((-F.col("score")).alias("far"), F.col("id"), F.col("leaf"))
-    truth = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("best")).collect()
-    leaves = {r["query_id"]: [b["leaf"] for b in r["best"]] for r in truth}
+    leaves: dict[int, list[int]] = {}
+    for r in _top(found, k).select("query_id", "leaf").collect():
+        leaves.setdefault(r["query_id"], []).append(r["leaf"])
     places = []
     for i, query in zip(ids.tolist(), x):
         order = {leaf: n for n, leaf in enumerate(best_bins(tree, query, tree.leaves))}

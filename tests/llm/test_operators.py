@@ -204,6 +204,15 @@ def test_neighbours_small_tables(spark):
     assert rows(kmeans_tree.nearest_neighbours(table.limit(0), F.lit(True))) == []
 
 
+def test_neighbours_repeated_ids_and_clashing_names(spark):
+    made = [(0, [1.0, 0.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 9.0])]
+    table = spark.createDataFrame([(i, v, *"abcdef") for i, v in made], "vec_id long, embedding array<double>, leaf string, v string, q string, id string, score string, rank string")
+    found = kmeans_tree.nearest_neighbours(table, F.col("vec_id") % 20 == 0, k=2)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()  # cut to k in every task, before the shuffle
+    # both rows of id 0 ask; neither is found by the other; what they find is ranked together
+    assert sorted(rows(found)) == [(0, 1, 1, 3.0), (0, 2, 1, 3.0)]
+
+
 # 4 suffix sorting
 
 
