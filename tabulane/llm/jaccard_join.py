@@ -25,8 +25,12 @@ WORDS = 5
 PERCENT = 75
 SEEN = 1_000_000  # classes a task remembers to have sent; it may send one again beyond that
 SAMPLE = 4000  # texts in which very frequent shingles are looked for; they only take another way, with the same result
+ROWS = 2000  # texts a task cuts into shingles at once
 HOT = 0.01  # share of the sample from which a shingle counts as very frequent
 HOT_RANK = 1 << 30  # very frequent shingles come after all others
+CENTRES = 8  # classes that a further round of stars tries in every shingle
+OPEN_PAIRS = 32  # pairs a row between components that are not connected; beyond that, further stars come first
+GAIN = 0.25  # they end when a round leaves more than this share of the pairs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RUN = np.dtype([("cls", "u8"), ("size", "u4"), ("n", "u4")])
@@ -80,17 +84,23 @@ def _unpack(blobs: pd.DataFrame, item: np.dtype) -> tuple[np.ndarray, np.ndarray
     return np.repeat(runs["cls"], runs["n"]), np.repeat(runs["size"], runs["n"]), items
 
 
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def document_classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, tag, n_shingles, cls); tag is a hash of the text, cls is null for a text without words."""
 
     def work(batches):
-        for batch in batches:
-            found = [shingle_set(t, words) for t in as_bytes(batch.column(1))]
+        for batch in _slices(batches):
+            found = [(cls, len(shingles)) for cls, shingles in (shingle_set(t, words) for t in as_bytes(batch.column(1)))]
             yield {
                 "id": batch.column(0),
                 "tag": batch.column(2),
-                "n_shingles": [len(s) for _, s in found],
-                "cls": [_signed(c) if len(s) else None for c, s in found],
+                "n_shingles": [n for _, n in found],
+                "cls": [_signed(c) if n else None for c, n in found],
             }
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -125,7 +135,7 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
 
     def pack(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             classes, sets = [], []
             for cls, shingles in (shingle_set(t, words) for t in as_bytes(batch.column(0))):
                 if len(shingles) and cls not in seen:
@@ -238,19 +248,31 @@ def _possible(percent: int) -> str:
     )
 
 
-def _stars(prefixes: DataFrame, labels: DataFrame | None, largest: bool, percent: int) -> DataFrame:
-    """One candidate (a, b) per class: the centre it meets in most prefix shingles, among the smallest (or largest) classes of each shingle."""
+def _stars(rows: DataFrame, others: DataFrame, orders: list[Column], percent: int) -> DataFrame:
+    """Candidates (a, b) of each class of `others`, one per order: of the classes that come first in a shingle, the one it meets in most shingles."""
+    first = [F.min(F.struct(order.alias("order"), "cls", "size", "shared", "at", "label")) for order in orders]
+    centre = rows.groupBy("h").agg(F.array(*first).alias("all")).select(F.col("h").alias("h2"), F.posexplode("all").alias("i", "c")).select("h2", "i", "c.*")
+    met = others.alias("x").join(centre.alias("y"), F.expr(f"x.h = y.h2 AND x.cls != y.cls AND x.label != y.label AND {_possible(percent)}"))
+    counted = met.groupBy(F.col("x.cls").alias("b"), "i", F.col("y.cls").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("b", "i").agg(F.max(F.struct("n", "a")).alias("top")).select("b", F.col("top.a").alias("a")).distinct()
+
+
+def _open(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float]:
+    """(rows, their number, pairs): prefix rows of the shingles that several components hold; `main` is the component with most rows of the shingle.
+
+    `pairs` is how often rows of two components meet, before any filter.
+    """
     rows = _labelled(prefixes, labels)
-    pick = F.max if largest else F.min
-    centre = rows.groupBy("h").agg(pick(F.struct("cls", "size", "shared", "at", "label")).alias("c")).select(F.col("h").alias("h2"), "c.*")
-    met = rows.alias("x").join(centre.alias("y"), F.expr(f"x.h = y.h2 AND x.cls != y.cls AND x.label != y.label AND {_possible(percent)}"))
-    counted = met.groupBy(F.col("x.cls").alias("b"), F.col("y.cls").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select("b", F.col("top.a").alias("a"))
+    held = rows.groupBy("h", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    several = held.groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), pairs.alias("pairs")).filter("pairs > 0")
+    several = several.select("h", F.col("most.label").alias("main"), (F.col("pairs") / F.col("n")).alias("meets"))
+    rows = cut_lineage(rows.join(several, "h").select("h", "cls", "label", "main", "meets", "size", "shared", "at"))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("meets").alias("pairs")).first()
+    return rows, found["n"], found["pairs"] or 0.0
 
 
-def _labelled(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return prefixes.withColumn("label", F.col("cls"))
+def _labelled(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     known = prefixes.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left")
     return known.withColumn("label", F.coalesce("label", "cls"))
 
@@ -321,48 +343,61 @@ def _first_sides(percent: int, parts: int):
         pairs = _combined(np.frombuffer(b"".join(blobs["pairs"]), dtype=_PAIR))
         # with all common prefix shingles counted, what follows the last of them has to bring the rest
         pairs = pairs[(100 + percent) * (pairs["n"].astype(np.int64) + pairs["left"] - 1) >= percent * pairs["sizes"].astype(np.int64)]
-        known = {int(c) & (2**64 - 1): (n, e) for c, n, e in zip(kept["cls"], kept["size"], kept["elements"])}
+        known = {int(c) & (2**64 - 1): row for c, *row in zip(kept["cls"], kept["label"], kept["size"], kept["elements"])}
         home, out = _home(pairs["b"], parts), []
         for part in np.unique(home):
             own = pairs[home == part]
             for a in np.unique(own["a"]):
-                size, elements = known[int(a)]
-                out.append((int(part), _signed(int(a)), size, elements, own["b"][own["a"] == a].tobytes()))
-        return pd.DataFrame(out, columns=["part", "a", "size", "elements", "partners"])
+                out.append((int(part), *known[int(a)], own["b"][own["a"] == a].tobytes()))
+        return pd.DataFrame(out, columns=["part", "label", "size", "elements", "partners"])
 
     return work
 
 
 def _second_sides(percent: int):
+    """Links between the components of verified pairs; a pair whose components the links of this task connect already is passed over."""
+
     def work(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        known = {int(c) & (2**64 - 1): (n, e) for c, n, e in zip(kept["cls"], kept["size"], kept["elements"])}
-        sets, out = {}, []
-        for a, size, elements, partners in zip(asked["a"], asked["size"], asked["elements"], asked["partners"]):
+        known = {int(c) & (2**64 - 1): row for c, *row in zip(kept["cls"], kept["label"], kept["size"], kept["elements"])}
+        sets, above, out = {}, {}, []
+
+        def top(label: int) -> int:
+            while label in above:
+                above[label] = above.get(above[label], above[label])
+                label = above[label]
+            return label
+
+        for label, size, elements, partners in zip(asked["label"], asked["size"], asked["elements"], asked["partners"]):
             x = np.sort(np.frombuffer(elements, "u8"))
             for b in np.frombuffer(partners, "u8").tolist():
+                other, size_b, elements_b = known[b]
+                one, two = top(label), top(other)
+                if one == two:
+                    continue
                 if b not in sets:
-                    sets[b] = np.sort(np.frombuffer(known[b][1], "u8"))
-                if linked(x, sets[b], size, known[b][0], percent):
-                    out.append((a, _signed(b)))
+                    sets[b] = np.sort(np.frombuffer(elements_b, "u8"))
+                if linked(x, sets[b], size, size_b, percent):
+                    above[one] = two
+                    out.append((label, other))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return work
 
 
-def _remaining(prefixes: DataFrame, labels: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """The links between components that are not connected yet: every possible pair verified once, pairs and sets packed."""
+def _remaining(rows: DataFrame, labels: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """The links between components that are not connected yet: every possible pair verified at most once, pairs and sets packed.
+
+    `rows` as _open gives them. Each task returns links between components that join no circle, so their number does not grow with that of the pairs.
+    """
     parts = partitions(kept.sparkSession)
     members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "label")
-    rows = _labelled(prefixes, labels)
-    several = rows.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("h")
-    rows = rows.join(several, "h", "left_semi").join(members, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    rows = cut_lineage(rows.select("h", "cls", "label", "members", "size", "shared", "at"))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+    sized = rows.drop("main", "meets").join(members, "label", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
     pairs = dealt.groupBy("part").applyInPandas(_meetings(percent, parts), "part int, pairs binary")
     home = F.pmod(F.shiftrightunsigned("cls", 24), F.lit(parts)).cast("int").alias("part")
-    open_ = kept.join(rows.select("cls").distinct(), "cls", "left_semi").select(home, "cls", "size", "elements")
+    open_ = kept.join(rows.select("cls", "label").distinct(), "cls").select(home, "cls", "label", "size", "elements")
     first = pairs.groupBy("part").cogroup(open_.groupBy("part")).applyInPandas(
-        _first_sides(percent, parts), "part int, a long, size int, elements binary, partners binary"
+        _first_sides(percent, parts), "part int, label long, size int, elements binary, partners binary"
     )
     return first.groupBy("part").cogroup(open_.groupBy("part")).applyInPandas(_second_sides(percent), "a long, b long")
 
@@ -370,17 +405,25 @@ def _remaining(prefixes: DataFrame, labels: DataFrame, kept: DataFrame, percent:
 def linked_classes(kept: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect all that similar pairs connect.
 
-    Two rounds link every class to one centre it shares much with, so large groups of near copies become one component with as
-    many checks as members. Then every pair that meets in a prefix shingle, passes the filters and is not yet connected is verified
-    once: a pair that is left out is connected already.
+    A first round links every class to two centres it shares much with, so large groups of near copies become one component with
+    some checks a member. While many pairs are not connected, and far fewer after each round, further rounds try other centres.
+    Then every pair that meets in a prefix shingle, passes the filters and is not yet connected is verified: a pair that is left
+    out is connected already.
     """
     prefixes = kept.select("cls", "size", "shared", F.posexplode("prefix").alias("at", "h"))
-    links, labels = None, None
-    for largest in (False, True):
-        star = cut_lineage(_verify(_stars(prefixes, labels, largest, percent), kept, percent))
-        links = star if links is None else links.unionByName(star)
+    single = prefixes.withColumn("label", F.col("cls"))
+    links = cut_lineage(_verify(_stars(single, single, [F.col("cls"), F.bitwise_not("cls")], percent), kept, percent))
+    labels = connected_components(links)
+    rows, n, pairs = _open(prefixes, labels)
+    turn, before = 0, float("inf")
+    while pairs > OPEN_PAIRS * n and pairs <= GAIN * before:
+        orders = [F.xxhash64("cls", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+        star = cut_lineage(_verify(_stars(rows, rows.filter("label != main"), orders, percent), kept, percent))
+        links = links.unionByName(star)
         labels = connected_components(links)
-    return links.unionByName(_remaining(prefixes, labels, kept, percent))
+        turn, before = turn + 1, pairs
+        rows, n, pairs = _open(prefixes, labels)
+    return links.unionByName(_remaining(rows, labels, kept, percent))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

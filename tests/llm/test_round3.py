@@ -285,3 +285,29 @@ def test_texts_that_only_a_polynomial_confuses_stay_apart(spark):
     made = [word[:1024], other[:1024], word, other, f"own words here now {word} end", f"own words here now {other} end", "x " + word, "x " + other]
     found = rows(jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
     assert all(component == i for i, _, component in found)
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    from tabulane.llm import jaccard_join
+    from tests.llm.test_operators import brute_components
+
+    rng = np.random.default_rng(3)
+    base, made = [f"w{i}" for i in range(120)], []
+    for i in range(400):  # a pair is linked if its changed words, 1 to 13 each, are few enough together
+        n = int(rng.integers(1, 14))
+        at = int(rng.integers(0, len(base) - n))
+        made.append((i, " ".join([*base[:at], *(f"own{i}x{k}" for k in range(n)), *base[at + n :]])))
+    docs, found = spark.createDataFrame(made, "doc_id long, text string").repartition(4), []
+
+    def counted(kept, percent, links=jaccard_join.linked_classes):
+        out = jaccard_join.cut_lineage(links(kept, percent))
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "linked_classes", counted)
+    expected = brute_components(made)
+    for further in (0, 1 << 30):  # with and without further rounds of stars
+        monkeypatch.setattr(jaccard_join, "OPEN_PAIRS", further, raising=False)
+        assert {r[0]: tuple(r[1:]) for r in jaccard_join.near_duplicates(docs).collect()} == expected
+    assert 1 < len({c for _, c in expected.values()}) < 200
+    assert max(found) < 5 * len(made)
