@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tabulane.llm import byte_bpe, chat, fingerprint, jaccard_join, kmeans_tree, language, mixing, quality, suffix_dedup, token_counts
+from tabulane.llm import byte_bpe, chat, components, fingerprint, jaccard_join, kmeans_tree, language, mixing, quality, suffix_dedup, token_counts
 from tabulane.llm.common import RangeHash, read_ranks
 from tabulane.llm.components import connected_components
 
@@ -436,6 +436,46 @@ def test_components_of_a_chain(spark):
     assert found == {**{i: 0 for i in range(n + 1)}, 900: 900, 901: 900}
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").repartition(4)
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        found = dict(rows(connected_components(links)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(51)}
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(job).stageIds}
+    assert 64 < sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info) < 300
+
+
+@pytest.mark.parametrize("edges", [7, 100, 100_000])
+def test_components_do_not_depend_on_the_edges_a_task_gets(spark, monkeypatch, edges):
+    rng = np.random.default_rng(edges)
+    made = [tuple(x) for x in rng.integers(0, 900, (500, 2)).tolist()]
+    made += [(1000, 1001 + i) for i in range(300)] + [(3000 - i, 2999 - i) for i in range(200)] + [(4000, 4000), (None, 4001), (4002, None)]
+    above = {}
+
+    def top(x):
+        while x in above:
+            x = above[x]
+        return x
+
+    for a, b in made:
+        if a is not None and b is not None and top(a) != top(b):
+            above[max(top(a), top(b))] = min(top(a), top(b))
+    monkeypatch.setattr(components, "EDGES", edges)
+    found = rows(connected_components(spark.createDataFrame(made, "a long, b long").repartition(4)))
+    assert sorted(found) == sorted((x, top(x)) for x in {x for a, b in made if None not in (a, b) and a != b for x in (a, b)})
+
+
 # 8 fingerprints
 
 
